@@ -30,8 +30,8 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 KINDS = ["assign", "access", "hex", "markov"]
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIDE = len(ALPHABET) + 1
-#: Log-likelihood ratio (natural log, whole token) from which a token counts as random.
-THRESHOLD = 12.0
+#: A token counts as random from this log-likelihood ratio (natural log) for each letter.
+THRESHOLD = 1.5
 
 _NOUNS = "access account action array batch block buffer cache channel class client cluster column config count cursor data date default device document element engine entry error event field file filter format frame group handler header index input instance integer item key label length level library line list loader lock log manager map master memory message method model module name node number object offset option order output package page parameter parser partition path pattern point process product profile query queue range reader record reference region request resource response result row schema script section sequence server service session shard signal size source stage state status stream string struct system table target task template text thread time token type update user value vector version view window worker writer the and for with under over between without international responsibility understanding".split()
 
@@ -113,7 +113,7 @@ def secret_spans(base: DataFrame, ratios: list[float], threshold: float = THRESH
     cand = _matches(base, "markov", CANDIDATE, 0, 16).withColumn("c", F.concat(F.array(F.lit(0)), _codes(F.col("value"))))
     cand = cand.withColumn("w", table)
     score = F.expr("aggregate(sequence(1, size(c) - 1), 0D, (s, i) -> s + w[c[i - 1] * %d + c[i]])" % SIDE)
-    cand = cand.filter(score >= threshold).drop("c", "w")
+    cand = cand.filter(score >= threshold * F.char_length("value")).drop("c", "w")
     # a markov span stays where no base span overlaps it: none that began earlier reaches into it, none begins inside
     both = fixed.union(cand).withColumn("fixed", F.col("kind") != "markov")
     w = Window.partitionBy("k1", "k2").orderBy("start")
