@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import line_dedup, secrets, sharding
+from textloom.llm import decontaminate, line_dedup, packing, secrets, sharding, token_counts
+from textloom.shipping import ship
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies on this machine (the same on every executor)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_read(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
 
@@ -19,9 +28,21 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"), shards=8)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), limit=4096)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_read(spark, sf_dir, "documents")).drop("span_list")
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_sharding, op6_secrets)}
-ORACLES = {"op3_line_dedup": line_dedup.ORACLE}
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=10)
+
+
+QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_sharding, op5_token_counts, op6_secrets, op7_packing, op8_decontaminate)}
+ORACLES = {"op3_line_dedup": line_dedup.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
