@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import decontaminate, line_dedup, packing, secrets, sharding, token_counts
+from textloom.llm import decontaminate, jaccard_join, line_dedup, packing, secrets, sharding, token_counts
 from textloom.shipping import ship
 
 
@@ -44,5 +44,9 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=10)
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_sharding, op5_token_counts, op6_secrets, op7_packing, op8_decontaminate)}
-ORACLES = {"op3_line_dedup": line_dedup.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_read(spark, sf_dir, "documents"), size=5, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_sharding, op5_token_counts, op6_secrets, op7_packing, op8_decontaminate, op9_jaccard_join)}
+ORACLES = {"op3_line_dedup": line_dedup.ORACLE, "op8_decontaminate": decontaminate.ORACLE, "op9_jaccard_join": jaccard_join.ORACLE}
