@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textloom.llm import decontaminate, jaccard_join, line_dedup, packing, secrets, sharding, token_counts
+from textloom.llm import ann, decontaminate, jaccard_join, language_id, line_dedup, packing, quality, secrets, sharding, token_counts
 from textloom.shipping import ship
 
 
@@ -20,6 +21,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_read(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
 
@@ -48,5 +57,11 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_read(spark, sf_dir, "documents"), size=5, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_sharding, op5_token_counts, op6_secrets, op7_packing, op8_decontaminate, op9_jaccard_join)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    out = language_id.identify(docs, language_id.train(docs))
+    return out.withColumn("held_out", quality.held_out(F.col("doc_id"), 4, 2))
+
+
+QUERIES = {f.__name__: f for f in (op1_ann, op2_quality, op3_line_dedup, op4_sharding, op5_token_counts, op6_secrets, op7_packing, op8_decontaminate, op9_jaccard_join, op10_language_id)}
 ORACLES = {"op3_line_dedup": line_dedup.ORACLE, "op8_decontaminate": decontaminate.ORACLE, "op9_jaccard_join": jaccard_join.ORACLE}
