@@ -217,9 +217,10 @@ class Models:
 
     def predict(self, data: np.ndarray, off: np.ndarray):
         """(language number or -1, score, cross-entropy, accepted) of each text."""
-        h, places, count = self.entropy(data, off)
+        m = len(off) - 1
         if not self.names:
-            return np.full(len(off) - 1, -1), np.zeros(len(off) - 1), np.zeros(len(off) - 1), np.zeros(len(off) - 1, bool)
+            return np.full(m, -1), np.zeros(m), np.zeros(m), np.zeros(m, bool)
+        h, places, count = self.entropy(data, off)
         best = h.argmin(1) if len(h) else np.zeros(0, np.int64)
         least = h[np.arange(len(h)), best]
         # posterior of the winner, as if a long text had 64 letters at most
