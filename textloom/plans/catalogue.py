@@ -396,3 +396,4 @@ def table_rows(read):
 from textloom.plans import sequential  # noqa: E402  registers the queries that no SQL expresses
 
 QUERIES.update(sequential.QUERIES)
+ORACLES.update(sequential.ORACLES)

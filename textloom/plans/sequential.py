@@ -2,4 +2,106 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from textloom.operators import sequential, tables
+from textloom.shipping import ship
+
 QUERIES: dict = {}
+
+
+def query(f):
+    def run(spark, sf_dir):
+        ship(spark)
+        return f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+
+    QUERIES[f.__name__] = run
+    return f
+
+
+@query
+def chunk_windows(read):
+    return sequential.windows(read("documents"))
+
+
+@query
+def pack_pages(read):
+    return sequential.conversation_chunks(read("conversations"), 600)
+
+
+def _turn_pairs(read):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return read("conversations").withColumns({"old": F.lag("text").over(w), "new": F.col("text")}).filter("old IS NOT NULL")
+
+
+@query
+def diff_turns(read):
+    return sequential.compare(_turn_pairs(read), ["conv_id", "turn"])
+
+
+@query
+def diff_report_html(read):
+    return sequential.compare_report(_turn_pairs(read), ["conv_id", "turn"], "html", 3)
+
+
+@query
+def diff_report_markdown(read):
+    return sequential.compare_report(_turn_pairs(read), ["conv_id", "turn"], "markdown")
+
+
+@query
+def html_nodes(read):
+    return sequential.html_nodes(read("pages"))
+
+
+@query
+def html_link_list(read):
+    return sequential.html_links(read("pages"))
+
+
+@query
+def html_text_lines(read):
+    return sequential.html_text(read("pages"))
+
+
+@query
+def markdown_blocks(read):
+    return sequential.markdown_blocks(read("documents"))
+
+
+@query
+def table_markdown(read):
+    cells = F.array(F.array(F.lit("part"), F.lit("a|b")), F.array(F.col("p_name"), F.col("p_size").cast("string")))
+    return read("part").select("p_partkey", tables.to_markdown(cells).alias("markdown"))
+
+
+@query
+def table_grid_check(read):
+    rows = read("part").select("p_partkey", F.array(F.array(F.lit(1), F.lit(2)), F.array(F.lit(1), (F.col("p_size") % 3 + 1).cast("int"))).alias("spans"))
+    make = lambda s: [(tables.grid_issue([[(1, c) for c in r] for r in s]),)]
+    return sequential.explode_rows(rows, ["p_partkey"], ["spans"], make, "issue string")
+
+
+@query
+def table_stitch(read):
+    t = read("supplier").select(F.col("s_nationkey").alias("doc_id"), F.col("s_suppkey").alias("table_id"), F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("page"), F.when(F.col("s_acctbal") > 0, F.array(F.lit(0.0), F.lit(50.0))).otherwise(F.array(F.lit(0.0), F.lit(70.0))).alias("edges"))
+    return tables.stitch(t)
+
+
+@query
+def table_column_cuts(read):
+    f = read("part").select((F.col("p_partkey") % 50).alias("table_id"), (F.col("p_size") * 20.0).alias("x0"), (F.col("p_size") * 20.0 + 9).alias("x1"))
+    return tables.column_cuts(f)
+
+
+ORACLES = {
+    "table_markdown": r"""SELECT p_partkey, '| part | a\|b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || replace(regexp_replace(p_name, '([\\`*_\[\]<&~])', '\\\1', 'g'), '|', '\|') || ' | ' || p_size || ' |' AS markdown FROM part""",
+    "table_grid_check": """SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'row 1 reaches 2 of 3 columns' WHEN 2 THEN 'row 1 is wider than 3 columns' END AS issue FROM part""",
+    "table_stitch": """WITH t AS (SELECT s_nationkey AS doc_id, s_suppkey AS table_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS page, s_acctbal > 0 AS kind FROM supplier),
+n AS (SELECT *, CASE WHEN lag(kind) OVER (PARTITION BY doc_id ORDER BY page) = kind THEN 0 ELSE 1 END AS fresh FROM t)
+SELECT doc_id, table_id, CAST(page AS INT) AS page, CAST(sum(fresh) OVER (PARTITION BY doc_id ORDER BY page) AS BIGINT) AS chain FROM n""",
+    "table_column_cuts": """WITH f AS (SELECT p_partkey % 50 AS table_id, p_size * 20.0 AS x0, p_size * 20.0 + 9 AS x1 FROM part),
+r AS (SELECT table_id, x0, max(x1) OVER (PARTITION BY table_id ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f)
+SELECT table_id, CAST(reach AS DOUBLE) AS cut_from, CAST(x0 AS DOUBLE) AS cut_to FROM r WHERE x0 - reach >= 6""",
+}
