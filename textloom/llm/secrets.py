@@ -109,11 +109,11 @@ def _matches(base: DataFrame, kind: str, pattern: str, value_group: int, least:
 def secret_spans(base: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """All spans of ``base`` (k1, k2, t): k1, k2, kind, start, end (code points, end exclusive), value."""
     fixed = _matches(base, "assign", ASSIGN, 2, 6).union(_matches(base, "access", ACCESS, 0, 20)).union(_matches(base, "hex", HEX, 0, 24))
-    table = F.transform(F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ","), lambda x: x.cast("double"))
     cand = _matches(base, "markov", CANDIDATE, 0, 16).withColumn("c", F.concat(F.array(F.lit(0)), _codes(F.col("value"))))
-    cand = cand.withColumn("w", table)
-    score = F.expr("aggregate(sequence(1, size(c) - 1), 0D, (s, i) -> s + w[c[i - 1] * %d + c[i]])" % SIDE)
-    cand = cand.filter(score >= threshold * F.char_length("value")).drop("c", "w")
+    # a literal array: folded once, not built for each row
+    table = "array(" + ", ".join(f"{x:.6f}D" for x in ratios) + ")"
+    score = F.expr(f"aggregate(sequence(1, size(c) - 1), 0D, (s, i) -> s + {table}[c[i - 1] * {SIDE} + c[i]])")
+    cand = cand.filter(score >= threshold * F.char_length("value")).drop("c")
     # a markov span stays where no base span overlaps it: none that began earlier reaches into it, none begins inside
     both = fixed.union(cand).withColumn("fixed", F.col("kind") != "markov")
     w = Window.partitionBy("k1", "k2").orderBy("start")
