@@ -91,7 +91,17 @@ def _pieces(path: str, capacity: int, end_id: int):
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences as (lengths in order, how many such sequences), using every piece once."""
+    """Sequences as (lengths in order, how many such sequences), using every piece once.
+
+    Exact fills use up short pieces that best fit might place better, so the plan
+    is made with fills of up to three, two and one pieces, and with none; the one
+    with the fewest sequences is taken (the most exact fills among equals).
+    """
+    return min((_plan(counts, capacity, most) for most in (3, 2, 1, 0)), key=lambda steps: sum(k for _, k in steps))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """A plan whose exact fills join at most ``most`` pieces to the largest."""
     n = [0] * (capacity + 1)
     for length, k in counts.items():
         n[length] = k
@@ -109,14 +119,14 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     take((capacity,))
     for size in range(capacity - 1, 0, -1):
         gap = capacity - size
-        if n[size]:
+        if most >= 1 and n[size]:
             take((size, gap))
-        if n[size]:
+        if most >= 2 and n[size]:
             # pairs, larger lengths first: they are the harder ones to place
             for a in range(min(gap - 1, size), (gap - 1) // 2, -1):
                 if n[a] and n[gap - a] and take((size, a, gap - a)) and not n[size]:
                     break
-        if n[size]:
+        if most >= 3 and n[size]:
             have = [x for x in range(1, min(gap, size + 1)) if n[x]]
             for a in reversed(have):
                 if not n[size]:
