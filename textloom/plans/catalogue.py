@@ -117,23 +117,23 @@ def html_filter(read):
 
 
 @query(r"""WITH r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN ' ```json' || chr(10) || '{"id": ' || doc_id || '}' || chr(10) || '``` ' WHEN 1 THEN '{"id": ' || doc_id || '}' ELSE 'see ```x```' END AS reply FROM documents)
-SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN 'see ```x```' ELSE '{"id": ' || doc_id || '}' END AS body, CASE doc_id % 3 WHEN 2 THEN NULL ELSE doc_id END AS id FROM r""")
+SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN 'see ```x```' ELSE '{"id": ' || doc_id || '}' END AS body, CASE doc_id % 3 WHEN 2 THEN -1 ELSE doc_id END AS id FROM r""")
 def json_fence(read):
     i = F.col("doc_id").cast("string")
     k = F.col("doc_id") % 3
     plain = F.concat(F.lit('{"id": '), i, F.lit("}"))
     reply = F.when(k == 0, F.concat(F.lit(" ```json\n"), plain, F.lit("\n``` "))).when(k == 1, plain).otherwise("see ```x```")
     body = text.strip_json_fence(reply)
-    return read("documents").select("doc_id", body.alias("body"), F.try_variant_get(F.try_parse_json(body), "$.id", "bigint").alias("id"))
+    return read("documents").select("doc_id", body.alias("body"), F.coalesce(F.try_variant_get(F.try_parse_json(body), "$.id", "bigint"), F.lit(-1)).alias("id"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '• point' WHEN 1 THEN (doc_id % 90) || '. item' WHEN 2 THEN '(iv) part' WHEN 3 THEN '☑ done' ELSE 'plain text' END AS line FROM documents)
-SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'bullet' WHEN 1 THEN 'ordinal' WHEN 2 THEN 'ordinal' WHEN 3 THEN 'task' END AS kind, CASE WHEN doc_id % 5 = 1 THEN CAST(doc_id % 90 AS INT) END AS ordinal,
-  CASE doc_id % 5 WHEN 0 THEN 2 WHEN 1 THEN length(CAST(doc_id % 90 AS VARCHAR)) + 2 WHEN 2 THEN 5 WHEN 3 THEN 2 END AS length FROM l""")
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'bullet' WHEN 1 THEN 'ordinal' WHEN 2 THEN 'ordinal' WHEN 3 THEN 'task' END AS kind, CASE WHEN doc_id % 5 = 1 THEN CAST(doc_id % 90 AS INT) ELSE -1 END AS ordinal,
+  CASE doc_id % 5 WHEN 0 THEN 2 WHEN 1 THEN length(CAST(doc_id % 90 AS VARCHAR)) + 2 WHEN 2 THEN 5 WHEN 3 THEN 2 ELSE 0 END AS length FROM l""")
 def list_markers(read):
     i, k = F.col("doc_id"), F.col("doc_id") % 5
     line = F.when(k == 0, "• point").when(k == 1, F.concat((i % 90).cast("string"), F.lit(". item"))).when(k == 2, "(iv) part").when(k == 3, "☑ done").otherwise("plain text")
-    return read("documents").select("doc_id", text.marker(line).alias("m")).select("doc_id", "m.kind", "m.ordinal", "m.length")
+    return read("documents").select("doc_id", text.marker(line).alias("m")).select("doc_id", "m.kind", F.coalesce("m.ordinal", F.lit(-1)).alias("ordinal"), F.coalesce("m.length", F.lit(0)).alias("length"))
 
 
 @query("SELECT doc_id, replace(text, 'the', '███') AS text, CAST(len(regexp_extract_all(text, 'the')) AS BIGINT) AS n_redacted FROM documents")
@@ -147,10 +147,10 @@ def redact_count(read):
     return out.groupBy("conv_id").agg(F.sum("n_redacted").alias("n_redacted"))
 
 
-@query(r"SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+'), lambda x: x = 'anat')) AS INT) AS places, CASE WHEN regexp_matches(text, '(^|[^\p{L}\p{M}\p{N}_])anat([^\p{L}\p{M}\p{N}_]|$)') THEN CAST(length(regexp_extract(text, '^((?:.|\n)*?[^\p{L}\p{M}\p{N}_])?anat([^\p{L}\p{M}\p{N}_]|$)', 1)) AS INT) END AS first_start FROM documents")
+@query(r"SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+'), lambda x: x = 'anat')) AS INT) AS places, CASE WHEN regexp_matches(text, '(^|[^\p{L}\p{M}\p{N}_])anat([^\p{L}\p{M}\p{N}_]|$)') THEN CAST(length(regexp_extract(text, '^((?:.|\n)*?[^\p{L}\p{M}\p{N}_])?anat([^\p{L}\p{M}\p{N}_]|$)', 1)) AS INT) ELSE -1 END AS first_start FROM documents")
 def whole_word_search(read):
     out = read("documents").select("doc_id", text.find_ranges(F.col("text"), "anat", whole_word=True).alias("r"))
-    return out.select("doc_id", F.size("r").alias("places"), F.get("r", F.lit(0))["start"].alias("first_start"))
+    return out.select("doc_id", F.size("r").alias("places"), F.coalesce(F.get("r", F.lit(0))["start"], F.lit(-1)).alias("first_start"))
 
 
 @query("""WITH m AS (SELECT doc_id, md5(coalesce(source, '') || chr(0) || text) AS k, octet_length(CAST(text AS BLOB)) AS size FROM documents)
@@ -351,9 +351,10 @@ def issue_summary(read):
 
 
 @query("""WITH h AS (SELECT p_size AS size, sum(length(p_name)) AS weight FROM part GROUP BY p_size), b AS (SELECT size AS body FROM h ORDER BY weight DESC, size LIMIT 1)
-SELECT size, CAST(weight AS BIGINT) AS weight, CAST(CASE WHEN size = body THEN 0 WHEN size > body THEN least(6, dense_rank() OVER (ORDER BY size DESC)) END AS INT) AS rank FROM h, b""")
+SELECT size, CAST(weight AS BIGINT) AS weight, CAST(CASE WHEN size = body THEN 0 WHEN size > body THEN least(6, dense_rank() OVER (ORDER BY size DESC)) ELSE -1 END AS INT) AS rank FROM h, b""")
 def heading_histogram(read):
-    return relations.heading_ranks(read("part").withColumn("w", F.length("p_name")), "p_size", "w")
+    out = relations.heading_ranks(read("part").withColumn("w", F.length("p_name")), "p_size", "w")
+    return out.withColumn("rank", F.coalesce("rank", F.lit(-1)))
 
 
 @query("SELECT o_custkey, list_sort(list(o_totalprice))[CAST(floor(count(*) / 2) AS INT) + 1] AS median FROM orders GROUP BY o_custkey")

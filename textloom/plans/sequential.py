@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from textloom.functions import sequences, values
 from textloom.operators import sequential, tables
 from textloom.shipping import ship
 
@@ -95,7 +96,64 @@ def table_column_cuts(read):
     return tables.column_cuts(f)
 
 
+
+@query
+def autolinks(read):
+    return sequential.explode_rows(read("pages"), ["page_id"], ["html"], lambda h: [(x,) for x in values.autolinks(h or "")], "link string")
+
+
+@query
+def char_refs(read):
+    return sequential.explode_rows(read("pages"), ["page_id"], ["html"], lambda h: [(values.resolve_char_refs(h or ""),)], "text string")
+
+
+@query
+def template_lines(read):
+    make = lambda i, n: [(values.resolve_template("Part {id} of {n}{none} {{x}", {"id": i, "n": n}),)]
+    return sequential.explode_rows(read("part"), ["p_partkey"], ["p_partkey", "p_size"], make, "line string")
+
+
+@query
+def exact_sums(read):
+    """Exactly rounded sums: partial lists per task would not combine, so groups are summed where they meet."""
+
+    def total(table):
+        import pyarrow as pa
+
+        return pa.table({"l_suppkey": table.column("l_suppkey").slice(0, 1), "total": pa.array([values.exact_sum(table.column("l_extendedprice").to_pylist())], pa.float64())})
+
+    rows = read("lineitem").select("l_suppkey", "l_extendedprice")
+    kind = rows.schema["l_suppkey"].dataType.simpleString()
+    return rows.groupBy("l_suppkey").applyInArrow(total, f"l_suppkey {kind}, total double").select("l_suppkey", F.round("total", 2).alias("total"))
+
+
+@query
+def call_recognition(read):
+    script = F.when(F.col("p_size") % 3 == 0, F.format_string("AFRange_Validate(true, 1, true, %d);", F.col("p_size"))).when(F.col("p_size") % 3 == 1, F.lit("AFDate_Format('x')")).otherwise("run()")
+    rows = read("part").select("p_partkey", script.alias("script"))
+    make = lambda s: [(c[0], len(c[1])) if (c := values.parse_call(s)) else (None, -1)]
+    return sequential.explode_rows(rows, ["p_partkey"], ["script"], make, "name string, arguments int")
+
+
+@query
+def mask_print(read):
+    rows = read("customer").select("c_custkey", F.format_string("%09d", F.col("c_custkey") * 7919).alias("v"))
+    return sequential.explode_rows(rows, ["c_custkey"], ["v"], lambda x: [(sequences.apply_mask("999-99-9999", x),)], "masked string")
+
+
+@query
+def date_pictures(read):
+    rows = read("orders").select("o_orderkey", F.date_format("o_orderdate", "dd.MM.yyyy").alias("v"))
+    make = lambda x: [(sequences.print_date("mmm d, yyyy", *sequences.scan_date("dd.mm.yyyy", x)[:3]),)]
+    return sequential.explode_rows(rows, ["o_orderkey"], ["v"], make, "printed string")
+
+
 ORACLES = {
+    "template_lines": "SELECT p_partkey, 'Part ' || p_partkey || ' of ' || p_size || ' {x}' AS line FROM part",
+    "exact_sums": "SELECT l_suppkey, round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE), 2) AS total FROM lineitem GROUP BY l_suppkey",
+    "call_recognition": "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'AFRange_Validate' WHEN 1 THEN 'AFDate_Format' END AS name, CASE p_size % 3 WHEN 0 THEN 4 WHEN 1 THEN 1 ELSE -1 END AS arguments FROM part",
+    "mask_print": "SELECT c_custkey, substr(v, 1, 3) || '-' || substr(v, 4, 2) || '-' || substr(v, 6, 4) AS masked FROM (SELECT c_custkey, lpad(CAST(c_custkey * 7919 AS VARCHAR), 9, '0') AS v FROM customer)",
+    "date_pictures": "SELECT o_orderkey, strftime(o_orderdate, '%b %-d, %Y') AS printed FROM orders",
     "table_markdown": r"""SELECT p_partkey, '| part | a\|b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || replace(regexp_replace(p_name, '([\\`*_\[\]<&~])', '\\\1', 'g'), '|', '\|') || ' | ' || p_size || ' |' AS markdown FROM part""",
     "table_grid_check": """SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'row 1 reaches 2 of 3 columns' WHEN 2 THEN 'row 1 is wider than 3 columns' END AS issue FROM part""",
     "table_stitch": """WITH t AS (SELECT s_nationkey AS doc_id, s_suppkey AS table_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS page, s_acctbal > 0 AS kind FROM supplier),
