@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import dates, numbers, text
-from textloom.operators import hygiene, relations, retrieval, tables
+from textloom.operators import hygiene, pagesets, relations, retrieval, tables
 from textloom.plans.ranking import global_row_number
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -394,6 +394,90 @@ def table_rows(read):
     return lines.select("doc_id", cells.alias("cells")).groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.max(F.size("cells")).alias("n_columns"), F.sha2(F.array_join(F.array_sort(F.collect_list(one)), ""), 256).alias("digest"))
 
 
+# --- page sets and look-ups ------------------------------------------------------------------
+
+
+@query("""WITH a AS (SELECT page_id + 1 AS page FROM pages), b AS (SELECT page_id + 1 AS page FROM pages WHERE page_id % 3 = 0)
+SELECT 0 AS source, page, row_number() OVER (ORDER BY page) AS new_page FROM a UNION ALL SELECT 1, page, (SELECT count(*) FROM a) + row_number() OVER (ORDER BY page) FROM b""")
+def page_merge(read):
+    a = read("pages").select((F.col("page_id") + 1).alias("page"))
+    return pagesets.merge([a, a.filter((F.col("page") - 1) % 3 == 0)])
+
+
+@query("SELECT page_id + 1 AS page, page_id + 1 - CASE WHEN page_id + 1 > 3 THEN 1 ELSE 0 END - CASE WHEN page_id + 1 > 40 THEN 1 ELSE 0 END AS new_page FROM pages WHERE page_id + 1 NOT IN (3, 40)")
+def page_remove(read):
+    return pagesets.remove(read("pages").select((F.col("page_id") + 1).alias("page")), [40, 3])
+
+
+@query("SELECT page_id + 1 AS page, CAST(floor(page_id / 7) + 1 AS BIGINT) AS part, page_id % 7 + 1 AS new_page FROM pages")
+def page_split(read):
+    return pagesets.split(read("pages").select((F.col("page_id") + 1).alias("page")), 7)
+
+
+@query("SELECT p.page_id AS page, o.new_page, p.url FROM pages p JOIN (VALUES (9, 1), (2, 2), (9, 3)) AS o(page, new_page) ON p.page_id = o.page")
+def page_reorder(read):
+    return pagesets.extract(read("pages").select(F.col("page_id").alias("page"), "url"), [9, 2, 9])
+
+
+@query("""SELECT coalesce(a.s_suppkey, b.s_suppkey) AS s_suppkey, coalesce(b.s_name, a.s_name) AS s_name, CASE WHEN b.s_suppkey IS NULL THEN 'kept' WHEN a.s_suppkey IS NULL THEN 'added' ELSE 'replaced' END AS change
+FROM (SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 4 <> 0) a FULL JOIN (SELECT s_suppkey, 'new ' || s_name AS s_name FROM supplier WHERE s_suppkey % 3 = 0) b ON a.s_suppkey = b.s_suppkey""")
+def annotation_upsert(read):
+    s = read("supplier").select("s_suppkey", "s_name")
+    return pagesets.upsert(s.filter("s_suppkey % 4 <> 0"), s.filter("s_suppkey % 3 = 0").withColumn("s_name", F.concat(F.lit("new "), "s_name")), ["s_suppkey"])
+
+
+@query("""SELECT n_name AS name, coalesce((SELECT min(r_regionkey) FROM region WHERE r_name = n_name), (SELECT min(s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey)) AS target FROM nation""")
+def named_targets(read):
+    n = read("nation")
+    first = read("region").select(F.col("r_name").alias("name"), F.col("r_regionkey").cast("long").alias("target"))
+    then = read("supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("name"), F.col("s_suppkey").alias("target"))
+    return pagesets.resolve_names(n.select(F.col("n_name").alias("name")), first, then)
+
+
+@query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
+def first_copies(read):
+    return pagesets.first_of_each(read("documents").select("doc_id", "text"), F.col("text"), "doc_id").select("doc_id")
+
+
+@query("SELECT doc_id, 'characters' AS limit_name, length(text) AS value FROM documents WHERE length(text) > 3000 UNION ALL SELECT doc_id, 'lines', len(string_split(text, chr(10))) FROM documents WHERE len(string_split(text, chr(10))) > 12")
+def limit_report(read):
+    out = pagesets.over_limits(read("documents"), {"characters": (F.char_length("text"), 3000), "lines": (F.size(F.split("text", "\n")), 12), "off": (F.lit(1), None)}, "doc_id")
+    return out.withColumnRenamed("limit", "limit_name")
+
+
+@query("""WITH w AS (SELECT c_custkey AS name, c_mktsegment AS family, c_custkey % 9 * 100 AS weight FROM customer), f AS (SELECT DISTINCT c_mktsegment || '-' || w AS face, c_mktsegment AS family, w AS weight FROM customer, (VALUES (200), (400), (700)) AS t(w) WHERE c_mktsegment <> 'MACHINERY')
+SELECT name, face FROM (SELECT w.name, f.face, row_number() OVER (PARTITION BY w.name ORDER BY abs(w.weight - f.weight), f.face) AS r FROM w LEFT JOIN f ON w.family = f.family) WHERE r = 1""")
+def face_substitution(read):
+    c = read("customer")
+    w = c.select(F.col("c_custkey").alias("name"), F.lower("c_mktsegment").alias("family"), (F.col("c_custkey") % 9 * 100).alias("weight"))
+    f = c.filter("c_mktsegment <> 'MACHINERY'").select("c_mktsegment").distinct().withColumn("weight", F.explode(F.array(F.lit(200), F.lit(400), F.lit(700))))
+    return pagesets.substitute(w, f.select(F.concat_ws("-", "c_mktsegment", "weight").alias("face"), F.col("c_mktsegment").alias("family"), "weight"))
+
+
+@query("""WITH c AS (SELECT p_partkey AS cell_id, p_partkey % 31 * 20.0 AS x0, p_partkey % 17 * 10.0 AS y0, p_partkey % 31 * 20.0 + 20 AS x1, p_partkey % 17 * 10.0 + 10 AS y1 FROM part),
+f AS (SELECT s_suppkey AS position, 'c' || s_suppkey AS color, s_suppkey % 31 * 20.0 + 0.75 AS x0, s_suppkey % 17 * 10.0 - 0.5 AS y0, s_suppkey % 31 * 20.0 + 20 AS x1, s_suppkey % 17 * 10.0 + 10 AS y1 FROM supplier)
+SELECT c.cell_id, max_by(f.color, f.position) AS color FROM c LEFT JOIN f ON abs(c.x0 - f.x0) <= 1 AND abs(c.y0 - f.y0) <= 1 AND abs(c.x1 - f.x1) <= 1 AND abs(c.y1 - f.y1) <= 1 GROUP BY c.cell_id""")
+def cell_fills(read):
+    k, s = F.col("p_partkey"), F.col("s_suppkey")
+    c = read("part").select(k.alias("cell_id"), (k % 31 * 20.0).alias("x0"), (k % 17 * 10.0).alias("y0"), (k % 31 * 20.0 + 20).alias("x1"), (k % 17 * 10.0 + 10).alias("y1"))
+    f = read("supplier").select(s.alias("position"), F.concat(F.lit("c"), s.cast("string")).alias("color"), (s % 31 * 20.0 + 0.75).alias("x0"), (s % 17 * 10.0 - 0.5).alias("y0"), (s % 31 * 20.0 + 20).alias("x1"), (s % 17 * 10.0 + 10).alias("y1"))
+    return pagesets.fill_under(c, f)
+
+
+@query("SELECT l_orderkey, CAST(v AS INT) AS dominant FROM (SELECT l_orderkey, l_suppkey % 5 AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY sum(l_quantity) DESC, min(l_linenumber), l_suppkey % 5 DESC) AS r FROM lineitem GROUP BY l_orderkey, l_suppkey % 5) WHERE r = 1")
+def dominant_size(read):
+    rows = read("lineitem").select("l_orderkey", (F.col("l_suppkey") % 5).cast("int").alias("v"), "l_quantity", "l_linenumber")
+    return pagesets.dominant(rows, "l_orderkey", "v", "l_quantity", "l_linenumber")
+
+
+@query("""SELECT p_partkey AS field, CASE WHEN p_partkey % 4 = 0 THEN 'ok' WHEN p_size < 10 THEN 'rejected' WHEN p_partkey % 4 = 1 THEN 'unrecognised' ELSE 'ok' END AS status FROM part""")
+def rule_evaluation(read):
+    p = read("part")
+    rules = p.filter("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("field"), F.lit(1).alias("position"), F.lit("least").alias("rule"))
+    rules = rules.union(p.filter("p_partkey % 4 = 1").select("p_partkey", F.lit(2), F.lit("script")))
+    return pagesets.evaluate_rules(p.select(F.col("p_partkey").alias("field"), F.col("p_size").cast("string").alias("value")), rules, {"least": numbers.range_validate(F.col("value"), 10)})
+
+
 from textloom.plans import sequential  # noqa: E402  registers the queries that no SQL expresses
 
 QUERIES.update(sequential.QUERIES)
