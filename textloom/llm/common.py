@@ -39,6 +39,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished queries: it does so once the driver has collected its garbage."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and nothing reads any more; then sweep."""
+    spark = tables[0].sparkSession
+    for df in tables:
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/textloom/" in name:
+                path = spark._jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    sweep(spark)
+
+
 def row_key(*cols: Column) -> list[Column]:
     """96 bits that identify a row by its content: columns ``k1`` and ``k2``.
 
@@ -75,7 +94,32 @@ def arrow_bytes(arr) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def byte_slices(off: np.ndarray, limit: int = 4 << 20):
+def tidy(run):
+    """A batch function that hands freed memory back when its task ends: workers are used again by later stages."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return inner
+
+
+def release() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def byte_slices(off: np.ndarray, limit: int = 1 << 20):
     """Row ranges of at most ``limit`` bytes each (one row at least)."""
     i, n = 0, len(off) - 1
     while i < n:

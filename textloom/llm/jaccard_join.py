@@ -16,9 +16,13 @@ A column of the product (a prefix shingle) with its documents is treated thus:
    bound go, the others are verified on whole sets. Links give components.
 2. Columns whose documents are all in one component are done. In a column of at
    most ``SMALL`` documents the pairs across components are taken, as before.
-3. Larger columns are covered by blocks of documents. For each pair of blocks
-   that share a column, one task multiplies the two blocks' incidence matrices and
-   returns a spanning forest of its links, not the pairs.
+3. Documents of larger columns form groups: those of one largest column, and each
+   column whose documents differ in that. A group is dealt out in blocks; for each
+   pair of blocks one task multiplies the two incidence matrices over prefix
+   shingles and drops the pairs below the bounds, and those that an earlier group
+   has. Few pairs left are verified as before. Where more are left than four times
+   the documents, a second task multiplies the whole sets of those documents, and
+   returns a spanning forest of the links, not the pairs.
 
 So every pair that shares a prefix shingle is verified or already connected, and
 no step emits the pairs of a large group. Links and labels stay distributed.
@@ -37,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import arrow_bytes, byte_slices, finish, materialize, windows, words
+from textloom.llm.common import arrow_bytes, byte_slices, discard, finish, materialize, release, sweep, tidy, windows, words
 from textloom.llm.components import components
 
 WORD_LUT = np.arange(256, dtype=np.uint8)
@@ -49,8 +53,8 @@ SAMPLE_ONE_IN = 8
 #: Frequent shingles known to the order: the most frequent ones of the sample (12 bytes each).
 FREQUENT = 200_000
 SMALL = 48
-BLOCK = 256
-BLOOM_BITS = 23
+BLOCK = 1024
+BLOOM_BITS = 27
 
 
 def text_sets(data: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarray]:
@@ -112,7 +116,7 @@ def _frequent(size: int):
         fold()
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(n))], names=["h", "n"])
 
-    return run
+    return tidy(run)
 
 
 class Order:
@@ -161,31 +165,32 @@ def _nodes(share, size: int, percent: int):
                         prefix.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "node", "n", "prefix"])
 
-    return run
+    return tidy(run)
 
 
 def _sets(share, size: int):
-    """text -> node, shingles; for nodes that the bitmap may hold, once a task."""
+    """(hash of the id, text) -> node, h, s (its shingles); for the rows that the bitmap may hold."""
 
     def run(batches):
         import pyarrow as pa
 
-        bitmap, seen = share.value, set()
-        mask = (1 << BLOOM_BITS) - 1
+        bitmap = share.value
+        mask = 8 * len(bitmap) - 1
         for batch in batches:
-            data, off = arrow_bytes(batch.column(0))
+            data, off = arrow_bytes(batch.column(1))
+            h = batch.column(0).to_numpy()
             for i, j in byte_slices(off):
-                node, found = [], []
-                for s in text_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], size):
-                    x = node_of(s)
-                    b = x & mask
-                    if x and x not in seen and bitmap[b >> 3] >> (b & 7) & 1:
-                        seen.add(x)
-                        node.append(x)
+                node, own, found = [], [], []
+                for x, s in zip(h[i:j].tolist(), text_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], size), strict=True):
+                    name = node_of(s)
+                    b = (name ^ x) & mask
+                    if name and bitmap[b >> 3] >> (b & 7) & 1:
+                        node.append(name)
+                        own.append(x)
                         found.append(s.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(own, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "h", "s"])
 
-    return run
+    return tidy(run)
 
 
 def _verify(percent: int):
@@ -208,43 +213,50 @@ def _verify(percent: int):
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([a.take(at), b.take(at)], names=["a", "b"])
 
-    return run
+    return tidy(run)
 
 
-def block_links(nodes: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between side 0 and side 1 (or inside, where all are on side 2).
+def overlaps(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets ``one`` with sets ``two``: the product of their incidence matrices.
 
-    The product of the two incidence matrices over the columns that both hold,
-    in slices of columns.
+    Over columns that occur twice at least, in slices of columns.
     """
-    one = np.flatnonzero(side != 1)
-    two = one if (side == 2).all() else np.flatnonzero(side == 1)
-    n = np.array([len(s) for s in sets], np.int64)
     total = np.zeros((len(one), len(two)), np.float32)
-    row = np.repeat(np.arange(len(sets)), n)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     key = np.concatenate(sets) if sets else np.zeros(0, np.int64)
     u, col, times = np.unique(key, return_inverse=True, return_counts=True)
     keep = times[col] > 1
-    row, col = row[keep], col[keep]
+    row, col = row[keep], (np.cumsum(times > 1) - 1)[col[keep]]
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    place = np.full(len(sets), -1)
-    wide = 8192
-    for lo in range(0, len(u), wide):
+    wide = 2048
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, wide):
         i, j = np.searchsorted(col, [lo, lo + wide])
-        if i == j:
-            continue
         m = np.zeros((len(sets), wide), np.float32)
         m[row[i:j], col[i:j] - lo] = 1
         total += m[one] @ m[two].T
-    size = n[one][:, None] + n[two][None, :]
-    bound = 100 * total.astype(np.int64) >= percent * (size - total.astype(np.int64))
+    return total.astype(np.int64)
+
+
+def sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of either side; where all are on side 2, a block meets itself."""
+    one = np.flatnonzero(side != 1)
+    return one, one if (side == 2).all() else np.flatnonzero(side == 1)
+
+
+def block_links(nodes: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between side 0 and side 1 (or inside, where all are on side 2)."""
+    one, two = sides(side)
+    n = np.array([len(s) for s in sets], np.int64)
+    total = overlaps(sets, one, two)
+    bound = 100 * total >= percent * (n[one][:, None] + n[two][None, :] - total)
     out = []
-    place = {}
+    place: dict[int, int] = {}
 
     def top(x):
         while place.get(x, x) != x:
-            x = place[x] = place.get(place[x], place[x])
+            place[x] = place.get(place[x], place[x])
+            x = place[x]
         return x
 
     for i, j in zip(*np.nonzero(bound), strict=True):
@@ -256,12 +268,44 @@ def block_links(nodes: np.ndarray, side: np.ndarray, sets: list[np.ndarray], per
     return out
 
 
+def _lists(column) -> list[np.ndarray]:
+    return [x.values.to_numpy() for x in column.combine_chunks()] if len(column) else []
+
+
+def _candidates(percent: int):
+    """One pair of blocks: the pairs that the bounds leave, or, where these outnumber the documents, only the documents in them."""
+
+    def run(table):
+        import pyarrow as pa
+
+        task, node, side, n, label, last, group = (table.column(c).to_numpy() for c in ("task", "node", "side", "n", "label", "last", "g"))
+        one, two = sides(side)
+        shared = overlaps(_lists(table.column("ks")), one, two)
+        n1, n2 = n[one][:, None], n[two][None, :]
+        first = np.where(last[one][:, None] <= last[two][None, :], n1, n2)
+        rest = -(-percent * first // 100) - 1
+        left = (shared > 0) & (label[one][:, None] != label[two][None, :]) & ((100 + percent) * (shared + rest) >= percent * (n1 + n2)) & (percent * np.maximum(n1, n2) <= 100 * np.minimum(n1, n2))
+        if left.any():
+            # a pair belongs to the first group that both are in
+            before = [x[x < group[0]] for x in _lists(table.column("gs"))]
+            left &= overlaps(before, one, two) == 0
+        i, j = np.nonzero(np.triu(left) if one is two else left)
+        if len(i) <= 4 * len(node):
+            a, b, s = node[one[i]], node[two[j]], np.zeros(len(i), np.int64)
+        else:
+            rows = np.unique(np.concatenate([one[i], two[j]]))
+            a, b, s = node[rows], np.zeros(len(rows), np.int64), side[rows]
+        return pa.table({"task": pa.array(np.full(len(a), task[0] if len(task) else 0), pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "side": pa.array(s, pa.int32())})
+
+    return run
+
+
 def _block(percent: int):
     def run(table):
         import pyarrow as pa
 
-        sets = [x.values.to_numpy() for x in table.column("s").combine_chunks()] if table.num_rows else []
-        got = block_links(table.column("node").to_numpy(), table.column("side").to_numpy(), sets, percent)
+        got = block_links(table.column("node").to_numpy(), table.column("side").to_numpy(), _lists(table.column("s")), percent)
+        release()
         return pa.table({"a": pa.array([a for a, _ in got], pa.int64()), "b": pa.array([b for _, b in got], pa.int64())})
 
     return run
@@ -272,9 +316,9 @@ class Join:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> None:
         self.spark, self.size, self.percent = docs.sparkSession, size, percent
-        self.text = docs.select(F.col(text_col).alias("text"))
+        self.text = docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text"))
         self.share = self.spark.sparkContext.broadcast
-        sample = self.text.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(SAMPLE_ONE_IN)) == 0)
+        sample = self.text.select("text").filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(SAMPLE_ONE_IN)) == 0)
         often = sample.mapInArrow(_frequent(size), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 3")
         often = often.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
         order = self.share(Order(often["h"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)))
@@ -296,79 +340,109 @@ class Join:
         need = self.percent * (n + m)  # of (100 + percent) times the overlap
         return (self.percent * m <= 100 * n) & ((100 + self.percent) * F.least(n - i, m - j) >= need)
 
-    def prune(self, pairs: DataFrame) -> DataFrame:
-        """Distinct pairs (a, b) whose overlap in the prefixes leaves the needed overlap possible."""
-        p = self.nodes.filter(F.col("prefix").isNotNull()).select("node", F.col("n").cast("long").alias("n"), "prefix")
-        p = p.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").dropDuplicates(["node"])
-        x = p.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
-        y = p.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
+    def shared(self, col: DataFrame) -> DataFrame:
+        """node, n, ks (its keys in columns of two nodes or more; no other counts towards an overlap), last (its prefix's last key), h (of the row that stands for it)."""
+        own = self.nodes.filter("node <> 0").groupBy("node").agg(F.max(F.element_at("prefix", -1)).alias("last"), F.min(F.xxhash64("id")).alias("h"))
+        keys = col.groupBy("node").agg(F.first("n").cast("long").alias("n"), F.collect_list("k").alias("ks"))
+        return materialize(keys.join(own, "node"), "shared")
+
+    def prune(self, pairs: DataFrame, shared: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose overlap in the prefixes leaves the needed overlap possible; with ha, hb."""
+        x = shared.toDF("a", "na", "ka", "la", "ha")
+        y = shared.toDF("b", "nb", "kb", "lb", "hb")
         both = pairs.join(x, "a").join(y, "b")
-        shared = F.size(F.array_intersect("pa", "pb")).cast("long")
-        rest = F.when(F.element_at("pa", -1) <= F.element_at("pb", -1), F.col("na") - F.size("pa")).otherwise(F.col("nb") - F.size("pb"))
-        return both.filter((100 + self.percent) * (shared + rest) >= self.percent * (F.col("na") + F.col("nb"))).select("a", "b")
-
-    def sets(self, nodes: DataFrame) -> DataFrame:
-        """node, s: whole sets of the given nodes, found through a bitmap of fixed size and then a join."""
-        bit = F.col("node").bitwiseAND((1 << BLOOM_BITS) - 1) + 1
-        parts = nodes.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()  # 256 rows of 4 kB at most
-        bitmap = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
+        common = F.size(F.array_intersect("ka", "kb")).cast("long")
+        # beyond the earlier of the two prefixes' ends, that document has t n - 1 shingles left
+        least = F.when(F.col("la") <= F.col("lb"), F.col("na")).otherwise(F.col("nb"))
+        rest = F.ceil(self.percent * least / 100) - 1
+        return both.filter((100 + self.percent) * (common + rest) >= self.percent * (F.col("na") + F.col("nb"))).select("a", "b", "ha", "hb")
+
+    def sets(self, want: DataFrame) -> DataFrame:
+        """node, h, s: whole sets of the rows in ``want`` (node, h), found through a bitmap; some others may be among them."""
+        bits = min(max((8 * want.count()).bit_length(), 18), BLOOM_BITS)
+        bit = F.col("node").bitwiseXOR(F.col("h")).bitwiseAND((1 << bits) - 1) + 1
+        parts = want.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()  # 16 MB at most
+        bitmap = np.zeros((1 << bits) // 8, np.uint8)
         for r in parts:
             bitmap[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-        out = self.text.mapInArrow(_sets(self.share(bitmap), self.size), "node long, s array<long>").dropDuplicates(["node"])
-        return materialize(out, "sets")
+        return materialize(self.text.mapInArrow(_sets(self.share(bitmap), self.size), "node long, h long, s array<long>"), "sets")
 
     def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        x = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
-        y = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(self.percent), "a long, b long")
+        both = pairs.join(sets.toDF("a", "ha", "sa"), ["a", "ha"]).join(sets.toDF("b", "hb", "sb"), ["b", "hb"])
+        return both.select("a", "b", "sa", "sb").mapInArrow(_verify(self.percent), "a long, b long")
 
     def links(self) -> DataFrame:
         """Links (a, b) between nodes that connect exactly the components of all links."""
         col = materialize(self.columns(), "columns")
+        shared = self.shared(col)
+        sweep(self.spark)
+        ends = lambda p: p.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ha").alias("h")), F.struct(F.col("b").alias("node"), F.col("hb").alias("h")))).alias("x")).select("x.*").distinct()
         w = Window.partitionBy("k").orderBy("n", "node")
         entry = F.struct("node", "n", "i")
         star = col.select("k", "node", "n", "i", F.lag(entry).over(w).alias("p"), F.first(entry).over(w).alias("f"))
         star = star.select("k", "node", "n", "i", *[F.col(f"{x}.{c}").alias(x + c) for x in "pf" for c in ("node", "n", "i")])
         pairs = star.filter(F.col("pnode").isNotNull() & self.fits("p", "")).select(F.col("pnode").alias("a"), F.col("node").alias("b"))
         pairs = pairs.union(star.filter((F.col("fnode") != F.col("node")) & self.fits("f", "")).select(F.col("fnode").alias("a"), F.col("node").alias("b")))
-        pairs = materialize(self.prune(materialize(pairs.distinct(), "pairs")), "near")
-        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        pairs = materialize(self.prune(pairs.distinct(), shared), "near")
+        sets = self.sets(ends(pairs))
         found = materialize(self.verify(pairs, sets), "links")
+        discard(sets)
         # columns that still hold several components
         labels = components(found)
-        col = col.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = col.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         by_k = Window.partitionBy("k")
-        col = col.withColumns({"lo": F.min("label").over(by_k), "hi": F.max("label").over(by_k), "m": F.count("*").over(by_k)}).filter("lo <> hi")
-        col = materialize(col.select("k", "node", "n", "i", "label", "m"), "mixed")
-        small, large = col.filter(F.col("m") <= SMALL), col.filter(F.col("m") > SMALL)
+        mixed = mixed.withColumns({"lo": F.min("label").over(by_k), "hi": F.max("label").over(by_k), "m": F.count("*").over(by_k)}).filter("lo <> hi")
+        mixed = materialize(mixed.select("k", "node", "n", "i", "label", "m"), "mixed")
+        discard(col)
+        small, large = mixed.filter(F.col("m") <= SMALL), mixed.filter(F.col("m") > SMALL)
         # what stood before an entry in its column, SMALL at most
         row = F.struct("node", "n", "i", "label")
         earlier = small.withColumn("xs", F.collect_list(row).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("x", F.explode("xs"))
         earlier = earlier.filter("x.label <> label").select(F.col("x.node").alias("a"), F.col("x.n").alias("pn"), F.col("x.i").alias("pi"), F.col("node").alias("b"), "n", "i")
-        more = earlier.filter(self.fits("p", "")).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        more = materialize(self.prune(materialize(more, "pairs")), "near")
-        blocks, tasks = self.blocks(large)
-        want = more.select(F.explode(F.array("a", "b")).alias("node")).union(blocks.select("node")).distinct()
-        want = materialize(want, "wanted")
+        more = earlier.filter(self.fits("p", "")).select("a", "b").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+        more = materialize(self.prune(more, shared), "near")
+        facts = shared.select("node", "n", "ks", "last").join(large.select("node", "label").distinct(), "node")
+        met = self.tasks(large).join(facts, "node")
+        met = met.groupBy("task").applyInArrow(_candidates(self.percent), "task long, a long, b long, side int")
+        met = materialize(met, "met")
+        own = shared.select(F.col("node").alias("a"), F.col("h").alias("ha"))
+        from_blocks = met.filter("b <> 0").select("a", "b").distinct().join(own, "a").join(own.toDF("b", "hb"), "b").select("a", "b", "ha", "hb")
+        more = more.union(from_blocks).distinct()
+        dense = met.filter("b = 0").join(own, "a").select("task", F.col("a").alias("node"), F.col("ha").alias("h"), "side")
+        want = materialize(ends(more).union(dense.select("node", "h")).distinct(), "wanted")
         if want.isEmpty():
             return found
         sets = self.sets(want)
-        found2 = self.verify(more, sets)
-        sides = tasks.join(blocks, "block").join(sets, "node").select("task", "node", "side", "s")
-        found3 = sides.groupBy("task").applyInArrow(_block(self.percent), "a long, b long")
-        return found.union(materialize(found2.union(found3), "links"))
-
-    def blocks(self, large: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Blocks (node, block) of the large columns' nodes, and tasks (task, block, side) for each pair of blocks that meet in a column."""
-        own = large.groupBy("node").agg(F.min("k").alias("k"))
-        r = F.row_number().over(Window.partitionBy("k").orderBy("node")) - 1
-        block = F.xxhash64("k", F.floor(r / BLOCK))
-        blocks = materialize(own.select("node", block.alias("block")), "blocks")
-        meet = large.select("k", "node").join(blocks, "node").groupBy("k").agg(F.array_sort(F.collect_set("block")).alias("b"))
-        pair = meet.select(F.explode("b").alias("x"), "b").select("x", F.explode("b").alias("y")).filter("x <= y").distinct()
-        side = F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("block"), F.lit(2).alias("side")))).otherwise(F.array(F.struct(F.col("x").alias("block"), F.lit(0).alias("side")), F.struct(F.col("y").alias("block"), F.lit(1).alias("side"))))
-        tasks = pair.select(F.xxhash64("x", "y").alias("task"), F.explode(side).alias("s")).select("task", "s.block", "s.side")
-        return blocks, materialize(tasks, "tasks")
+        more = materialize(self.verify(more, sets), "links")
+        full = dense.join(sets, ["node", "h"]).select("task", "node", "side", "s")
+        last = materialize(full.groupBy("task").applyInArrow(_block(self.percent), "a long, b long"), "links")
+        discard(sets, mixed, shared, met)
+        return found.union(more).union(last)
+
+    def tasks(self, large: DataFrame) -> DataFrame:
+        """task, node, side, g, gs: the pairs of blocks that cover every pair of nodes that share a large column.
+
+        A node's home is the largest column it is in. Nodes of one home are a
+        group; a column whose nodes have several homes is a group of its own
+        (columns of the same nodes once). Groups are dealt out in blocks, so rows
+        are as many as entries, times the blocks of a group. ``gs``: the node's
+        groups, by which a pair that is in several is taken once.
+        """
+        home = large.groupBy("node").agg(F.max_by("k", F.struct("m", "k")).alias("home"))
+        col = materialize(large.select("k", "node").join(home, "node"), "homes")
+        mark = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed)))
+        sig = col.groupBy("k").agg(F.min("home").alias("lo"), F.max("home").alias("hi"), F.count("*").alias("m"), mark(1).alias("s1"), mark(2).alias("s2"))
+        many = materialize(sig.filter("lo <> hi"), "mixed")
+        once = many.groupBy("m", "s1", "s2").agg(F.min("k").alias("k")).select("k")
+        own = col.filter("k = home").join(many.select("k"), "k", "left_anti").select(F.col("k").alias("g"), "node")
+        rows = own.union(col.join(once, "k", "left_semi").select(F.col("k").alias("g"), "node"))
+        rows = materialize(rows, "groups")
+        gs = rows.groupBy("node").agg(F.array_sort(F.collect_list("g")).alias("gs"))
+        of = Window.partitionBy("g")
+        rows = rows.withColumn("i", F.floor((F.row_number().over(of.orderBy("node")) - 1) / BLOCK)).withColumn("blocks", F.max("i").over(of))
+        rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks"))))
+        side = F.when(F.col("i") == F.col("j"), 2).when(F.col("i") < F.col("j"), 0).otherwise(1)
+        return rows.select(F.xxhash64("g", F.least("i", "j"), F.greatest("i", "j")).alias("task"), "node", side.alias("side"), "g").join(gs, "node")
 
     def members(self) -> DataFrame:
         """id, node, n, component of every row."""
