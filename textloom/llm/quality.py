@@ -140,13 +140,15 @@ class Network:
                 back = d[:, None] * self.out[None, :]
                 into = back[doc, :FILTERS] / n[doc][:, None]
                 into += np.where(tops == x[doc, FILTERS:], back[doc, FILTERS:], 0)
-                # the window that gave a chunk's largest value gets its gradient
-                c, f = np.nonzero(np.abs(into) > 1e-9)
-                for k in np.unique(c):
-                    mine = f[c == k]
-                    at = first[k] + value[first[k] : end[k]][:, mine].argmax(0)
-                    for j in range(WIDTH):
-                        np.add.at(grads[0][j], (buf[at + j], mine), into[k, mine])
+                # the first window that gave a chunk's largest value gets its gradient
+                size = end - first
+                chunk = np.repeat(np.arange(len(first)), size)
+                at = np.arange(len(chunk)) + np.repeat(first - np.cumsum(size) + size, size)
+                r, f = np.nonzero(value[at] == tops[chunk])
+                _, k = np.unique(chunk[r] * FILTERS + f, return_index=True)
+                at, f, weight = at[r[k]], f[k], into[chunk[r[k]], f[k]]
+                for j in range(WIDTH):
+                    grads[0][j] = np.bincount(buf[at + j].astype(np.int64) * FILTERS + f, weight, 256 * FILTERS).reshape(256, FILTERS)
                 step += 1
                 now = rate * (1 - 0.9 * step / total_steps)
                 for q, g, a, b in zip(params, grads, m, v, strict=True):
