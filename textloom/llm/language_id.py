@@ -176,8 +176,9 @@ class Models:
             h = all_h[n][ends]
             key, first, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
             if n < self.order and len(ends):
-                pairs = np.unique(np.stack([inverse.astype(np.uint64), all_h[n + 1][ends]], 1), axis=0)
-                count = np.bincount(pairs[:, 0].astype(np.int64), minlength=len(key))
+                # each longer n-gram once, at the shorter one that it ends with
+                _, once = np.unique(all_h[n + 1][ends], return_index=True)
+                count = np.bincount(inverse[once], minlength=len(key))
             at = ends[first]
             ctx = all_h[n - 1][at - 1] if n > 1 else np.zeros(len(at), np.uint64)
             out.append((key, cps[at], count.astype(np.float64), ctx, all_h[n - 1][at]))
