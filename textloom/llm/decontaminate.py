@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import arrow_bytes, byte_slices, windows, words
+from textloom.llm.common import arrow_bytes, byte_slices, tidy, windows, words
 
 BLOCK_BYTES = 32 << 20
 
@@ -141,7 +141,7 @@ def _scan(share, text_at: int, mode: str, columns: list[str]):
             arrays += [pa.array(count, pa.int64()), pa.array(lo, pa.list_(pa.int64())), pa.array(hi, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return run
+    return tidy(run)
 
 
 def _blocks(bench: DataFrame, item_col: str, text_col: str, block_bytes: int):

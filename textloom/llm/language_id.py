@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import arrow_bytes, byte_slices, row_key
+from textloom.llm.common import arrow_bytes, byte_slices, row_key, tidy
 from textloom.llm.quality import held_out
 
 ORDER = 4
@@ -252,12 +252,12 @@ def _predict(share):
         names = [*m.names, UNKNOWN]
         for batch in batches:
             data, off = arrow_bytes(batch.column(1))
-            got = [m.predict(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in byte_slices(off, 1 << 21)]
+            got = [m.predict(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in byte_slices(off, 1 << 19)]
             best, score, cost, ok = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0, bool))
             lang = pa.array([names[i] for i in best.tolist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), lang, pa.array(score), pa.array(cost), pa.array(ok)], names=["doc_id", "lang_pred", "score", "cross_entropy", "accepted"])
 
-    return run
+    return tidy(run)
 
 
 def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialize
+from textloom.llm.common import materialize, tidy
 
 BUCKETS = 128
 #: Splits text into the units inside which bytes are merged (fixed, as the vocabulary was made with it).
@@ -87,7 +87,7 @@ def _pieces(path: str, capacity: int, end_id: int):
             ids_of = batch.column(0).take(pa.array(src, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids_of, pa.array(num, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return run
+    return tidy(run)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import arrow_bytes, byte_slices
+from textloom.llm.common import arrow_bytes, byte_slices, tidy
 
 WIDTH = 6
 FILTERS = 16
@@ -181,13 +181,13 @@ def _score(share, text_at: int):
         net = share.value
         for batch in batches:
             data, off = arrow_bytes(batch.column(text_at))
-            got = [net.score(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in byte_slices(off, 1 << 20)]
+            got = [net.score(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in byte_slices(off, 1 << 18)]
             score = pa.array(np.concatenate(got) if got else np.zeros(0), pa.float64())
             keep = [c for i, c in enumerate(batch.columns) if i != text_at] if text_at == batch.num_columns - 1 and batch.schema.names[-1] == "_scored" else list(batch.columns)
             names = [n for n in batch.schema.names if n != "_scored"]
             yield pa.RecordBatch.from_arrays([*keep, score], names=[*names, "_score"])
 
-    return run
+    return tidy(run)
 
 
 def with_score(docs: DataFrame, net: Network, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import arrow_bytes, byte_slices
+from textloom.llm.common import arrow_bytes, byte_slices, tidy
 
 #: Slots of the transition table (13 bytes each); it starts anew beyond a load of 0.6.
 TABLE_BITS = 22
@@ -243,11 +243,11 @@ def _count(path: str):
         for batch in batches:
             data, off = arrow_bytes(batch.column(1))
             t = transducer(path)
-            n = [t.counts(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in byte_slices(off)]
+            n = [t.counts(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in byte_slices(off, 1 << 21)]
             n = np.concatenate(n) if n else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off), pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
-    return run
+    return tidy(run)
 
 
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
