@@ -235,6 +235,15 @@ def test_jaccard_join_ids(spark):
     assert got == sorted([(None, 4), (4, 4), (4, 4), (None, None), (9, 9)], key=repr)
 
 
+def test_one_of_each_awkward_ids(spark):
+    text = "one two three four five six seven"
+    other = "eight nine ten eleven twelve thirteen"
+    # null ids, one id for two texts, and rows repeated as a whole
+    df = table(spark, [text, text, text, other, other, "alone under null, six words here", "", None], [None, 4, 4, 4, 2, None, None, 9])
+    got = sorted(map(tuple, jaccard_join.one_of_each(df).select("doc_id", "text").collect()), key=repr)
+    assert got == sorted([(4, text), (2, other), (None, "alone under null, six words here"), (None, ""), (9, None)], key=repr)
+
+
 def test_block_links():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, rng.integers(10, 60))) for _ in range(40)]

@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import arrow_bytes, byte_slices, discard, finish, materialize, release, sweep, tidy, windows, words
+from textloom.llm.common import ASCII_SPACE, arrow_bytes, byte_slices, discard, finish, materialize, release, row_key, sweep, tidy, windows, words
 from textloom.llm.components import components
 
 WORD_LUT = np.arange(256, dtype=np.uint8)
@@ -139,7 +139,7 @@ class Order:
 
 
 def _nodes(share, size: int, percent: int):
-    """(id, text) -> id, node, n, and for a task's first row of each node the prefix (ordered keys)."""
+    """(id, text, k1, k2) -> id, node, n, k1, k2, and for a task's first row of each node the prefix (ordered keys)."""
 
     def run(batches):
         import pyarrow as pa
@@ -163,7 +163,7 @@ def _nodes(share, size: int, percent: int):
                         prefix.append(np.sort(mine)[:p].view(np.int64))
                     else:
                         prefix.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "node", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), batch.column(2), batch.column(3)], names=["id", "node", "n", "prefix", "k1", "k2"])
 
     return tidy(run)
 
@@ -322,9 +322,9 @@ class Join:
         often = sample.mapInArrow(_frequent(size), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 3")
         often = often.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
         order = self.share(Order(often["h"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)))
-        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *row_key(F.col(id_col), F.col(text_col)))
         kind = rows.schema["id"].dataType.simpleString()
-        self.nodes = materialize(rows.mapInArrow(_nodes(order, size, percent), f"id {kind}, node long, n int, prefix array<long>"), "nodes")
+        self.nodes = materialize(rows.mapInArrow(_nodes(order, size, percent), f"id {kind}, node long, n int, prefix array<long>, k1 long, k2 int"), "nodes")
 
     def columns(self) -> DataFrame:
         """k, node, n, i of prefix entries whose column holds two nodes or more; ``r``: place in the column."""
@@ -445,19 +445,20 @@ class Join:
         return rows.select(F.xxhash64("g", F.least("i", "j"), F.greatest("i", "j")).alias("task"), "node", side.alias("side"), "g").join(gs, "node")
 
     def members(self) -> DataFrame:
-        """id, node, n, component of every row."""
+        """id, n, component, label (of the component; null without shingles), k1, k2 of every row."""
         labels = components(self.links())
-        rows = self.nodes.select("id", "node", "n")
+        rows = self.nodes.select("id", "node", "n", "k1", "k2")
         least = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
         least = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         top = least.groupBy("label").agg(F.min("least").alias("component"))
-        top = materialize(least.join(top, "label").select("node", "component", "copies"), "components")
+        top = materialize(least.join(top, "label").select("node", "label", "component", "copies"), "components")
         # nodes with more than 1/2000 of all rows: 2000 at most, broadcast so that they don't skew the join
         many = int(rows.count() / 2000) + 1
-        hot = top.filter(F.col("copies") > many).select("node", F.col("component").alias("hot"))
-        out = rows.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), "node", "left")
-        done = out.filter("is_hot OR n = 0").select("id", "node", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("hot")).alias("component"))
-        rest = out.filter("is_hot IS NULL AND n > 0").join(top.filter(F.col("copies") <= many).select("node", "component"), "node").select("id", "node", "n", "component")
+        hot = top.filter(F.col("copies") > many).select("node", "label", F.col("component").alias("hot"), F.lit(True).alias("is_hot"))
+        out = rows.join(F.broadcast(hot), "node", "left")
+        said = ["id", "n", "component", "label", "k1", "k2"]
+        done = out.filter("is_hot OR n = 0").withColumn("component", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("hot"))).select(*said)
+        rest = out.filter("is_hot IS NULL AND n > 0").drop("label").join(top.filter(F.col("copies") <= many).select("node", "label", "component"), "node").select(*said)
         return done.union(rest)
 
 
@@ -468,11 +469,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each group: the one with the group's least id (null ids only where alone; of rows equal in id, one). Texts without shingles all stay."""
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns])
-    out = jaccard_components(docs, id_col, text_col, size, percent)
-    gone = out.filter("n_shingles > 0 AND NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    """``docs`` with one row of each group: the row of the least id (a null id comes last; then by a hash of id and text).
+
+    Of rows equal in id and text one stays. Texts without shingles all stay.
+    """
+    names = docs.columns
+    key = row_key(F.col(id_col), F.col(text_col))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("src"), *key, (F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(ASCII_SPACE)) == "").alias("bare"))
+    found = Join(docs.select(id_col, text_col), id_col, text_col, size, percent).members().filter("n > 0")
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("s")).select("s.k1", "s.k2")
+    kept = rows.filter(~F.col("bare")).join(first, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    out = kept.select("src").union(rows.filter("bare").select("src"))
+    return out.select(*[F.col(f"src.`{c}`").alias(c) for c in names])
 
 
 def brute_force(docs: list[tuple], size: int = 5, percent: int = 80) -> list[tuple]:
