@@ -288,6 +288,31 @@ def test_ann(spark):
     assert sorted(r["vec_id"] for r in few) == [1, 2, 3, 4]
 
 
+def ann_brute(data, q, k):
+    """(id, score) of the k best rows under any vector of query id ``q``."""
+    mine = [np.array(v, np.float64) for i, v in data if i == q]
+    best = sorted((-max(float(np.array(v, np.float64) @ m) for m in mine), i) for i, v in data if i != q)[:k]
+    return [(i, -s) for s, i in best]
+
+
+def test_ann_repeated_queries(spark, monkeypatch):
+    monkeypatch.setattr(ann, "QUERIES_A_BLOCK", 8)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 8)).tolist()
+    # query rows stored twice and 20 times, a query id of three vectors (one of them twice), a candidate stored three times
+    data = [*enumerate(x), (20, x[20]), *[(40, x[40])] * 19, (60, x[1]), (60, x[2]), (60, x[2]), *[(7, x[7])] * 2]
+    ship(spark)
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(ann.nearest(df, F.col("vec_id") % 20 == 0, lists=4, target=1.0, short=400).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append(r)
+    for q in range(0, 300, 20):
+        want = ann_brute(data, q, 20)
+        assert [r["rank"] for r in got[q]] == list(range(1, 21))
+        assert [r["vec_id"] for r in got[q]] == [i for i, _ in want]
+        assert np.allclose([r["score"] for r in got[q]], [s for _, s in want])
+
+
 def test_quality(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))

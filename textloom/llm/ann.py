@@ -13,8 +13,10 @@ holds a third of all rows is many tasks; a task returns ``k`` rows a query.
 
 Cases: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part, nor do rows with a null id; rows that share
-a query's id are not its neighbours; repeated rows each count; ties go to the
-smaller id; fewer candidates than ``k`` are all returned if their lists are
+a query's id are not its neighbours; repeated rows each count as candidates;
+query rows of one id are one query: equal ones are asked once, and of different
+ones each candidate row counts once, by its best score; ties go to the smaller
+id; fewer candidates than ``k`` are all returned if their lists are
 probed; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -116,7 +118,7 @@ def _encode(share, dim: int):
         for batch in batches:
             own, codes = index.encode(_matrix(batch.column(1), dim))
             code = pa.FixedSizeBinaryArray.from_buffers(pa.binary(codes.shape[1]), len(codes), [None, pa.py_buffer(np.ascontiguousarray(codes).tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int32()), code], names=["vec_id", "v", "list", "code"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(own, pa.int32()), code], names=["vec_id", "v", "row", "list", "code"])
 
     return run
 
@@ -138,19 +140,19 @@ def _search(share, dim: int, k: int, short: int):
     def run(queries, rows):
         import pyarrow as pa
 
-        got = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        got = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if queries.num_rows and rows.num_rows:
             index = share.value
             rows = rows.sort_by("vec_id").combine_chunks()
-            ids, q_ids = rows.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
+            ids, q_ids, nums = rows.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy(), rows.column("row").to_numpy()
             codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
             q, x = _matrix(queries.column("v"), dim), _matrix(rows.column("v"), dim)
             parts = []
             for i in range(0, len(q), 256):
                 r, c, s = index.search(rows.column("list")[0].as_py(), q[i : i + 256], q_ids[i : i + 256], x, codes, ids, k, short)
-                parts.append((q_ids[i : i + 256][r], ids[c], s))
+                parts.append((q_ids[i : i + 256][r], ids[c], nums[c], s))
             got = [np.concatenate(p) for p in zip(*parts, strict=True)]
-        return pa.table({"query_id": pa.array(got[0], pa.int64()), "vec_id": pa.array(got[1], pa.int64()), "score": pa.array(got[2], pa.float64())})
+        return pa.table({"query_id": pa.array(got[0], pa.int64()), "vec_id": pa.array(got[1], pa.int64()), "row": pa.array(got[2], pa.int64()), "score": pa.array(got[3], pa.float64())})
 
     return run
 
@@ -173,17 +175,21 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     rows = rows.filter(F.size("v") == dim)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
     share = spark.sparkContext.broadcast(Index(np.array(sample["v"].tolist(), np.float64), lists, target, k))
-    index = materialize(rows.mapInArrow(_encode(share, dim), "vec_id long, v array<double>, list int, code binary"), "index")
-    asked = materialize(rows.filter(queries).mapInArrow(_probe(share, dim), "vec_id long, v array<double>, list int"), "probes")
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    index = materialize(numbered.mapInArrow(_encode(share, dim), "vec_id long, v array<double>, row long, list int, code binary"), "index")
+    asked = materialize(rows.filter(queries).dropDuplicates(["vec_id", "v"]).mapInArrow(_probe(share, dim), "vec_id long, v array<double>, list int"), "probes")
     # how many blocks of either side each list has: as many rows as lists
     n = index.groupBy("list").agg(F.ceil(F.count("*") / ROWS_A_BLOCK).alias("c")).join(asked.groupBy("list").agg(F.ceil(F.count("*") / QUERIES_A_BLOCK).alias("q")), "list")
     n = F.broadcast(n)
-    mine = lambda c: F.pmod(F.xxhash64("vec_id", F.lit(c)), F.col(c))
-    left = asked.join(n, "list").withColumn("qb", mine("q")).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1))).drop("c", "q")
-    right = index.join(n, "list").withColumn("cb", mine("c")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1))).drop("c", "q")
+    # rows of one id are dealt to all blocks: queries by id and vector, candidates by row number
+    mine = lambda c, *by: F.pmod(F.xxhash64(*by, F.lit(c)), F.col(c))
+    left = asked.join(n, "list").withColumn("qb", mine("q", "vec_id", "v")).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1))).drop("c", "q")
+    right = index.join(n, "list").withColumn("cb", mine("c", "row")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1))).drop("c", "q")
     by = ["list", "cb", "qb"]
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_search(share, dim, k, short), "query_id long, vec_id long, score double")
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_search(share, dim, k, short), "query_id long, vec_id long, row long, score double")
+    # different vectors of one query id in one list find the same rows: each counts once, by its best score
+    if not asked.groupBy("vec_id", "list").count().filter("count > 1").isEmpty():
+        found = found.groupBy("query_id", "vec_id", "row").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    # rows repeated under one query id would be found once for each: they are one query
     found = found.withColumn("rank", rank).filter(F.col("rank") <= k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
