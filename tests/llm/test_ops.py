@@ -313,6 +313,25 @@ def test_ann_repeated_queries(spark, monkeypatch):
         assert np.allclose([r["score"] for r in got[q]], [s for _, s in want])
 
 
+def test_ann_short_lists(spark, monkeypatch):
+    fitted = ann.Index.__init__
+
+    def one_list(self, *a, **kw):
+        fitted(self, *a, **kw)
+        self.probe = 1
+
+    monkeypatch.setattr(ann.Index, "__init__", one_list)
+    x = np.random.default_rng(3).normal(size=(600, 8)).tolist()
+    # the lists hold 8 rows or so; 30 rows of one id fill one list with rows that aren't candidates
+    data = [*enumerate(x), *[(40, x[40])] * 29, (60, x[40])]
+    ship(spark)
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], []).append(r["rank"])
+    assert {q: sorted(ranks) for q, ranks in got.items()} == {q: list(range(1, 21)) for q in range(0, 600, 20)}
+
+
 def test_quality(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))

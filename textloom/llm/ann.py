@@ -4,7 +4,8 @@ Coarse centroids and the codebooks of the residuals are fitted on a bounded
 sample (``SAMPLE`` vectors, the least by a hash of their id). Every vector is
 then indexed: its list, and a byte for each slice of its residual. A query goes
 to the lists whose centroids have the largest inner product with it; how many
-lists is found on the sample, as the fewest that reach ``target`` recall there.
+lists is found on the sample, as the fewest that reach ``target`` recall there,
+and a query whose lists hold fewer than ``k`` rows of other ids goes to more.
 In a list, a query's asymmetric distance tables rank the codes; the best ``short``
 are ranked again by inner products of the original vectors in double precision.
 
@@ -16,8 +17,7 @@ non-finite components take no part, nor do rows with a null id; rows that share
 a query's id are not its neighbours; repeated rows each count as candidates;
 query rows of one id are one query: equal ones are asked once, and of different
 ones each candidate row counts once, by its best score; ties go to the smaller
-id; fewer candidates than ``k`` are all returned if their lists are
-probed; an empty table gives an empty result; other columns are ignored.
+id; fewer candidates than ``k`` are all returned; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -80,8 +80,13 @@ class Index:
         codes = [_nearest(rest[:, a:b], book) for a, b, book in zip(self.cuts, self.cuts[1:], self.books, strict=False)]
         return own, np.stack(codes, 1).astype(np.uint8)
 
-    def probes(self, q: np.ndarray) -> np.ndarray:
-        return np.argsort(-(q @ self.centroids.T), 1, kind="stable")[:, : self.probe]
+    def probes(self, q: np.ndarray, sizes: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query row, list): the nearest lists, ``probe`` of them or as many as hold ``need`` rows together."""
+        order = np.argsort(-(q @ self.centroids.T), 1, kind="stable")
+        short = np.cumsum(sizes[order], 1) < need[:, None]
+        n = np.minimum(np.maximum(self.probe, short.sum(1) + 1), order.shape[1])
+        row, at = np.nonzero(np.arange(order.shape[1])[None, :] < n[:, None])
+        return row, order[row, at]
 
     def search(self, own: int, q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, codes: np.ndarray, ids: np.ndarray, k: int, short: int):
         """(query row, candidate row, score): each query's k best in one block of list ``own``; candidates come in order of id."""
@@ -123,15 +128,16 @@ def _encode(share, dim: int):
     return run
 
 
-def _probe(share, dim: int):
+def _probe(share, dim: int, sizes: np.ndarray, k: int):
     def run(batches):
         import pyarrow as pa
 
         index = share.value
         for batch in batches:
-            lists = index.probes(_matrix(batch.column(1), dim))
-            at = pa.array(np.repeat(np.arange(len(lists)), lists.shape[1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lists.ravel(), pa.int32())], names=["vec_id", "v", "list"])
+            # rows of the query's own id may lie in its lists and are no candidates
+            row, lists = index.probes(_matrix(batch.column(1), dim), sizes, k + batch.column(2).to_numpy())
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lists, pa.int32())], names=["vec_id", "v", "list"])
 
     return run
 
@@ -177,7 +183,14 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     share = spark.sparkContext.broadcast(Index(np.array(sample["v"].tolist(), np.float64), lists, target, k))
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
     index = materialize(numbered.mapInArrow(_encode(share, dim), "vec_id long, v array<double>, row long, list int, code binary"), "index")
-    asked = materialize(rows.filter(queries).dropDuplicates(["vec_id", "v"]).mapInArrow(_probe(share, dim), "vec_id long, v array<double>, list int"), "probes")
+    sizes = np.zeros(len(share.value.centroids), np.int64)
+    for r in index.groupBy("list").count().collect():  # as many rows as lists
+        sizes[r["list"]] = r["count"]
+    once = rows.filter(queries).groupBy("vec_id", "v").agg(F.count("*").alias("own"))
+    # of an id with several vectors, the rows of all
+    more = once.groupBy("vec_id").agg(F.sum("own").alias("all"), F.count("*").alias("vectors")).filter("vectors > 1").drop("vectors")
+    once = once.join(more, "vec_id", "left").select("vec_id", "v", F.coalesce("all", "own").alias("own"))
+    asked = materialize(once.mapInArrow(_probe(share, dim, sizes, k), "vec_id long, v array<double>, list int"), "probes")
     # how many blocks of either side each list has: as many rows as lists
     n = index.groupBy("list").agg(F.ceil(F.count("*") / ROWS_A_BLOCK).alias("c")).join(asked.groupBy("list").agg(F.ceil(F.count("*") / QUERIES_A_BLOCK).alias("q")), "list")
     n = F.broadcast(n)
