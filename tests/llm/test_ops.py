@@ -204,6 +204,25 @@ def test_decontaminate(spark):
     assert {r["doc_id"]: r["text"] for r in cut.collect()}[len(t) - 2] == " here"
 
 
+def test_decontaminate_null_item_id(spark, tmp_path):
+    import duckdb
+
+    t = ["alpha beta gamma here", "delta epsilon", "alpha beta gamma delta epsilon", "nothing", None]
+    items = [(None, "alpha beta gamma"), (None, "delta epsilon"), (3, "delta epsilon"), (None, None)]
+    df, b = table(spark, t), spark.createDataFrame(items, "item_id long, text string")
+    cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    c = duckdb.connect()
+    for name, x in (("documents", df), ("benchmark", b)):
+        x.write.parquet(f"{tmp_path}/{name}")
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
+    want = sorted(c.sql(decontaminate.ORACLE).fetchall(), key=repr)
+    assert [r[2] for r in want] == [3, 2, 5, 0, 0]
+    assert rows(decontaminate.contamination_report(df, b), *cols) == want
+    assert rows(decontaminate.contamination_report(df, b, block_bytes=80), *cols) == want
+    assert sorted(decontaminate.brute_force(list(enumerate(t)), items), key=repr) == want
+    assert rows(decontaminate.decontaminate(df, b), "doc_id") == [(3,), (4,)]
+
+
 def test_jaccard_join(spark, monkeypatch):
     rng = random.Random(6)
     t = awkward()

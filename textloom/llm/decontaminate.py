@@ -12,8 +12,8 @@ adding its hits to those of the last; no broadcast outgrows the bound.
 
 Cases: null or empty texts have no words and no hits; a null or wordless item is
 never found; equal items under several ids are all reported; an item id that
-occurs twice counts once (its texts are windows of one item); null ids of items
-are left out; rows of equal content are each reported; empty tables are fine;
+occurs twice counts once (its texts are windows of one item); items with a null
+id are found too, as one item without a name in ``items_sha256``; rows of equal content are each reported; empty tables are fine;
 columns of any name pass through ``decontaminate``.
 """
 
@@ -40,9 +40,9 @@ STATE = "_n_words long, _from array<long>, _to array<long>, _items array<string>
 class WindowIndex:
     """Sorted window hashes of benchmark items, with the words to verify a hit."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int) -> None:
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int) -> None:
         self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        found: dict[int, dict[bytes, set[str]]] = {}
+        found: dict[int, dict[bytes, set[str | None]]] = {}
         hashes: dict[int, dict[bytes, int]] = {}
         for name, text in items:
             data = np.frombuffer((text or "").encode(), np.uint8)
@@ -70,7 +70,7 @@ class WindowIndex:
         count = np.bincount(doc, minlength=n)
         base = np.concatenate([[0], np.cumsum(count)])
         ranges: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        names: list[set[str]] = [set() for _ in range(n)]
+        names: list[set[str | None]] = [set() for _ in range(n)]
         low = None
         for k, (keys, seen) in self.by_size.items():
             w = windows(h, k)
@@ -136,7 +136,7 @@ def _scan(share, text_at: int, mode: str, columns: list[str]):
                     got = merge([*r[d], *zip(before[1][i + d], before[2][i + d], strict=True)]) if r[d] else list(zip(before[1][i + d], before[2][i + d], strict=True))
                     lo.append([a for a, _ in got])
                     hi.append([b for _, b in got])
-                    names.append(sorted(x[d] | set(before[3][i + d])) if x[d] else before[3][i + d])
+                    names.append(sorted(x[d] | set(before[3][i + d]), key=lambda s: (s is None, s or "")) if x[d] else before[3][i + d])
             arrays = [batch.column(i) for i in range(batch.num_columns - 4)]
             arrays += [pa.array(count, pa.int64()), pa.array(lo, pa.list_(pa.int64())), pa.array(hi, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
@@ -146,7 +146,7 @@ def _scan(share, text_at: int, mode: str, columns: list[str]):
 
 def _blocks(bench: DataFrame, item_col: str, text_col: str, block_bytes: int):
     """Items of the benchmark as lists of (id, text), each list of about ``block_bytes`` at most."""
-    b = bench.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).dropna()
+    b = bench.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).dropna(subset=["text"])
     total = b.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = -(-total // block_bytes)
     for i in range(n):
@@ -192,7 +192,7 @@ def brute_force(docs: list[tuple], items: list[tuple], window: int = 10) -> list
 
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     cut_words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower))
-    tests = [(str(i), cut_words(t)) for i, t in items if i is not None]
+    tests = [(None if i is None else str(i), cut_words(t)) for i, t in items]
     out = []
     for doc_id, text in docs:
         w, hit, names = cut_words(text), set(), set()
@@ -203,7 +203,7 @@ def brute_force(docs: list[tuple], items: list[tuple], window: int = 10) -> list
                 if tuple(w[i : i + k]) in grams:
                     hit |= set(range(i, i + k))
                     names.add(name)
-        out.append((doc_id, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)))
+        out.append((doc_id, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(x for x in names if x is not None)).encode()).hexdigest(), bool(hit)))
     return out
 
 
