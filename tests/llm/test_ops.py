@@ -254,6 +254,15 @@ def test_jaccard_join_ids(spark):
     assert got == sorted([(None, 4), (4, 4), (4, 4), (None, None), (9, 9)], key=repr)
 
 
+def test_jaccard_join_nul(spark):
+    # NUL is part of a word, alone too; it is not the letter a or A, nor a space
+    t = ["\x00\x00", "\x00", "\x00", "a", "A b\x00c", "a b c", "a bac", "\x00 one two three four five", " ", ""]
+    df = table(spark, t)
+    want = sorted(jaccard_join.brute_force(list(enumerate(t))), key=repr)
+    assert rows(jaccard_join.jaccard_components(df), "doc_id", "n_shingles", "component_id") == want
+    assert rows(jaccard_join.one_of_each(df), "doc_id") == [(0,), (1,), (3,), (4,), (5,), (6,), (7,), (8,), (9,)]
+
+
 def test_one_of_each_awkward_ids(spark):
     text = "one two three four five six seven"
     other = "eight nine ten eleven twelve thirteen"

@@ -47,6 +47,7 @@ from textloom.llm.components import components
 WORD_LUT = np.arange(256, dtype=np.uint8)
 WORD_LUT[0x41:0x5B] += 32
 WORD_LUT[[0x20, *range(0x09, 0x0E)]] = 0
+WORD_LUT[0x00] = 0x41  # NUL is part of words; no byte counts as a capital otherwise
 
 #: Documents in one of so many are looked at for frequent shingles; placing in the order only.
 SAMPLE_ONE_IN = 8
