@@ -186,6 +186,14 @@ def test_packing_plan(seed):
     assert used == counts
 
 
+def test_packing_plan_has_fills(monkeypatch):
+    made = []
+    one = packing._plan
+    monkeypatch.setattr(packing, "_plan", lambda counts, capacity, most: made.append(most) or one(counts, capacity, most))
+    steps = packing.plan({6: 2, 4: 1, 3: 1, 1: 1}, 10)
+    assert min(made) >= 1 and sorted(p for p, _ in steps) == [(6, 3, 1), (6, 4)]
+
+
 def test_decontaminate(spark):
     t = [*awkward(), "Before the ITEM words one two three four five six seven eight nine ten after", "short-ITEM here", "Kurz"]
     items = [(1, "item words one two three four five six seven eight nine"), (2, "item words one two three four five six seven eight nine"), (3, "short item"), (4, None), (5, "--"), (6, "kurz"), (7, "Über x1 ok"), (None, "one")]

@@ -94,10 +94,10 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     """Sequences as (lengths in order, how many such sequences), using every piece once.
 
     Exact fills use up short pieces that best fit might place better, so the plan
-    is made with fills of up to three, two and one pieces, and with none; the one
-    with the fewest sequences is taken (the most exact fills among equals).
+    is made with fills of up to three, two and one pieces; the one with the fewest
+    sequences is taken (the most exact fills among equals). None goes without fills.
     """
-    return min((_plan(counts, capacity, most) for most in (3, 2, 1, 0)), key=lambda steps: sum(k for _, k in steps))
+    return min((_plan(counts, capacity, most) for most in (3, 2, 1)), key=lambda steps: sum(k for _, k in steps))
 
 
 def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
