@@ -6,30 +6,36 @@ value for each window; a chunk keeps each filter's largest; a document keeps the
 mean and the largest over its chunks; a logistic layer makes one probability.
 
 Training (Adam, gradients through the maxima) runs on the driver over at most
-``SAMPLE`` labelled documents, the least by a hash of their id, of at most
-``LONGEST`` bytes each; that bounds what is fitted, not what is scored. Scoring
-reads whole texts in constant memory a batch.
-
-Cases: null and empty texts are scored as a document of one zero byte; labels that
-are null or of unknown documents are left out; without labels of both kinds every
-score is the share of label 1 (0.5 without labels); equal rows get equal scores;
-null ids are scored (not held out); an empty table gives an empty result; other
-columns are ignored, or pass through ``keep_good``.
+``SAMPLE`` segments of labelled documents, the least by a hash; a segment is
+``SEGMENT`` bytes of a text, a shorter text is one segment, so every part of a
+text of any length may be drawn and the driver holds ``SAMPLE`` x ``SEGMENT``
+bytes at most. Scoring reads whole texts, some ``BLOCK`` chunks at a time: its
+memory is that of a batch of texts and a constant.
+
+Cases: null and empty texts are scored as a document of one zero byte; a very
+long text is scored like any other, in constant memory beside the text itself;
+labels that are null or of unknown documents are left out; without labels of both
+kinds every score is the share of label 1 (0.5 without labels); equal rows get
+equal scores; null ids are scored (not held out); an empty table gives an empty
+result; columns of any name are ignored, or pass through ``keep_good`` unchanged.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import arrow_bytes, byte_slices, tidy
+from textloom.llm.common import arrow_bytes, byte_slices
 
 WIDTH = 6
 FILTERS = 16
 CHUNK = 256
 SAMPLE = 4000
-LONGEST = 1 << 20
+SEGMENT = 1 << 14
+#: Chunks whose windows are held at once.
+BLOCK = 512
 
 
 def pad(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -38,7 +44,8 @@ def pad(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     windows = np.maximum(n, 1)
     start = np.concatenate([[0], np.cumsum(windows + WIDTH - 1)])
     out = np.zeros(start[-1], np.uint8)
-    out[np.arange(len(data)) + np.repeat(start[:-1] - off[:-1], n)] = data
+    for a, b, at in zip(off[:-1].tolist(), off[1:].tolist(), start[:-1].tolist(), strict=True):
+        out[at : at + b - a] = data[a:b]
     return out, start[:-1], windows
 
 
@@ -93,10 +100,23 @@ class Network:
         return value, (first, end, doc), tops, np.concatenate([mean, most], 1), n, begin
 
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        if len(off) < 2:
+        """Probability of label 1 for each text; chunks of all texts go through the filters ``BLOCK`` at a time."""
+        m = len(off) - 1
+        if m < 1:
             return np.zeros(0)
-        _, _, _, x, _, _ = self.features(*pad(data, off))
-        z = (x - self.shift) @ self.out + self.bias[0]
+        buf, start, windows = pad(data, off)
+        first, end, doc = self.chunks(start, windows)
+        total, most = np.zeros((m, FILTERS)), np.full((m, FILTERS), -np.inf, np.float32)
+        for i in range(0, len(first), BLOCK):
+            lo, hi, own = first[i : i + BLOCK], end[i : i + BLOCK], doc[i : i + BLOCK]
+            value = self.convolve(buf[lo[0] : hi[-1] + WIDTH - 1])
+            edges = np.stack([lo, hi], 1).ravel() - lo[0]
+            tops = np.maximum.reduceat(value, edges[:-1], axis=0)[::2]
+            begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            total[own[begin]] += np.add.reduceat(tops, begin, axis=0, dtype=np.float64)
+            most[own[begin]] = np.maximum(most[own[begin]], np.maximum.reduceat(tops, begin, axis=0))
+        mean = (total / np.bincount(doc, minlength=m)[:, None]).astype(np.float32)
+        z = (np.concatenate([mean, most], 1) - self.shift) @ self.out + self.bias[0]
         return 1 / (1 + np.exp(-z.astype(np.float64)))
 
     def start_from(self, texts: list[bytes], label: np.ndarray) -> None:
@@ -163,51 +183,38 @@ def held_out(id_col: Column, mod: int = 5, rest: int = 0) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Network:
-    """A network fitted on at most ``sample`` labelled documents outside the held-out fold."""
+    """A network fitted on at most ``sample`` segments of labelled documents outside the held-out fold."""
     y = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna().filter(~held_out(F.col("_id")))
     y = y.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)
-    text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_t")).filter(F.octet_length("_t") <= LONGEST)
-    got = text.join(F.broadcast(y), "_id").orderBy(F.xxhash64("_id"), "_id", "_t").limit(sample).collect()
+    text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_t")).dropna()
+    parts = text.join(F.broadcast(y), "_id").select("_id", "_y", "_t", F.explode(F.sequence(F.lit(0), F.greatest(F.octet_length("_t") - 1, F.lit(0)).cast("int"), F.lit(SEGMENT))).alias("_at"))
+    parts = parts.select("_id", "_y", "_at", F.substring("_t", F.col("_at") + 1, F.lit(SEGMENT)).alias("_t"))
+    got = parts.orderBy(F.xxhash64("_id", "_at"), "_id", "_at", "_t", "_y").limit(sample).select("_t", "_y").collect()
     net = Network()
     net.fit([bytes(r["_t"]) for r in got], np.array([r["_y"] for r in got], np.float32))
     net.ready()
     return net
 
 
-def _score(share, text_at: int):
-    def run(batches):
-        import pyarrow as pa
-
-        net = share.value
-        for batch in batches:
-            data, off = arrow_bytes(batch.column(text_at))
-            got = [net.score(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in byte_slices(off, 1 << 18)]
-            score = pa.array(np.concatenate(got) if got else np.zeros(0), pa.float64())
-            keep = [c for i, c in enumerate(batch.columns) if i != text_at] if text_at == batch.num_columns - 1 and batch.schema.names[-1] == "_scored" else list(batch.columns)
-            names = [n for n in batch.schema.names if n != "_scored"]
-            yield pa.RecordBatch.from_arrays([*keep, score], names=[*names, "_score"])
-
-    return tidy(run)
-
+def score_column(share, text: Column) -> Column:
+    """The score of ``text`` by a broadcast network. Only the text goes to Python; other columns stay where they are."""
 
-def with_score(docs: DataFrame, net: Network, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``carry`` columns of ``docs`` and _score."""
-    carry = docs.columns if carry is None else carry
-    rows = docs.select(*[F.col(f"`{c}`") for c in carry if c != "_score"], F.col(f"`{text_col}`").alias("_scored"))
-    from pyspark.sql import types as T
+    def scores(texts: pa.Array) -> pa.Array:
+        data, off = arrow_bytes(texts)
+        got = [share.value.score(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in byte_slices(off)]
+        return pa.array(np.concatenate(got) if got else np.zeros(0), pa.float64())
 
-    schema = T.StructType([*[f for f in rows.schema if f.name != "_scored"], T.StructField("_score", T.DoubleType())])
-    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(net), len(rows.columns) - 1), schema)
+    return F.arrow_udf(scores, "double")(text)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
-    out = with_score(docs, train(docs, labels, id_col=id_col, text_col=text_col), text_col, [id_col])
-    return out.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    share = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col=id_col, text_col=text_col))
+    out = docs.select(F.col(id_col).alias("doc_id"), score_column(share, F.col(text_col)).alias("score"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """``docs`` without the documents that score below ``threshold``."""
-    names = docs.columns
-    out = with_score(docs, train(docs, labels, id_col=id_col, text_col=text_col), text_col)
-    return out.filter(F.col("_score") >= threshold).select(*[F.col(f"`{c}`") for c in names])
+    share = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col=id_col, text_col=text_col))
+    return docs.filter(score_column(share, F.col(f"`{text_col}`")) >= threshold)
