@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+from tests.llm import brute
 from textloom.llm import decontaminate, jaccard_join
 from textloom.llm.common import materialize
 
@@ -46,11 +47,11 @@ def test_stages(spark, tmp_path):
     assert before.count() == after.count() and after.filter("text like '%shared notice%'").count() == 0
     assert after.filter("n_chars <> char_length(text)").count() == 0
     before, after = kept["n-gram Jaccard join"]
-    want = {i for i, n, c in jaccard_join.brute_force([(r["doc_id"], r["text"]) for r in before.collect()]) if i == c or not n}
+    want = {i for i, n, c in brute.jaccard([(r["doc_id"], r["text"]) for r in before.collect()]) if i == c or not n}
     assert {r["doc_id"] for r in after.collect()} == want
     before, after = kept["benchmark decontamination"]
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
-    want = {r[0] for r in decontaminate.brute_force([(r["doc_id"], r["text"]) for r in before.collect()], bench) if not r[-1]}
+    want = {r[0] for r in brute.contamination([(r["doc_id"], r["text"]) for r in before.collect()], bench) if not r[-1]}
     assert {r["doc_id"] for r in after.collect()} == want and 13 not in want
     before, after = kept["best-fit packing"]
     assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in before.collect()}

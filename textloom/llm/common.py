@@ -18,10 +18,14 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
     A cluster names it in ``spark.checkpoint.dir``. Only where neither that
-    setting nor a checkpoint folder exists (tests) a temporary folder is set.
+    setting nor a checkpoint folder exists and all tasks run in the driver's own
+    process (tests), a temporary folder is set.
     """
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -139,16 +143,20 @@ def _inverse(b: np.uint64) -> np.uint64:
     return np.uint64(pow(int(b), -1, 1 << 64))
 
 
+#: Powers are kept up to this exponent; longer runs make their own each time.
+KEPT = 1 << 20
 _POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64, cached."""
+    """base**0 ... base**(n-1) modulo 2**64."""
     have = _POWERS.get(int(base))
     if have is None or len(have) < n:
         full = np.full(max(n, 1 << 16), base, np.uint64)
         full[0] = 1
-        have = _POWERS[int(base)] = np.multiply.accumulate(full)
+        have = np.multiply.accumulate(full)
+        if n <= KEPT:
+            _POWERS[int(base)] = have
     return have[:n]
 
 
@@ -159,12 +167,34 @@ def finish(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def words(data: np.ndarray, off: np.ndarray, lut: np.ndarray):
+def words(data: np.ndarray, off: np.ndarray, lut: np.ndarray, piece: int = KEPT // 2):
     """Words of concatenated texts.
 
     ``lut`` maps a byte to 0 (separator) or to the byte it counts as. Returns
-    (start, end, text index, hash) of each word; no word spans two texts.
+    (start, end, text index, hash) of each word; no word spans two texts. Long
+    buffers are read in pieces that end where a word does, so that memory beside
+    the words is that of a piece (or of the longest word).
     """
+    if len(data) <= piece:
+        return _words(data, off, lut)
+    parts, at = [], 0
+    while at < len(data):
+        to, ahead = min(at + piece, len(data)), piece
+        while to < len(data):
+            gap = np.flatnonzero(lut[data[to : to + ahead]] == 0)
+            edge = int(np.searchsorted(off, to))  # a text's end is a word's end too
+            to = min(to + int(gap[0]) if len(gap) else to + ahead, int(off[edge]), len(data))
+            if len(gap) or to == off[edge]:
+                break
+        lo = int(np.searchsorted(off, at, side="right")) - 1
+        hi = int(np.searchsorted(off, to, side="left"))
+        s, e, doc, h = _words(data[at:to], np.clip(off[lo : hi + 1], at, to) - at, lut)
+        parts.append((s + at, e + at, doc + lo, h))
+        at = to
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _words(data: np.ndarray, off: np.ndarray, lut: np.ndarray):
     low = lut[data]
     inside = low != 0
     first = inside.copy()

@@ -194,49 +194,98 @@ def _sets(share, size: int):
     return tidy(run)
 
 
+def pair_overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Overlaps of rows ``a`` with rows ``b`` of a sparse incidence matrix, one for each pair.
+
+    The entries of both rows are laid under the pair's number and sorted; a column
+    that both have stands twice, and a count of these by pair is the product.
+    """
+    n = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+    _, col = np.unique(flat, return_inverse=True)
+    start = np.cumsum(n) - n
+    rows = np.concatenate([a, b])
+    pair = np.repeat(np.concatenate([np.arange(len(a)), np.arange(len(b))]), n[rows])
+    at = np.arange(len(pair)) + np.repeat(start[rows] - (np.cumsum(n[rows]) - n[rows]), n[rows])
+    entry = pair * (int(col.max()) + 1 if len(col) else 1) + col[at]
+    order = np.argsort(entry, kind="stable")
+    twice = entry[order][1:] == entry[order][:-1]
+    return np.bincount(pair[order][1:][twice], minlength=len(a))
+
+
 def _verify(percent: int):
-    """(a, b, sa, sb) -> the links among them."""
+    """(a, b, sa, sb) -> the links among them, by sparse products over batches of pairs."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            a, b = batch.column(0), batch.column(1)
-            sa, sb = batch.column(2), batch.column(3)
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            sa, sb = ([x.values.to_numpy() for x in batch.column(i)] for i in (2, 3))
+            n = np.array([[len(x), len(y)] for x, y in zip(sa, sb, strict=True)], np.int64).reshape(-1, 2)
             keep = []
-            for i in range(batch.num_rows):
-                x, y = sa[i].values.to_numpy(), sb[i].values.to_numpy()
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([a.take(at), b.take(at)], names=["a", "b"])
+            # pairs of some 200,000 entries at a time
+            for i, j in byte_slices(np.concatenate([[0], np.cumsum(n.sum(1))]), 200_000):
+                # a row that many pairs share is one row of the matrix
+                nodes, row = np.unique(np.concatenate([a[i:j], b[i:j]]), return_inverse=True)
+                sets: list = [None] * len(nodes)
+                for r, x in zip(row.tolist(), sa[i:j] + sb[i:j], strict=True):
+                    sets[r] = x
+                common = pair_overlaps(sets, row[: j - i], row[j - i :])
+                keep.append(i + np.flatnonzero(100 * common >= percent * (n[i:j].sum(1) - common)))
+            at = pa.array(np.concatenate(keep) if keep else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
     return tidy(run)
 
 
+#: Columns of a block with more rows than this are multiplied as dense slices, others entry by entry.
+DENSE = 32
+
+
 def overlaps(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of sets ``one`` with sets ``two``: the product of their incidence matrices.
+    """Sizes of the intersections of sets ``one`` with sets ``two``: the product of their sparse incidence matrices.
 
-    Over columns that occur twice at least, in slices of columns.
+    Entries are sorted by column. A column of few rows adds one to each of its row
+    pairs, counted by ``bincount``; columns of many rows are gathered into slices
+    and multiplied.
     """
-    total = np.zeros((len(one), len(two)), np.float32)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    key = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-    u, col, times = np.unique(key, return_inverse=True, return_counts=True)
-    keep = times[col] > 1
-    row, col = row[keep], (np.cumsum(times > 1) - 1)[col[keep]]
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    wide = 2048
-    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, wide):
-        i, j = np.searchsorted(col, [lo, lo + wide])
-        m = np.zeros((len(sets), wide), np.float32)
-        m[row[i:j], col[i:j] - lo] = 1
-        total += m[one] @ m[two].T
-    return total.astype(np.int64)
+    out = np.zeros(len(one) * len(two), np.int64)
+    flat = lambda rows: (np.concatenate([sets[r] for r in rows]) if len(rows) else np.zeros(0, np.int64), np.repeat(np.arange(len(rows)), [len(sets[r]) for r in rows]))
+    (k1, r1), (k2, r2) = flat(one), flat(two)
+    cols = np.intersect1d(k1, k2)
+    if not len(cols):
+        return out.reshape(len(one), len(two))
+
+    def sorted_in(k, r):
+        c = np.minimum(np.searchsorted(cols, k), len(cols) - 1)
+        own = np.flatnonzero(cols[c] == k)
+        own = own[np.argsort(c[own], kind="stable")]
+        return c[own], r[own], np.bincount(c[own], minlength=len(cols))
+
+    (c1, r1, n1), (c2, r2, n2) = sorted_in(k1, r1), sorted_in(k2, r2)
+    begin2 = np.cumsum(n2) - n2
+    thin = n1 * n2 <= DENSE * DENSE
+    # each entry of side one meets the entries of side two in its column
+    i = np.flatnonzero(thin[c1])
+    for lo, hi in byte_slices(np.concatenate([[0], np.cumsum(n2[c1[i]])]), 1_000_000):
+        x = i[lo:hi]
+        times = n2[c1[x]]
+        j = np.arange(times.sum()) + np.repeat(begin2[c1[x]] - (np.cumsum(times) - times), times)
+        out += np.bincount(np.repeat(r1[x], times) * len(two) + r2[j], minlength=len(out))
+    out = out.reshape(len(one), len(two))
+    wide = np.flatnonzero(~thin)
+    slot = np.full(len(cols), -1)
+    for lo in range(0, len(wide), 1024):
+        part = wide[lo : lo + 1024]
+        slot[part] = np.arange(len(part))
+        m1, m2 = np.zeros((len(one), len(part)), np.float32), np.zeros((len(two), len(part)), np.float32)
+        for m, c, r in ((m1, c1, r1), (m2, c2, r2)):
+            on = slot[c] >= 0
+            m[r[on], slot[c[on]]] = 1
+        out += (m1 @ m2.T).astype(np.int64)
+        slot[part] = -1
+    return out
 
 
 def sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -366,7 +415,13 @@ class Join:
         bitmap = np.zeros((1 << bits) // 8, np.uint8)
         for r in parts:
             bitmap[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-        return materialize(self.text.mapInArrow(_sets(self.share(bitmap), self.size), "node long, h long, s array<long>"), "sets")
+        out = materialize(self.text.mapInArrow(_sets(self.share(bitmap), self.size), "node long, h long, s array<long>"), "sets")
+        if out.groupBy("node", "h").count().filter("count > 1").isEmpty():
+            return out
+        # rows repeated under one id: one set for each
+        once = materialize(out.dropDuplicates(["node", "h"]), "sets")
+        discard(out)
+        return once
 
     def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         both = pairs.join(sets.toDF("a", "ha", "sa"), ["a", "ha"]).join(sets.toDF("b", "hb", "sb"), ["b", "hb"])
@@ -484,28 +539,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(*[F.col(f"src.`{c}`").alias(c) for c in names])
 
 
-def brute_force(docs: list[tuple], size: int = 5, percent: int = 80) -> list[tuple]:
-    """The rows by comparing all pairs, for tests: docs are (id, text)."""
-    import re
-
-    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    sets = []
-    for _, text in docs:
-        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(lower))
-        sets.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set())
-    least = [i for i, _ in docs]
-    changed = True
-    linked = [(a, b) for a in range(len(docs)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
-    while changed:
-        changed = False
-        for a, b in linked:
-            m = min((x for x in (least[a], least[b]) if x is not None), default=None)
-            if least[a] != m or least[b] != m:
-                least[a] = least[b] = m
-                changed = True
-    return [(i, len(s), m) for (i, _), s, m in zip(docs, sets, least, strict=True)]
-
-
 ORACLE = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
