@@ -8,11 +8,17 @@ transition reads one code point and is annotated with the change in the number
 of tokens. States and transitions are compiled when first met and kept in an open
 hash table of bounded size.
 
-A boundary between two code points that stand side by side in no piece resets
-the transducer: whatever came before, it goes on from the start state. Texts are
-cut into chunks at such boundaries, so the state map of a chunk is constant and
-maps compose by adding counts; thousands of chunks step through the transducer
-at once, and a prefix sum over chunk counts gives the documents' counts.
+Texts are cut into chunks, and a chunk's map takes the state before it to the
+state after it and a count. Maps compose by a prefix scan: what one chunk ends in,
+the next begins with. Of a map, the entries that the scan asks for are made:
+thousands of chunks step through the transducer at once, each from one state; where
+the scan meets a state that a map has no entry for, it goes on with the chunk's last
+end as a guess, and all such entries are made in the next turn (states soon forget
+what came before, so few turns are needed; a text of one repeated letter needs as
+many as the letter's longest piece has letters). A boundary between two code points
+that stand side by side in no piece resets the transducer: the map of a chunk that
+begins there is constant, and nothing has to be asked again. Chunks begin at such
+boundaries where a stretch has one, else anywhere.
 
 The recurrence behind a state: the last token of a text is the one piece t with
 a boundary before it such that the token before t and t stay apart when merged
@@ -20,7 +26,8 @@ by themselves.
 
 Cases: a null or empty text has no tokens and no bytes; a code point outside the
 vocabulary counts one token for each UTF-8 byte; equal rows are each counted;
-null ids are allowed; an empty table gives an empty result; other columns are
+a very long text, with or without boundaries, is many chunks; a table that fills
+starts anew with the states in use, at any step; null ids are allowed; an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -37,6 +44,8 @@ TABLE_BITS = 22
 CHUNK = 512
 #: States held before the table starts anew.
 MAX_STATES = 200_000
+#: Entries that a map gets at once when single ones don't settle the scan.
+WHOLE_MAP = 64
 NEVER = 1 << 30
 SPACE = 0x2581
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -80,6 +89,7 @@ class Transducer:
         self.edge_left: dict[tuple, tuple] = {}
         self.states = [(("", (), 0),)]
         self.number = {self.states[0]: 0}
+        self.kept = 1
 
     def spines(self, token: str) -> tuple[tuple, tuple]:
         """The pieces at the left and at the right edge while ``token`` is merged by itself.
@@ -160,7 +170,7 @@ class Transducer:
         return slot
 
     def learn(self, key: np.ndarray) -> None:
-        for k in np.unique(key).tolist():
+        for k in key.tolist():
             state, cp = (k >> 21) - 1, k & 0x1FFFFF
             after, delta = self.compile(state, chr(cp))
             slot = ((k * int(_MULT)) & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
@@ -169,13 +179,28 @@ class Transducer:
             self.keys[slot], self.next[slot], self.out[slot] = k, after, delta
             self.load += 1
 
-    def run(self, cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Token counts of segments, each read from the start state."""
-        size = end - start
-        order = np.argsort(-size, kind="stable")
-        at, size = start[order], size[order]
+    def anew(self, used: np.ndarray) -> np.ndarray:
+        """Start the table anew, with the states ``used`` alone; their new numbers."""
+        old = self.states
+        self.reset()
+        live, back = np.unique(used, return_inverse=True)
+        new = self.intern([old[k] for k in live.tolist()])[back]
+        self.kept = len(self.states)
+        return new
+
+    def run(self, cps: np.ndarray, start: np.ndarray, end: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(token counts, states after, states before) of chunks that are read from the states ``before``.
+
+        States are given and returned by number; a table that started anew on the
+        way has given ``before`` new numbers.
+        """
+        order = np.argsort(start - end, kind="stable")
+        at, size = start[order], (end - start)[order]
         total = np.zeros(len(at), np.int64)
-        state = np.zeros(len(at), np.uint64)
+        n_lanes = len(at)
+        # states of the lanes, then those they began with
+        state = np.concatenate([before[order], before]).astype(np.uint64)
+        limit = int(0.6 * len(self.keys))
         steps = int(size[0]) if len(size) else 0
         # lanes still running at each step
         live = len(size) - np.searchsorted(size[::-1], np.arange(steps), side="right")
@@ -184,20 +209,76 @@ class Transducer:
             key = ((state[:n] + np.uint64(1)) << np.uint64(21)) | cps[at[:n] + i]
             slot = self.find(key)
             if (slot < 0).any():
-                self.learn(key[slot < 0])
+                new = np.unique(key[slot < 0])
+                if self.load + len(new) > limit or len(self.states) > MAX_STATES + self.kept:
+                    state = self.anew(state)
+                    key = ((state[:n] + np.uint64(1)) << np.uint64(21)) | cps[at[:n] + i]
+                    new = np.unique(key)
+                self.learn(new)
                 slot = self.find(key)
             state[:n] = self.next[slot]
             total[:n] += self.out[slot]
-        out = np.empty(len(at), np.int64)
-        out[order] = total
+        out, after = np.empty(n_lanes, np.int64), np.empty(n_lanes, np.uint64)
+        out[order], after[order] = total, state[:n_lanes]
+        return out, after, state[n_lanes:]
+
+    def scan(self, cps: np.ndarray, start: np.ndarray, end: np.ndarray, reset: np.ndarray) -> np.ndarray:
+        """Token counts of chunks that follow one another; ``reset``: those with a constant map."""
+        n = len(start)
+        count, after = np.zeros(n, np.int64), np.zeros(n, np.uint64)
+        ask, before = np.arange(n), np.zeros(n, np.uint64)
+        open_, turn = np.flatnonzero(~reset).tolist(), 0
+        maps: dict[int, dict[int, tuple[int, int]]] = {i: {} for i in open_}
+        while len(ask):
+            for part in range(0, len(ask), most := max(1, len(self.keys) // 8)):  # lanes that the table can hold
+                here, known = ask[part : part + most], self.states
+                got, ends, begun = self.run(cps, start[here], end[here], before[part : part + most])
+                if self.states is not known:  # other numbers from now on
+                    self.move(known, maps, after, before[part + most :])
+                count[here], after[here] = got, ends
+                for i, s, e, c in zip(here.tolist(), begun.tolist(), ends.tolist(), got.tolist(), strict=True):
+                    if i in maps:
+                        maps[i][s] = (e, c)
+            turn += 1
+            ask, before = [], []
+            for i in open_:
+                s = int(after[i - 1])
+                if s in maps[i]:
+                    after[i], count[i] = maps[i][s]
+                else:
+                    ask.append(i)
+                    before.append(s)
+            if ask and turn > 2:
+                ends, often = np.unique(after[open_], return_counts=True)
+                seen = {*ends[np.argsort(-often)[:WHOLE_MAP]].tolist(), *before}
+                both = [(i, s) for i in open_ if i >= ask[0] for s in seen if s not in maps[i]]
+                ask, before = map(list, zip(*both, strict=True))
+            ask, before = np.array(ask, np.int64), np.array(before, np.uint64)
+        return count
+
+    def move(self, known: list[tuple], maps: dict, *numbers: np.ndarray) -> None:
+        """Give states of the table before their numbers in this one."""
+        used = np.unique(np.concatenate([*numbers, *([np.array([x for m in maps.values() for s, (e, _) in m.items() for x in (s, e)], np.uint64)])]))
+        new = dict(zip(used.tolist(), self.intern([known[k] for k in used.tolist()]).tolist(), strict=True))
+        for x in numbers:
+            x[:] = [new[k] for k in x.tolist()]
+        for i, m in maps.items():
+            maps[i] = {new[s]: (new[e], c) for s, (e, c) in m.items()}
+
+    def intern(self, states: list[tuple]) -> np.ndarray:
+        """Numbers of states, new ones added."""
+        out = np.zeros(len(states), np.uint64)
+        for i, x in enumerate(states):
+            if x not in self.number:
+                self.number[x] = len(self.states)
+                self.states.append(x)
+            out[i] = self.number[x]
         return out
 
     def counts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Tokens of concatenated UTF-8 texts."""
-        if self.load > 0.6 * len(self.keys) or len(self.states) > MAX_STATES:
-            self.reset()
         n = len(off) - 1
-        cps = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.uint64)
+        cps = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         # letters before each byte give text bounds in code points
         begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         bound = begins[off] if len(data) else np.zeros(n + 1, np.int64)
@@ -210,7 +291,7 @@ class Transducer:
         cps[cps == 0x20] = SPACE
         shift = np.arange(len(full))
         lo, hi = bound[full] + shift, bound[full + 1] + shift + 1
-        kind = self.kind[cps.astype(np.int64)].astype(np.int64)
+        kind = self.kind[cps].astype(np.int32)
         cut = np.ones(len(cps), bool)
         cut[1:] = ~self.joins[kind[:-1] * self.side + kind[1:]] | (kind[:-1] == 0) | (kind[1:] == 0)
         cut[lo] = True
@@ -219,9 +300,14 @@ class Transducer:
         chunk = places // CHUNK
         first = np.ones(len(places), bool)
         first[1:] = chunk[1:] != chunk[:-1]
-        start = np.union1d(places[first], lo)
+        resets = np.union1d(places[first], lo)
+        # stretches without a boundary are cut anywhere
+        far = np.diff(np.append(resets, len(cps)))
+        long = np.flatnonzero(far > 4 * CHUNK)
+        more = [np.arange(a + CHUNK, a + n, CHUNK) for a, n in zip(resets[long].tolist(), far[long].tolist(), strict=True)]
+        start = np.union1d(resets, np.concatenate(more)) if more else resets
         end = np.append(start[1:], len(cps))
-        scan = np.concatenate([[0], np.cumsum(self.run(cps, start, end))])
+        scan = np.concatenate([[0], np.cumsum(self.scan(cps, start, end, np.isin(start, resets)))])
         out[full] = scan[np.searchsorted(start, hi)] - scan[np.searchsorted(start, lo)]
         return out
 
