@@ -5,15 +5,18 @@ the largest to the smallest, each to the shard with the least load, through a
 heap. The law is ``bytes``: shard sizes as equal as the rule makes them.
 
 Groups of one size are interchangeable, so the heap works on a table of
-(size, number of groups), not on groups: the driver holds a plan as long as the
-number of distinct group sizes, and sizes are quantised (to one part in 4096,
-upwards) so that this number has a bound, ``MAX_CLASSES``. Inside a class, shards
-take consecutive ranges of ranks; ranks are found per class and bucket, so a
-class or a text that holds a third of all rows never lies in one task.
+(size, number of groups), not on groups: the driver holds a row for each distinct
+group size. Sizes are exact, and the table has a bound: ``d`` distinct sizes need
+d (d + 1) / 2 bytes of text at least, so 100 TB have 14 million at most (16 bytes
+each). The plan goes back as a table that is joined, not broadcast. Inside a class,
+shards take consecutive ranges of ranks; ranks are found per class and bucket, so
+a class or a text that holds a third of all rows never lies in one task.
 
 Cases: a null text has no bytes (size 1, checksum 0) and groups with the empty
-text; equal rows are separate rows of one group, each with its own slot; null
-ids are allowed; an empty table gives an empty result; other columns are ignored.
+text; equal rows are separate rows of one group, each with its own slot; groups of
+equal size go to shards in order of bucket and digest, shards of equal load by
+number; a text of any length is one row; null ids are allowed; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,15 +24,12 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import materialize
 
-#: Sizes below this are exact; above, 12 leading bits count.
-EXACT = 1 << 13
-#: No more classes than this: 13 bits exactly, then 4096 for each of 50 doublings.
-MAX_CLASSES = EXACT + 50 * 4096
 BUCKETS = 256
 
 
@@ -83,25 +83,20 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     rows = materialize(rows, "sizes")
     # map-side sums: a text of very many copies reaches the shuffle once a task
     groups = rows.groupBy("digest").agg(F.sum("size").alias("total"), F.count("*").alias("copies"))
-    bits = F.greatest(F.lit(0), F.floor(F.log2("total")).cast("int") - 12)
-    step = F.call_function("shiftleft", F.lit(1).cast("long"), bits)
-    groups = groups.select(
-        "digest", "copies",
-        F.when(F.col("total") < EXACT, F.col("total")).otherwise(F.ceil(F.col("total") / step).cast("long") * step).alias("class"),
-        F.pmod(F.hash("digest"), F.lit(BUCKETS)).alias("bucket"),
-    )
+    groups = groups.select("digest", "copies", F.col("total").alias("class"), F.pmod(F.hash("digest"), F.lit(BUCKETS)).alias("bucket"))
     groups = materialize(groups, "groups")
     # (class, bucket): the rank of a bucket's first group in its class
     held = groups.groupBy("class", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = held.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    plan = held.groupBy("class").agg(F.sum("n").alias("n")).orderBy("class").toPandas()  # at most MAX_CLASSES rows
-    deal = lpt(plan["class"].to_numpy(np.int64), plan["n"].to_numpy(np.int64), shards) if len(plan) else np.zeros((0, shards), np.int64)
-    upto = np.cumsum(deal, axis=1)
-    bounds = spark.createDataFrame([(int(c), [int(x) for x in u]) for c, u in zip(plan["class"], upto, strict=True)], "class long, upto array<long>")
+    sizes, n = (c.to_numpy() for c in held.groupBy("class").agg(F.sum("n").alias("n")).toArrow().columns)
+    upto = np.cumsum(lpt(sizes, n, shards), axis=1)
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, upto.size + 1, shards), pa.int32()), pa.array(upto.ravel()))
+    bounds = spark.createDataFrame(pa.table({"class": pa.array(sizes, pa.int64()), "upto": flat}))
+    starts = starts.drop("n").join(bounds, "class")
     rank = F.row_number().over(Window.partitionBy("class", "bucket").orderBy("digest")) - 1
-    placed = groups.withColumn("r", rank).join(starts.drop("n"), ["class", "bucket"]).withColumn("r", F.col("r") + F.col("start"))
-    placed = placed.join(F.broadcast(bounds), "class").select("digest", "copies", F.size(F.filter("upto", lambda x: x <= F.col("r"))).alias("shard"))
+    placed = groups.withColumn("r", rank).join(starts, ["class", "bucket"]).withColumn("r", F.col("r") + F.col("start"))
+    placed = placed.select("digest", "copies", F.size(F.filter("upto", lambda x: x <= F.col("r"))).alias("shard"))
     placed = materialize(placed, "placed")
     # texts with more than 1/2000 of all rows: at most 2000 of them, so they are broadcast and don't skew the join
     many = int(rows.count() / 2000) + 1
