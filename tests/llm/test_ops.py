@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm import brute
 from textloom.llm import ann, decontaminate, jaccard_join, language_id, line_dedup, packing, quality, secrets, sharding, token_counts
 from textloom.llm.queries import tokenizer_path
 from textloom.shipping import ship
@@ -199,7 +200,7 @@ def test_decontaminate(spark):
     items = [(1, "item words one two three four five six seven eight nine"), (2, "item words one two three four five six seven eight nine"), (3, "short item"), (4, None), (5, "--"), (6, "kurz"), (7, "Über x1 ok"), (None, "one")]
     b = spark.createDataFrame(items, "item_id long, text string")
     cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    want = sorted(decontaminate.brute_force(list(enumerate(t)), items), key=repr)
+    want = sorted(brute.contamination(list(enumerate(t)), items), key=repr)
     assert rows(decontaminate.contamination_report(table(spark, t), b), *cols) == want
     # the same in blocks of the benchmark
     assert rows(decontaminate.contamination_report(table(spark, t), b, block_bytes=150), *cols) == want
@@ -227,7 +228,7 @@ def test_decontaminate_null_item_id(spark, tmp_path):
     assert [r[2] for r in want] == [3, 2, 5, 0, 0]
     assert rows(decontaminate.contamination_report(df, b), *cols) == want
     assert rows(decontaminate.contamination_report(df, b, block_bytes=80), *cols) == want
-    assert sorted(decontaminate.brute_force(list(enumerate(t)), items), key=repr) == want
+    assert sorted(brute.contamination(list(enumerate(t)), items), key=repr) == want
     assert rows(decontaminate.decontaminate(df, b), "doc_id") == [(3,), (4,)]
 
 
@@ -244,7 +245,7 @@ def test_jaccard_join(spark, monkeypatch):
             t.append(" ".join(x))
         t.append(" ".join(base[:60] + [rng.choice(words) for _ in range(60)]))
     cols = ["doc_id", "n_shingles", "component_id"]
-    want = sorted(jaccard_join.brute_force(list(enumerate(t))), key=repr)
+    want = sorted(brute.jaccard(list(enumerate(t))), key=repr)
     assert rows(jaccard_join.jaccard_components(table(spark, t)), *cols) == want
     # the same through block products
     monkeypatch.setattr(jaccard_join, "SMALL", 1)
@@ -266,7 +267,7 @@ def test_jaccard_join_nul(spark):
     # NUL is part of a word, alone too; it is not the letter a or A, nor a space
     t = ["\x00\x00", "\x00", "\x00", "a", "A b\x00c", "a b c", "a bac", "\x00 one two three four five", " ", ""]
     df = table(spark, t)
-    want = sorted(jaccard_join.brute_force(list(enumerate(t))), key=repr)
+    want = sorted(brute.jaccard(list(enumerate(t))), key=repr)
     assert rows(jaccard_join.jaccard_components(df), "doc_id", "n_shingles", "component_id") == want
     assert rows(jaccard_join.one_of_each(df), "doc_id") == [(0,), (1,), (3,), (4,), (5,), (6,), (7,), (8,), (9,)]
 

@@ -2,91 +2,111 @@
 
 Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. Every
 item's windows of ``window`` words (a shorter item: all its words) go into a
-sorted hash array that is broadcast. Each task rolls the same hash over its
-documents' words, looks the windows up, and compares the words themselves at
-each hit, so a hash collision never counts.
+sorted hash array that is broadcast with the items' words in one byte buffer. Each
+task rolls the same hash over its documents' words, looks the windows up, and
+compares the words themselves at each hit, so a hash collision never counts.
 
 The benchmark's bytes are summed first. Items beyond ``BLOCK_BYTES`` are taken in
-blocks of about that size, one pass over the documents for each block, each pass
-adding its hits to those of the last; no broadcast outgrows the bound.
-
-Cases: null or empty texts have no words and no hits; a null or wordless item is
-never found; equal items under several ids are all reported; an item id that
-occurs twice counts once (its texts are windows of one item); items with a null
-id are found too, as one item without a name in ``items_sha256``; rows of equal content are each reported; empty tables are fine;
-columns of any name pass through ``decontaminate``.
+blocks of about that size (one item at least), one after the other: each pass over
+the texts writes its hits, and only the last one meets the documents. The index of
+a block takes 16 bytes a window and 4 a word beside the words, so 11 times the
+block's bytes at most; no other index exists at the time.
+
+Cases: null or empty texts have no words and no hits; a very long text is read in
+pieces; a null or wordless item is never found; equal items under several ids are
+all reported; an item id that occurs twice counts once (its texts are windows of
+one item); items with a null id are found too, as one item without a name in
+``items_sha256``; rows of equal content are each reported; empty tables are fine;
+columns of any name pass through ``decontaminate`` unchanged.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from textloom.llm.common import arrow_bytes, byte_slices, tidy, windows, words
+from textloom.llm.common import arrow_bytes, byte_slices, discard, materialize, row_key, windows, words
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 
 WORD_LUT = np.arange(256, dtype=np.uint8)
 WORD_LUT[0x41:0x5B] += 32
 WORD_LUT[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = 0
 
-STATE = "_n_words long, _from array<long>, _to array<long>, _items array<string>"
+HIT = "struct<n_words: bigint, starts: array<bigint>, ends: array<bigint>, items: array<string>>"
 
 
 class WindowIndex:
     """Sorted window hashes of benchmark items, with the words to verify a hit."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int) -> None:
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        found: dict[int, dict[bytes, set[str | None]]] = {}
-        hashes: dict[int, dict[bytes, int]] = {}
-        for name, text in items:
-            data = np.frombuffer((text or "").encode(), np.uint8)
-            s, e, _, h = words(data, np.array([0, len(data)]), WORD_LUT)
-            if not len(s):
-                continue
-            k = min(window, len(s))
-            low = WORD_LUT[data].tobytes()
-            each = [low[a:b] for a, b in zip(s, e, strict=True)]
-            for i, x in enumerate(windows(h, k).tolist()):
-                key = b" ".join(each[i : i + k])
-                found.setdefault(k, {}).setdefault(key, set()).add(name)
-                hashes.setdefault(k, {})[key] = x
-        self.items = found
-        for k, h in hashes.items():
-            keys = np.unique(np.array(list(h.values()), np.uint64))
+        self.names = [name for name, _ in items]
+        texts = [(text or "").encode() for _, text in items]
+        off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        s, e, item, h = words(data, off, WORD_LUT)
+        # the words, one space after each
+        size = e - s
+        self.begin = np.concatenate([[0], np.cumsum(size + 1)]).astype(np.int32)
+        buf = np.full(int(self.begin[-1]), 0x20, np.uint8)
+        for i, j in byte_slices(np.concatenate([[0], np.cumsum(size)])):
+            own = np.arange(size[i:j].sum()) - np.repeat(np.cumsum(size[i:j]) - size[i:j], size[i:j])
+            buf[own + np.repeat(self.begin[i:j], size[i:j])] = WORD_LUT[data[own + np.repeat(s[i:j], size[i:j])]]
+        self.words = buf.tobytes()
+        #: by number of words: hashes in order, first word and item of each, whether each equals the one before
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        k_of = np.minimum(np.bincount(item, minlength=len(items)), window)
+        for k in np.unique(k_of[k_of > 0]).tolist():
+            w = windows(h, k)
+            first = np.flatnonzero((item[: len(w)] == item[k - 1 :]) & (k_of[item[: len(w)]] == k))
+            first = first[np.argsort(w[first], kind="stable")]
+            keys = w[first]
+            same = np.zeros(len(keys), bool)
+            for i in np.flatnonzero(keys[1:] == keys[:-1]).tolist():
+                same[i + 1] = self.at(first[i], k) == self.at(first[i + 1], k)
             seen = np.zeros(1 << 16, bool)
             seen[(keys >> np.uint64(48)).astype(np.int64)] = True
-            self.by_size[k] = keys, seen
+            self.by_size[k] = keys, first.astype(np.int32), item[first].astype(np.int32), same, seen
+
+    def at(self, first: int, k: int) -> bytes:
+        """The ``k`` words from word ``first`` on."""
+        return self.words[self.begin[first] : self.begin[first + k] - 1]
+
+    def found(self, k: int, lo: int, hi: int, said: bytes) -> np.ndarray:
+        """Items of the windows ``lo`` to ``hi`` of one hash that are the words ``said``."""
+        _, first, item, same, _ = self.by_size[k]
+        if same[lo + 1 : hi].all():
+            return item[lo:hi] if self.at(first[lo], k) == said else item[:0]
+        return item[[i for i in range(lo, hi) if self.at(first[i], k) == said]]
 
     def hits(self, data: np.ndarray, off: np.ndarray):
-        """For each text: number of words, merged hit ranges (word numbers, end exclusive), item ids."""
+        """For each text: number of words, hit ranges (word numbers, end exclusive), item numbers."""
         n = len(off) - 1
         s, e, doc, h = words(data, off, WORD_LUT)
         count = np.bincount(doc, minlength=n)
         base = np.concatenate([[0], np.cumsum(count)])
         ranges: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        names: list[set[str | None]] = [set() for _ in range(n)]
-        low = None
-        for k, (keys, seen) in self.by_size.items():
+        names: list[dict[tuple[int, int], np.ndarray]] = [{} for _ in range(n)]
+        for k, (keys, _, _, _, seen) in self.by_size.items():
             w = windows(h, k)
             if not len(w):
                 continue
             at = np.flatnonzero(seen[(w >> np.uint64(48)).astype(np.int64)])
             at = at[doc[at] == doc[at + k - 1]]
-            place = np.minimum(np.searchsorted(keys, w[at]), len(keys) - 1)
-            for i in at[keys[place] == w[at]].tolist():
-                low = WORD_LUT[data] if low is None else low
-                got = self.items[k].get(b" ".join(low[s[j] : e[j]].tobytes() for j in range(i, i + k)))
-                if got:
+            lo = np.searchsorted(keys, w[at])
+            hi = np.searchsorted(keys, w[at], side="right")
+            hit = lo < hi
+            for i, a, b in zip(at[hit].tolist(), lo[hit].tolist(), hi[hit].tolist(), strict=True):
+                got = self.found(k, a, b, b" ".join(WORD_LUT[data[s[j] : e[j]]].tobytes() for j in range(i, i + k)))
+                if len(got):
                     d = int(doc[i])
                     ranges[d].append((i - int(base[d]), i - int(base[d]) + k))
-                    names[d] |= got
-        return count.tolist(), ranges, names
+                    names[d][k, a] = got
+        return count.tolist(), ranges, [np.unique(np.concatenate(list(x.values()))).tolist() if x else [] for x in names]
 
 
 def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -112,99 +132,96 @@ def cut(text: str, ranges: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def _scan(share, text_at: int, mode: str, columns: list[str]):
-    """mode: hits (add to the state columns), spans (the text without its hits)."""
+def find(share, text: Column, before: tuple[Column, Column, Column]) -> Column:
+    """HIT of ``text`` by a broadcast index; ``before``: starts, ends and items that other blocks have found."""
 
-    def run(batches):
-        import pyarrow as pa
+    def scan(texts: pa.Array, starts: pa.Array, ends: pa.Array, items: pa.Array) -> pa.Array:
+        index = share.value
+        data, off = arrow_bytes(texts)
+        had = [zip(a, b, strict=True) for a, b in zip(starts.to_pylist(), ends.to_pylist(), strict=True)]
+        said = items.to_pylist()
+        count, out = [], []
+        for i, j in byte_slices(off):
+            c, r, x = index.hits(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            count += c
+            out += [(merge([*new, *old]), sorted({*(index.names[t] for t in own), *known}, key=lambda s: (s is None, s or ""))) for new, old, own, known in zip(r, had[i:j], x, said[i:j], strict=True)]
+        lists = lambda rows, kind: pa.array(rows, pa.list_(kind))
+        return pa.StructArray.from_arrays(
+            [pa.array(count, pa.int64()), lists([[a for a, _ in r] for r, _ in out], pa.int64()), lists([[b for _, b in r] for r, _ in out], pa.int64()), lists([x for _, x in out], pa.string())],
+            names=["n_words", "starts", "ends", "items"],
+        )
 
-        index = share.value if share is not None else None
-        for batch in batches:
-            text = batch.column(text_at)
-            before = [batch.column(i).to_pylist() for i in range(batch.num_columns - 4, batch.num_columns)]
-            if mode == "spans":
-                new = [t if t is None or not a else cut(t, list(zip(a, b, strict=True))) for t, a, b in zip(text.to_pylist(), before[1], before[2], strict=True)]
-                arrays = [batch.column(i) if i != text_at else pa.array(new, pa.string()) for i in range(batch.num_columns)]
-                yield pa.RecordBatch.from_arrays(arrays, names=columns)
-                continue
-            data, off = arrow_bytes(text)
-            count, lo, hi, names = [], [], [], []
-            for i, j in byte_slices(off):
-                c, r, x = index.hits(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                count += c
-                for d in range(j - i):
-                    got = merge([*r[d], *zip(before[1][i + d], before[2][i + d], strict=True)]) if r[d] else list(zip(before[1][i + d], before[2][i + d], strict=True))
-                    lo.append([a for a, _ in got])
-                    hi.append([b for _, b in got])
-                    names.append(sorted(x[d] | set(before[3][i + d]), key=lambda s: (s is None, s or "")) if x[d] else before[3][i + d])
-            arrays = [batch.column(i) for i in range(batch.num_columns - 4)]
-            arrays += [pa.array(count, pa.int64()), pa.array(lo, pa.list_(pa.int64())), pa.array(hi, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=columns)
-
-    return tidy(run)
-
-
-def _blocks(bench: DataFrame, item_col: str, text_col: str, block_bytes: int):
-    """Items of the benchmark as lists of (id, text), each list of about ``block_bytes`` at most."""
+    # not deterministic, as far as the optimizer may know: a filter on the result must not bring a second scan
+    return F.arrow_udf(scan, HIT).asNondeterministic()(text, *before)
+
+
+def without(text: Column, hit: Column) -> Column:
+    """``text`` without its hit words."""
+
+    def cut_all(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        rows = zip(texts.to_pylist(), starts.to_pylist(), ends.to_pylist(), strict=True)
+        return pa.array([t if not a else cut(t, list(zip(a, b, strict=True))) for t, a, b in rows], pa.string())
+
+    return F.arrow_udf(cut_all, "string")(text, hit["starts"], hit["ends"])
+
+
+def blocks(bench: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
+    """Items of the benchmark as lists of (id, text), each list of about ``block_bytes`` at most; one list at least."""
     b = bench.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).dropna(subset=["text"])
     total = b.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = -(-total // block_bytes)
+    n = max(1, -(-total // block_bytes))
     for i in range(n):
         yield [(r["item"], r["text"]) for r in b.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).collect()]
 
 
 def scan(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with _n_words, _from, _to (hit word ranges) and _items (ids found)."""
-    sc = docs.sparkSession.sparkContext
-    clash = {"_n_words", "_from", "_to", "_items"} & set(docs.columns)
-    out = docs.drop(*clash).withColumns({"_n_words": F.lit(0).cast("long"), "_from": F.expr("cast(array() as array<long>)"), "_to": F.expr("cast(array() as array<long>)"), "_items": F.expr("cast(array() as array<string>)")})
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
-    blocks = 0
-    for items in _blocks(bench, item_col, item_text_col, block_bytes):
-        out = out.mapInArrow(_scan(sc.broadcast(WindowIndex(items, window)), out.columns.index(text_col), "hits", out.columns), schema)
-        blocks += 1
-    if not blocks:  # nothing to find, but words are counted
-        out = out.mapInArrow(_scan(sc.broadcast(WindowIndex([], window)), out.columns.index(text_col), "hits", out.columns), schema)
-    return out
+    """``src`` (a row of ``docs``) and ``hit`` (HIT: words, hit word ranges, ids of the items found)."""
+    spark = docs.sparkSession
+    text = F.col(f"`{text_col}`")
+    none = F.expr("cast(array() as array<bigint>)"), F.expr("cast(array() as array<bigint>)"), F.expr("cast(array() as array<string>)")
+    src = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("src")
+    found, last = [], None
+    for items in blocks(bench, item_col, item_text_col, block_bytes):
+        if last is not None:  # a block before the last: its hits are written
+            found.append(materialize(_hits(docs, text, last, none), "hits"))
+            last.unpersist()
+        last = spark.sparkContext.broadcast(WindowIndex(items, window))
+    if not found:
+        return docs.select(src, find(last, text, none).alias("hit"))
+    hits = found[0]
+    for x in found[1:]:
+        hits = hits.union(x)
+    all_ = lambda c: F.flatten(F.collect_list(f"hit.{c}")).alias(c)
+    hits = materialize(hits.groupBy("k1", "k2").agg(all_("starts"), all_("ends"), all_("items")), "hits")
+    discard(*found)
+    rows = docs.select(src, text.alias("text"), *row_key(text)).join(hits, ["k1", "k2"], "left")
+    before = tuple(F.coalesce(c, x) for c, x in zip(("starts", "ends", "items"), none, strict=True))
+    return rows.select("src", find(last, F.col("text"), before).alias("hit"))
+
+
+def _hits(docs: DataFrame, text: Column, share, none: tuple) -> DataFrame:
+    """k1, k2 (of the text), hit: of the texts with hits, each once."""
+    rows = docs.select(*row_key(text), find(share, text, none).alias("hit"))
+    return rows.filter(F.size("hit.starts") > 0).dropDuplicates(["k1", "k2"])
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "documents", text_col: str = "text", **kw) -> DataFrame:
     """``docs`` without its hit documents, or (``remove="spans"``) with hit words cut out of texts."""
-    names = docs.columns
     out = scan(docs, bench, text_col, **kw)
     if remove == "documents":
-        out = out.filter(F.size("_from") == 0)
-    else:
-        out = out.mapInArrow(_scan(None, out.columns.index(text_col), "spans", out.columns), out.schema)
-    return out.select(*[F.col(f"`{c}`") for c in names])
+        return out.filter(F.size("hit.starts") == 0).select("src.*")
+    new = without(F.col(f"src.`{text_col}`"), F.col("hit"))
+    return out.select(*[new.alias(c) if c == text_col else F.col(f"src.`{c}`") for c in docs.columns])
 
 
 def contamination_report(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     out = scan(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), bench, "text", **kw)
-    hit = F.aggregate(F.zip_with("_from", "_to", lambda a, b: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
-    return out.select("doc_id", F.col("_n_words").alias("n_words"), hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("_items"), ","), 256).alias("items_sha256"), (F.size("_from") > 0).alias("contaminated"))
-
-
-def brute_force(docs: list[tuple], items: list[tuple], window: int = 10) -> list[tuple]:
-    """The report's rows by direct comparison, for tests: docs and items are (id, text)."""
-    import re
-
-    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    cut_words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower))
-    tests = [(None if i is None else str(i), cut_words(t)) for i, t in items]
-    out = []
-    for doc_id, text in docs:
-        w, hit, names = cut_words(text), set(), set()
-        for name, x in tests:
-            k = min(window, len(x))
-            grams = {tuple(x[i : i + k]) for i in range(len(x) - k + 1)} if k else set()
-            for i in range(len(w) - k + 1 if k else 0):
-                if tuple(w[i : i + k]) in grams:
-                    hit |= set(range(i, i + k))
-                    names.add(name)
-        out.append((doc_id, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(x for x in names if x is not None)).encode()).hexdigest(), bool(hit)))
-    return out
+    n_hit = F.aggregate(F.zip_with("hit.starts", "hit.ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
+    return out.select(
+        "src.doc_id", "hit.n_words", n_hit.alias("n_hit"), F.size("hit.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("hit.items"), ","), 256).alias("items_sha256"), (F.size("hit.starts") > 0).alias("contaminated"),
+    )
 
 
 ORACLE = r"""
