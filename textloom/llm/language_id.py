@@ -7,16 +7,22 @@ are those of distinct left neighbours. All models share sorted arrays of hashed
 n-grams, with one column of log probabilities a language; an array is searched
 from a directory over the high bits of the hash. The language of the least
 cross-entropy a letter wins. It is accepted if that cross-entropy lies within what
-the language's own training texts show (mean and ``SPREAD`` deviations).
+texts of the language show that its model was not fitted on (mean and ``SPREAD``
+deviations of every ``CALIBRATE``-th sampled one).
 
-Fitting uses at most ``SAMPLE`` documents of each language, the least by a hash,
-of at most ``LONGEST`` bytes each; scoring reads whole texts.
+Fitting uses at most ``SAMPLE`` segments of each language, the least by a hash; a
+segment is ``SEGMENT`` characters of a text, a shorter text is one segment, so any
+part of a text of any length may be drawn. More than ``LANGUAGES`` labels are an
+error: models hold a column for each. Scoring reads whole texts in pieces of
+``PIECE`` bytes, each with the letters before it that its n-grams reach back to, so
+memory is that of a batch of texts and a piece.
 
 Cases: a text that is null or has no letter is ``und`` with score 0; letters never
 seen get the share of unseen ones; without labelled documents every text is
 ``und``; one learned language gets score 1; ties go to the language first by name;
-equal rows get equal results; null ids are allowed (not held out); null labels
-are left out; an empty table gives an empty result; other columns are ignored.
+equal rows get equal results; a very long text is scored like any other; null ids
+are allowed (not held out); null labels are left out; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +38,10 @@ from textloom.llm.quality import held_out
 
 ORDER = 4
 SAMPLE = 1000
-LONGEST = 1 << 18
+SEGMENT = 1 << 14
+CALIBRATE = 5
+LANGUAGES = 64
+PIECE = 1 << 18
 SPREAD = 4.0
 UNKNOWN = "und"
 _BITS = 16
@@ -153,8 +162,10 @@ class Models:
             self.context.append(SortedHashes(ctx))
             self.weight.append(np.log(np.maximum(weight, 1e-9)).astype(np.float32))
         self.floor = np.full(side, -np.log(alphabet), np.float32)
-        # what a language's own texts cost a letter
         self.limit = np.full(side, np.inf)
+
+    def calibrate(self, texts: list[tuple[str, bytes]]) -> None:
+        """Limits of acceptance: what texts of a language, none of them fitted on, cost a letter."""
         for k, name in enumerate(self.names):
             mine = [t for x, t in texts if x == name]
             data = np.frombuffer(b"".join(mine), np.uint8)
@@ -186,12 +197,46 @@ class Models:
 
     def entropy(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(cross-entropy a place for each language, places, letters) of each text."""
-        cps, start, count = letters(data, off)
-        side = len(self.names)
         m = len(off) - 1
-        place = np.arange(len(cps)) - np.repeat(start, np.diff(np.append(start, len(cps))))
-        total = np.zeros((len(cps), side), np.float32)
-        left = np.flatnonzero(place >= 1)
+        cost, places, count = np.zeros((m, len(self.names))), np.zeros(m, np.int64), np.zeros(m, np.int64)
+        for i, j in byte_slices(off, PIECE):
+            part, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
+            if len(part) > PIECE:  # one long text
+                cost[i], places[i], count[i] = self.long_text(part)
+                continue
+            cps, start, count[i:j] = letters(part, at)
+            total = self.costs(cps, np.arange(len(cps)) - np.repeat(start, np.diff(np.append(start, len(cps)))))
+            n = np.diff(np.append(start, len(cps)))
+            has = np.flatnonzero(n > 0)
+            if len(has):
+                cost[i + has] = np.add.reduceat(total, start[has], axis=0, dtype=np.float64)
+            places[i:j] = np.maximum(n - 1, 0)
+        return -cost / np.maximum(places, 1)[:, None], np.where(count > 0, places, 0), count
+
+    def long_text(self, data: np.ndarray) -> tuple[np.ndarray, int, int]:
+        """(sum of log probabilities, places, letters) of one text, read in pieces."""
+        cost, count, at = np.zeros(len(self.names)), 0, 0
+        tail, size = np.array([0x20], np.uint32), 1  # the space before the text
+        while at < len(data):
+            to = min(at + PIECE, len(data))
+            while to < len(data) and data[to] & 0xC0 == 0x80:  # whole code points
+                to += 1
+            low = _letters()[np.frombuffer(data[at:to].tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)]
+            count += int((low != 0).sum())
+            low[low == 0] = 0x20
+            if to == len(data):
+                low = np.append(low, np.uint32(0x20))
+            cps = low[(low != 0x20) | (np.append(tail[-1], low[:-1]) != 0x20)]
+            own = np.concatenate([tail, cps])
+            total = self.costs(own, np.arange(len(own)) + size - len(tail), skip=len(tail))
+            cost += total[len(tail) :].sum(0, dtype=np.float64)
+            tail, size, at = own[-self.order :], size + len(cps), to
+        return cost, size - 1, count
+
+    def costs(self, cps: np.ndarray, place: np.ndarray, skip: int = 0) -> np.ndarray:
+        """Log probability of each letter, of each language; ``place``: its place in its text; none for place 0 and the first ``skip``."""
+        total = np.zeros((len(cps), len(self.names)), np.float32)
+        left = skip + np.flatnonzero(place[skip:] >= 1)
         for n in range(self.order, 0, -1):
             if not len(left):
                 break
@@ -209,12 +254,7 @@ class Models:
                 c = self.context[n - 1].find(hashes(cps, n - 1)[miss - 1])
                 total[miss[c >= 0]] += self.weight[n - 1][c[c >= 0]]
                 left = np.concatenate([miss, late])
-        out = np.zeros((m, side))
-        if len(cps):
-            has = np.flatnonzero(np.diff(np.append(start, len(cps))) > 0)
-            out[has] = -np.add.reduceat(total, start[has], axis=0, dtype=np.float64)
-        places = np.maximum(np.diff(np.append(start, len(cps))) - 1, 0)
-        return out / np.maximum(places, 1)[:, None], np.where(count > 0, places, 0), count
+        return total
 
     def predict(self, data: np.ndarray, off: np.ndarray):
         """(language number or -1, score, cross-entropy, accepted) of each text."""
@@ -233,14 +273,27 @@ class Models:
 def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, order: int = ORDER) -> Models:
     """Models of the languages that ``lang_col`` names, outside the held-out fold."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_t")).filter(F.col("_lang").isNotNull() & ~held_out(F.col("_id"), 4, 2))
-    names = [r[0] for r in rows.select("_lang").distinct().orderBy("_lang").collect()]  # languages, not documents
-    rows = rows.filter(F.col("_t").isNotNull() & (F.octet_length("_t") <= LONGEST)).select("_lang", "_t", *row_key(F.col("_id"), F.col("_t")))
-    first = F.row_number().over(Window.partitionBy("_lang").orderBy("k1", "k2"))
-    pick = rows.select("_lang", "k1", "k2").withColumn("r", first).filter(F.col("r") <= sample).drop("r")
-    got = rows.join(F.broadcast(pick.distinct()), ["_lang", "k1", "k2"]).dropDuplicates(["_lang", "k1", "k2"]).select("_lang", F.col("_t").cast("binary").alias("t")).collect()
+    labels = rows.groupBy("_lang").count().select("_lang")  # those of null texts too
+    rows = rows.filter(F.col("_t").isNotNull())
+    # segments of texts by a hash; how many there are says which hashes to take, so that no language is ranked in one task
+    parts = rows.select("_lang", "_t", *row_key(F.col("_id"), F.col("_t")), F.explode(F.sequence(F.lit(0), F.greatest(F.char_length("_t") - 1, F.lit(0)), F.lit(SEGMENT))).alias("_at"))
+    parts = parts.withColumn("_h", F.xxhash64("k1", "k2", "_at"))
+    sizes = labels.join(parts.groupBy("_lang").count(), "_lang", "left").orderBy("_lang").limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {LANGUAGES} labels")
+    names = [r["_lang"] for r in sizes]
     models = Models(names, order)
-    if names:
-        models.fit(sorted((r["_lang"], bytes(r["t"])) for r in got))
+    if not names:
+        return models
+    share = {r["_lang"]: min(1.0, (sample + 6 * sample**0.5 + 36) / max(r["count"] or 0, 1)) for r in sizes}
+    most = F.element_at(F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, min(int((2 * v - 1) * 2**63), 2**63 - 1))]), F.col("_lang"))
+    pick = parts.filter(F.col("_h") <= most).select("_lang", "_h", "k1", "k2", "_at", F.substring("_t", F.col("_at") + 1, F.lit(SEGMENT)).cast("binary").alias("t"))
+    first = F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "k1", "k2", "_at"))
+    got = pick.dropDuplicates(["_lang", "k1", "k2", "_at"]).withColumn("r", first).filter(F.col("r") <= sample).select("_lang", "r", "t").collect()  # LANGUAGES x sample segments at most
+    texts = sorted((r["_lang"], bytes(r["t"]), r["r"]) for r in got)
+    kept = [(x, t) for x, t, r in texts if r % CALIBRATE == 0]
+    models.fit([(x, t) for x, t, r in texts if r % CALIBRATE])
+    models.calibrate(kept)
     return models
 
 
