@@ -9,8 +9,11 @@ labelled samples; a table of 68 x 68 log ratios is all that remains.
 Offsets: the text is split at the matches, and running sums over the lengths of
 gaps and matches give each match's place in code points.
 
-Cases: a null or empty text has no spans (the hash is that of an empty string);
-equal rows are each returned; null ids are allowed; other columns are ignored.
+Cases: a null or empty text has no spans (the hash is that of an empty string); a
+very long text is one row of matches, whose places are running sums; equal rows
+are each returned; spans that begin at one place are listed by kind; without
+samples of either kind no token looks random; null ids are allowed; an empty table
+gives an empty result; columns of any other name are ignored.
 """
 
 from __future__ import annotations
@@ -88,34 +91,50 @@ def fit_markov(samples: DataFrame) -> list[float]:
     return out
 
 
-def _matches(base: DataFrame, kind: str, pattern: str, value_group: int, least: int) -> DataFrame:
-    """One row a match: k1, k2, kind, start, end, value."""
-    p = F.lit(pattern)
-    found = base.filter(F.col("t").rlike(pattern)).select(
-        "k1", "k2",
-        F.transform(F.split("t", pattern), F.char_length).alias("gaps"),
-        F.regexp_extract_all("t", p, F.lit(0)).alias("m"),
-        F.regexp_extract_all("t", p, F.lit(value_group)).alias("v"),
-    )
-    rows = found.select("k1", "k2", F.posexplode(F.expr("transform(m, (x, i) -> struct(gaps[i] AS gap, char_length(x) AS n, v[i] AS value))")).alias("i", "x"))
-    # equal rows give equal matches: keep each once
-    rows = rows.dropDuplicates(["k1", "k2", "i"])
-    upto = Window.partitionBy("k1", "k2").orderBy("i")
+#: kind, pattern, group of the value, shortest value.
+PATTERNS = [("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24), ("markov", CANDIDATE, 0, 16)]
+
+
+def _matches(base: DataFrame) -> DataFrame:
+    """One row a match of any kind: k1, k2, kind, start, end, value. One scan of the texts and one shuffle, of what was found."""
+    t = F.col("t")
+    per_kind = [
+        F.when(
+            t.rlike(pattern),
+            F.struct(
+                F.lit(kind).alias("kind"), F.lit(least).alias("least"),
+                F.transform(F.split(t, pattern), F.char_length).alias("gaps"),
+                F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("m"),
+                F.regexp_extract_all(t, F.lit(pattern), F.lit(group)).alias("v"),
+            ),
+        )
+        for kind, pattern, group, least in PATTERNS
+    ]
+    found = base.select("k1", "k2", F.array_compact(F.array(*per_kind)).alias("f")).filter(F.size("f") > 0)
+    # equal rows give equal matches: each once
+    found = found.groupBy("k1", "k2").agg(F.first("f").alias("f")).select("k1", "k2", F.explode("f").alias("f"))
+    rows = found.select("k1", "k2", "f.kind", "f.least", F.posexplode(F.expr("transform(f.m, (x, i) -> struct(f.gaps[i] AS gap, char_length(x) AS n, f.v[i] AS value))")).alias("i", "x"))
+    upto = Window.partitionBy("k1", "k2", "kind").orderBy("i")
     rows = rows.withColumn("end", F.sum(F.col("x.gap") + F.col("x.n")).over(upto))
-    rows = rows.select("k1", "k2", F.lit(kind).alias("kind"), (F.col("end") - F.col("x.n")).alias("start"), "end", F.col("x.value").alias("value"))
-    return rows.filter(F.char_length("value") >= least)
+    rows = rows.select("k1", "k2", "kind", (F.col("end") - F.col("x.n")).alias("start"), "end", F.col("x.value").alias("value"), "least")
+    return rows.filter(F.char_length("value") >= F.col("least")).drop("least")
 
 
-def secret_spans(base: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
-    """All spans of ``base`` (k1, k2, t): k1, k2, kind, start, end (code points, end exclusive), value."""
-    fixed = _matches(base, "assign", ASSIGN, 2, 6).union(_matches(base, "access", ACCESS, 0, 20)).union(_matches(base, "hex", HEX, 0, 24))
-    cand = _matches(base, "markov", CANDIDATE, 0, 16).withColumn("c", F.concat(F.array(F.lit(0)), _codes(F.col("value"))))
+def random_looking(value: Column, ratios: list[float], threshold: float = THRESHOLD) -> Column:
+    """Whether the log-likelihood ratio of ``value`` reaches ``threshold`` for each letter."""
+    codes = F.concat(F.array(F.lit(0)), _codes(value))
     # a literal array: folded once, not built for each row
     table = "array(" + ", ".join(f"{x:.6f}D" for x in ratios) + ")"
-    score = F.expr(f"aggregate(sequence(1, size(c) - 1), 0D, (s, i) -> s + {table}[c[i - 1] * {SIDE} + c[i]])")
-    cand = cand.filter(score >= threshold * F.char_length("value")).drop("c")
+    steps = F.zip_with(codes, F.slice(codes, 2, F.char_length(value)), lambda a, b: a * SIDE + b)
+    score = F.aggregate(F.filter(steps, lambda x: x.isNotNull()), F.lit(0.0), lambda s, x: s + F.element_at(F.expr(table), x + 1))
+    return score >= threshold * F.char_length(value)
+
+
+def secret_spans(base: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
+    """All spans of ``base`` (k1, k2, t): k1, k2, kind, start, end (code points, end exclusive), value."""
+    both = _matches(base).withColumn("fixed", F.col("kind") != "markov")
+    both = both.filter(F.when(F.col("fixed"), True).otherwise(random_looking(F.col("value"), ratios, threshold)))
     # a markov span stays where no base span overlaps it: none that began earlier reaches into it, none begins inside
-    both = fixed.union(cand).withColumn("fixed", F.col("kind") != "markov")
     w = Window.partitionBy("k1", "k2").orderBy("start")
     reach = F.max(F.when(F.col("fixed"), F.col("end"))).over(w.rangeBetween(Window.unboundedPreceding, 0))
     ahead = F.min(F.when(F.col("fixed"), F.col("start"))).over(w.rangeBetween(0, Window.unboundedFollowing))
