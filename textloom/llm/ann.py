@@ -1,23 +1,27 @@
 """Approximate nearest neighbours: an inverted file with product-quantised residuals.
 
-Coarse centroids and the codebooks of the residuals are fitted on a bounded
-sample (``SAMPLE`` vectors, the least by a hash of their id). Every vector is
-then indexed: its list, and a byte for each slice of its residual. A query goes
+There are about as many lists as the square root of the number of vectors (16 at
+least, ``LISTS`` at most), so that the work of a query grows with the square root
+where vectors cluster. Coarse centroids and the codebooks of the residuals are
+fitted on a bounded sample (16 vectors a list, ``SAMPLE`` at least, the least by a
+hash of their id; a longer sample than 268 MB of single-precision numbers is cut to
+that). Every vector is then indexed: its list, and a byte for each slice of its residual. A query goes
 to the lists whose centroids have the largest inner product with it; how many
 lists is found on the sample, as the fewest that reach ``target`` recall there,
-and a query whose lists hold fewer than ``k`` rows of other ids goes to more.
+and a query whose lists hold fewer than ``k`` other ids goes to more.
 In a list, a query's asymmetric distance tables rank the codes; the best ``short``
 are ranked again by inner products of the original vectors in double precision.
 
 Lists are dealt out in blocks of vectors and blocks of queries, so a list that
 holds a third of all rows is many tasks; a task returns ``k`` rows a query.
 
-Cases: vectors that are null, zero, of another length than most, or hold null or
-non-finite components take no part, nor do rows with a null id; rows that share
-a query's id are not its neighbours; repeated rows each count as candidates;
-query rows of one id are one query: equal ones are asked once, and of different
-ones each candidate row counts once, by its best score; ties go to the smaller
-id; fewer candidates than ``k`` are all returned; an empty table gives an empty result; other columns are ignored.
+Cases: vectors that are null, zero, or hold null or non-finite components take no
+part, nor do rows with a null id; vectors of different lengths have no inner
+product, so those of another length than most take no part either; rows that share
+a query's id are not its neighbours; an id is a neighbour once, by its best score,
+however many rows it has, and rows of one query id are one query; ties go to the
+smaller id; fewer candidates than ``k`` are all returned; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +33,8 @@ from pyspark.sql import functions as F
 from textloom.llm.common import materialize
 
 SAMPLE = 8192
-LISTS = 64
+LISTS = 16384
+SAMPLE_BYTES = 1 << 28
 SLICE = 4
 CODES = 256
 ROWS_A_BLOCK = 4096
@@ -37,7 +42,10 @@ QUERIES_A_BLOCK = 1024
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return ((c * c).sum(1)[None, :] - 2 * (x @ c.T)).argmin(1)
+    """Nearest centroid of each row; some 4 million distances at a time."""
+    step = max(1, (1 << 22) // len(c))
+    half = (c * c).sum(1)[None, :] / 2
+    return np.concatenate([(half - x[i : i + step] @ c.T).argmin(1) for i in range(0, len(x), step)]) if len(x) else np.zeros(0, np.int64)
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -45,9 +53,10 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
     for _ in range(rounds):
         a = _nearest(x, c)
         n = np.bincount(a, minlength=len(c))
+        order = np.argsort(a, kind="stable")
         total = np.zeros_like(c)
-        np.add.at(total, a, x)
-        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
+        total[n > 0] = np.add.reduceat(x[order], (np.cumsum(n) - n)[n > 0], axis=0)
+        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None].astype(x.dtype), c)
     return c
 
 
@@ -62,17 +71,22 @@ class Index:
         rest = sample - self.centroids[own]
         self.cuts = list(range(0, dim, SLICE)) + [dim]
         self.books = [kmeans(rest[:, a:b], CODES, 8, rng) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
-        # fewest lists that hold the share ``target`` of true neighbours in the sample
-        q = rng.permutation(len(sample))[:256]
+        # fewest lists that hold the share ``target`` of true neighbours in the sample, both of vectors
+        # at random and of vectors from all lists alike, so that a crowded list doesn't speak for the others
+        mix = rng.permutation(len(sample))
+        by_list = mix[np.argsort(own[mix], kind="stable")]
+        turn = np.arange(len(mix)) - np.searchsorted(own[by_list], own[by_list])
+        self.probe = max(self.lists_for(sample, own, q, target, k) for q in (mix[:256], by_list[np.argsort(turn, kind="stable")[:512]]))
+
+    def lists_for(self, sample: np.ndarray, own: np.ndarray, q: np.ndarray, target: float, k: int) -> int:
         score = sample[q] @ sample.T
         score[np.arange(len(q)), q] = -np.inf
-        near = np.argsort(-score, 1)[:, : min(k, len(sample) - 1)]
+        near = np.argpartition(-score, min(k, len(sample) - 1) - 1, 1)[:, : min(k, len(sample) - 1)] if len(sample) > 1 else np.zeros((len(q), 0), int)
+        if not near.shape[1]:
+            return len(self.centroids)
         place = np.argsort(np.argsort(-(sample[q] @ self.centroids.T), 1), 1)
-        if near.shape[1]:
-            at = np.sort(np.take_along_axis(place, own[near], 1).ravel())
-            self.probe = int(at[min(len(at) - 1, int(np.ceil(target * len(at))) - 1)]) + 1
-        else:
-            self.probe = len(self.centroids)
+        at = np.sort(np.take_along_axis(place, own[near], 1).ravel())
+        return int(at[int(np.ceil(target * len(at))) - 1]) + 1
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = _nearest(x, self.centroids)
@@ -80,39 +94,47 @@ class Index:
         codes = [_nearest(rest[:, a:b], book) for a, b, book in zip(self.cuts, self.cuts[1:], self.books, strict=False)]
         return own, np.stack(codes, 1).astype(np.uint8)
 
-    def probes(self, q: np.ndarray, sizes: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query row, list): the nearest lists, ``probe`` of them or as many as hold ``need`` rows together."""
+    def probes(self, q: np.ndarray, sizes: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query row, list): the nearest lists, ``probe`` of them or as many as hold ``need`` ids together."""
         order = np.argsort(-(q @ self.centroids.T), 1, kind="stable")
-        short = np.cumsum(sizes[order], 1) < need[:, None]
+        short = np.cumsum(sizes[order], 1) < need
         n = np.minimum(np.maximum(self.probe, short.sum(1) + 1), order.shape[1])
         row, at = np.nonzero(np.arange(order.shape[1])[None, :] < n[:, None])
         return row, order[row, at]
 
     def search(self, own: int, q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, codes: np.ndarray, ids: np.ndarray, k: int, short: int):
-        """(query row, candidate row, score): each query's k best in one block of list ``own``; candidates come in order of id."""
+        """(query row, id, score): each query's k best ids in one block of list ``own``; candidates come in order of id."""
         approx = np.repeat((q @ self.centroids[own])[:, None], len(x), 1).astype(np.float32)
         for m, (a, b) in enumerate(zip(self.cuts, self.cuts[1:], strict=False)):
             table = (q[:, a:b] @ self.books[m].T).astype(np.float32)
             approx += table[:, codes[:, m]]
-        approx[q_ids[:, None] == ids[None, :]] = -np.inf
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        each, size = ids[first], np.diff(np.append(first, len(ids)))
+        if len(each) < len(ids):  # an id with several rows: its best
+            approx = np.maximum.reduceat(approx, first, axis=1)
+        approx[q_ids[:, None] == each[None, :]] = -np.inf
         best = np.argsort(-approx, 1, kind="stable")[:, :short]
         best.sort(1)
-        exact = np.stack([(x[c] * v).sum(1) for c, v in zip(best, q, strict=True)]) if len(q) else np.zeros((0, 0))
-        exact[q_ids[:, None] == ids[best]] = -np.inf
+        exact = np.empty(best.shape)
+        for i, (c, v) in enumerate(zip(best, q, strict=True)):
+            begin = np.cumsum(size[c]) - size[c]
+            at = np.arange(size[c].sum()) + np.repeat(first[c] - begin, size[c])
+            exact[i] = np.maximum.reduceat((x[at] * v).sum(1), begin)
+        exact[q_ids[:, None] == each[best]] = -np.inf
         top = np.argsort(-exact, 1, kind="stable")[:, :k]
         score = np.take_along_axis(exact, top, 1)
         row = np.repeat(np.arange(len(q)), top.shape[1])
-        cand = np.take_along_axis(best, top, 1).ravel()
+        found = each[np.take_along_axis(best, top, 1).ravel()]
         keep = np.isfinite(score.ravel())
-        return row[keep], cand[keep], score.ravel()[keep]
+        return row[keep], found[keep], score.ravel()[keep]
 
 
-def _matrix(arr, dim: int) -> np.ndarray:
-    """Rows of a list column as doubles."""
+def _matrix(arr, dim: int, kind=np.float64) -> np.ndarray:
+    """Rows of a list column."""
     import pyarrow as pa
 
     arr = arr.combine_chunks() if isinstance(arr, pa.ChunkedArray) else arr
-    return arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return arr.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dim)
 
 
 def _encode(share, dim: int):
@@ -134,8 +156,8 @@ def _probe(share, dim: int, sizes: np.ndarray, k: int):
 
         index = share.value
         for batch in batches:
-            # rows of the query's own id may lie in its lists and are no candidates
-            row, lists = index.probes(_matrix(batch.column(1), dim), sizes, k + batch.column(2).to_numpy())
+            # the query's own id may lie in its lists and is no candidate
+            row, lists = index.probes(_matrix(batch.column(1), dim), sizes, k + 1)
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lists, pa.int32())], names=["vec_id", "v", "list"])
 
@@ -146,19 +168,19 @@ def _search(share, dim: int, k: int, short: int):
     def run(queries, rows):
         import pyarrow as pa
 
-        got = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        got = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if queries.num_rows and rows.num_rows:
             index = share.value
             rows = rows.sort_by("vec_id").combine_chunks()
-            ids, q_ids, nums = rows.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy(), rows.column("row").to_numpy()
+            ids, q_ids = rows.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
             codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
             q, x = _matrix(queries.column("v"), dim), _matrix(rows.column("v"), dim)
             parts = []
             for i in range(0, len(q), 256):
                 r, c, s = index.search(rows.column("list")[0].as_py(), q[i : i + 256], q_ids[i : i + 256], x, codes, ids, k, short)
-                parts.append((q_ids[i : i + 256][r], ids[c], nums[c], s))
+                parts.append((q_ids[i : i + 256][r], c, s))
             got = [np.concatenate(p) for p in zip(*parts, strict=True)]
-        return pa.table({"query_id": pa.array(got[0], pa.int64()), "vec_id": pa.array(got[1], pa.int64()), "row": pa.array(got[2], pa.int64()), "score": pa.array(got[3], pa.float64())})
+        return pa.table({"query_id": pa.array(got[0], pa.int64()), "vec_id": pa.array(got[1], pa.int64()), "score": pa.array(got[2], pa.float64())})
 
     return run
 
@@ -169,7 +191,7 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & F.coalesce(whole, F.lit(False)) & F.exists(v, lambda x: x != 0)
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", lists: int = LISTS, target: float = 0.98, short: int = 100) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", lists: int | None = None, target: float = 0.98, short: int = 100) -> DataFrame:
     """Per query and rank: query_id, rank, vec_id, score. ``queries``: a condition on ``vec_id`` that picks them."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
@@ -179,17 +201,16 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
         return spark.createDataFrame([], out)
     dim = size["d"]
     rows = rows.filter(F.size("v") == dim)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
-    share = spark.sparkContext.broadcast(Index(np.array(sample["v"].tolist(), np.float64), lists, target, k))
+    lists = lists or max(16, min(LISTS, int(size["count"] ** 0.5)))
+    most = max(1, min(max(SAMPLE, 16 * lists), SAMPLE_BYTES // (4 * dim)))
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select(F.col("v").cast("array<float>").alias("v")).toArrow()
+    share = spark.sparkContext.broadcast(Index(_matrix(sample.column("v"), dim, np.float32), lists, target, k))
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
     index = materialize(numbered.mapInArrow(_encode(share, dim), "vec_id long, v array<double>, row long, list int, code binary"), "index")
     sizes = np.zeros(len(share.value.centroids), np.int64)
-    for r in index.groupBy("list").count().collect():  # as many rows as lists
-        sizes[r["list"]] = r["count"]
-    once = rows.filter(queries).groupBy("vec_id", "v").agg(F.count("*").alias("own"))
-    # of an id with several vectors, the rows of all
-    more = once.groupBy("vec_id").agg(F.sum("own").alias("all"), F.count("*").alias("vectors")).filter("vectors > 1").drop("vectors")
-    once = once.join(more, "vec_id", "left").select("vec_id", "v", F.coalesce("all", "own").alias("own"))
+    for r in index.groupBy("list").agg(F.approx_count_distinct("vec_id", 0.02).alias("n")).collect():  # as many rows as lists
+        sizes[r["list"]] = int(0.9 * r["n"])  # no more than there are
+    once = rows.filter(queries).select("vec_id", "v").distinct()
     asked = materialize(once.mapInArrow(_probe(share, dim, sizes, k), "vec_id long, v array<double>, list int"), "probes")
     # how many blocks of either side each list has: as many rows as lists
     n = index.groupBy("list").agg(F.ceil(F.count("*") / ROWS_A_BLOCK).alias("c")).join(asked.groupBy("list").agg(F.ceil(F.count("*") / QUERIES_A_BLOCK).alias("q")), "list")
@@ -199,10 +220,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     left = asked.join(n, "list").withColumn("qb", mine("q", "vec_id", "v")).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1))).drop("c", "q")
     right = index.join(n, "list").withColumn("cb", mine("c", "row")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1))).drop("c", "q")
     by = ["list", "cb", "qb"]
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_search(share, dim, k, short), "query_id long, vec_id long, row long, score double")
-    # different vectors of one query id in one list find the same rows: each counts once, by its best score
-    if not asked.groupBy("vec_id", "list").count().filter("count > 1").isEmpty():
-        found = found.groupBy("query_id", "vec_id", "row").agg(F.max("score").alias("score"))
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_search(share, dim, k, short), "query_id long, vec_id long, score double")
+    # an id counts once, by its best score
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     found = found.withColumn("rank", rank).filter(F.col("rank") <= k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
