@@ -171,10 +171,35 @@ def test_diff():
             assert [x for r in runs for x in r["old"]] == a and [x for r in runs for x in r["new"]] == b
             if not semantic:
                 assert sum(len(r["old"] or r["new"]) for r in runs if r["op"] != "equal") == len(a) + len(b) - 2 * lcs[-1][-1]
+    # of equal spellings of an edit the leftmost
+    assert ops("a a c", "a x a c") == [("equal", ["a"]), ("insert", ["x"]), ("equal", ["a", "c"])]
+    assert ops("a b c", "a b x a b c") == [("insert", ["a", "b", "x"]), ("equal", ["a", "b", "c"])]
+    # past the bound only the common ends are kept
+    assert ops("p a b q", "p c d q", most=0) == [("equal", ["p"]), ("delete", ["a", "b"]), ("insert", ["c", "d"]), ("equal", ["q"])]
+    assert sequences.is_minimal(["a"], ["b"]) and not sequences.is_minimal(["a"], ["b"], most=0)
     runs = sequences.diff("a b c".split(), "a x c".split())
     assert sequences.report(runs, "html") == "a <del>b</del> <ins>x</ins> c"
 
 
+def test_diff_searched_from_both_ends(monkeypatch):
+    monkeypatch.setattr(sequences, "TABLE_BITS", 0)
+    test_diff_lengths()
+
+
+def test_diff_lengths():
+    rng = random.Random(7)
+    for _ in range(200):
+        a = [rng.choice("abc") for _ in range(rng.randint(0, 20))]
+        b = [rng.choice("abc") for _ in range(rng.randint(0, 20))]
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = last[j] + 1 if x == y else max(last[j + 1], row[j])
+        pairs, _ = sequences.matches(a, b)
+        assert len(pairs) == row[-1] and all(a[i] == b[j] for i, j in pairs)
+
+
 def test_masks_and_dates():
     assert sequences.apply_mask("999-9999", "555 1234") == "555-1234"
     assert sequences.apply_mask(">A<A*", "ab1") == "Ab1"

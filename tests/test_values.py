@@ -22,17 +22,17 @@ def test_text():
 def test_calls():
     assert v.parse_call('AFSimple_Calculate("SUM", new Array("a", "b"));') == ("AFSimple_Calculate", ["SUM", ["a", "b"]])
     assert v.parse_call("AFNumber_Format(2, 0, 0, 0, '$', true)") == ("AFNumber_Format", [2.0, 0.0, 0.0, 0.0, "$", True])
-    assert v.parse_call("AFNumber_Format(x)") is None and v.parse_call("alert(1)") is None
+    assert v.parse_call("AFNumber_Format(x)") is None and v.parse_call("alert(1)") is None and v.parse_call(None) is None
+    assert v.parse_call("AFDate_Format('x')") is None and v.parse_call("AFDate_Format(1)") == ("AFDate_Format", [1.0])
+    assert v.parse_call("/* a */ AFPercent_Format(1, 2) // b") == ("AFPercent_Format", [1.0, 2.0]) and v.parse_call("AFPercent_Format(1, 2, 3)") is None
+    assert v.parse_call(r"AFDate_FormatEx('a\nb')") == ("AFDate_FormatEx", ["a\nb"]) and v.parse_call(r"AFDate_FormatEx('a\qb')") is None
+    assert v.parse_call("AFDate_Format(1x)") is None and v.parse_call("AFDate_Format(1); f()") is None and v.parse_call("/* AFDate_Format(1)") is None
     got = v.recalculate({"a.x": "1", "a.y": "2,5", "ab": "9", "t": ""}, [("t", 'AFSimple_Calculate("SUM", "a")'), ("u", "f()")])
     assert got == ({"t": "3.5"}, ["u"])
     assert v.exact_sum([1e16, 1, -1e16, None]) == 1 and v.exact_sum([0.1, 0.2, 0.3]) == 0.6
 
 
 def test_structure():
-    assert v.resolve_role("A", {"A": "B", "B": "P"}, {"P"}) == "P" and v.resolve_role("A", {"A": "B", "B": "A"}, {"P"}) in "AB"
-    head, cell = {"header": True}, {"header": False}
-    assert v.header_gap([[head, head], [cell, cell]]) is None
-    assert v.header_gap([[cell, head], [cell, cell]]) == (0, 0)
     assert v.groups_by_place([(0, 0, 1, 1), (1, 0, 2, 1), (2, 0, 3, 1)], 1) == [[0, 1], [2]]
     assert v.specificity("#a .b div:hover") == 10201
     assert v.cascade([(0, ".a", 1, "color", "red"), (0, "p", 2, "color", "blue"), (1, "p", 0, "top", "1")]) == {"color": "red", "top": "1"}

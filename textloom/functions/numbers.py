@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from fractions import Fraction
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Thousands and decimal separators of the separator styles 0 to 4 (fixed values).
@@ -29,14 +32,14 @@ def number_format(text: Column, decimals: int, style: int, negative: int = 0, cu
     """A text value as a formatted amount; unparsable gives ''. Negative styles: 0 minus, 1 bare, 2 and 3 in parentheses."""
     v = make_number(text)
     below = v < 0
-    bare = F.when(below & F.lit(negative != 0 or prepend), -v).otherwise(v)
-    body = printf_fixed(bare, decimals, style)
+    # every part stands outside the branches, so that the number is read once a row
+    body = printf_fixed(F.abs(v) if negative != 0 or prepend else v, decimals, style)
     out = F.concat(F.lit(currency), body) if prepend else F.concat(body, F.lit(currency))
     if negative in (2, 3):
-        out = F.when(below, F.concat(F.lit("("), out, F.lit(")"))).otherwise(out)
+        out = F.concat(F.when(below, "(").otherwise(""), out, F.when(below, ")").otherwise(""))
     elif negative == 0 and prepend:
-        out = F.when(below, F.concat(F.lit("-"), out)).otherwise(out)
-    return F.when(v.isNull(), F.lit("")).otherwise(out)
+        out = F.concat(F.when(below, "-").otherwise(""), out)
+    return F.coalesce(out, F.lit(""))
 
 
 def percent_format(text: Column, decimals: int, style: int, prepend: bool = False) -> Column:
@@ -89,17 +92,19 @@ def range_validate(value: Column, low: float | None = None, high: float | None =
 
 def half_up_6(x: Column) -> Column:
     """Six decimals, halves towards plus infinity."""
-    return F.floor(x * 1e6 + 0.5) / 1e6
+    return F.when(F.abs(x) < 9e12, F.floor(x * 1e6 + 0.5) / 1e6).otherwise(x)  # larger ones have no six decimals
 
 
 def simple_calculate(kind: str, text: Column) -> Column:
     """SUM, AVG, PRD, MIN or MAX over text values in a group; unparsable counts as 0, no rows as 0; another kind is null.
 
-    Sums are exact to six decimals.
+    Twelve decimals of values below 1e18 are summed exactly; what lies beyond either
+    end is summed in double precision.
     """
     v = F.coalesce(make_number(text), F.lit(0.0))
-    exact = F.sum(v.cast("decimal(28,6)"))
-    agg = {"SUM": exact.cast("double"), "AVG": (exact / F.count(F.lit(1))).cast("double"), "PRD": F.product(v), "MIN": F.min(v), "MAX": F.max(v)}
+    fixed = v.try_cast("decimal(30,12)")
+    total = F.coalesce(F.try_sum(fixed).cast("double"), F.lit(0.0)) + F.sum(v - F.coalesce(fixed.cast("double"), F.lit(0.0)))
+    agg = {"SUM": total, "AVG": total / F.count(F.lit(1)), "PRD": F.product(v), "MIN": F.min(v), "MAX": F.max(v)}
     return half_up_6(F.coalesce(agg[kind], F.lit(0.0))) if kind in agg else F.lit(None).cast("double")
 
 
@@ -130,3 +135,35 @@ def alpha(n: Column) -> Column:
 def numeral(style: Column, n: Column) -> Column:
     """A number in a page-label style: D decimal, r R roman, a A letters, else nothing."""
     return F.when(style == "D", n.cast("string")).when(style == "r", roman(n)).when(style == "R", F.upper(roman(n))).when(style == "a", alpha(n)).when(style == "A", F.upper(alpha(n))).otherwise("")
+
+
+def exact_sum(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """``by`` and the exactly rounded sum of ``value`` (double); nulls are left out, no values give 0.
+
+    A double is a whole number times a power of two. Whole numbers are summed
+    exactly for each power (map-side, as any sum); a group's sums, a few hundred at
+    most, are then added as integers and rounded once. Not-a-number and infinities
+    are summed as usual.
+    """
+    x = F.col(value).cast("double")
+    finite = F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
+    power = F.when(finite & (x != 0), F.floor(F.log2(F.abs(x))) - 54).otherwise(0).cast("int")
+    half = F.floor(-F.col("_p") / 2)  # two steps: one power of two may lie outside the range of doubles
+    whole = (F.col("_x") * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), -F.col("_p") - half)).cast("bigint").cast("decimal(38,0)")
+    held = rows.select(*by, F.when(finite, x).alias("_x"), F.when(~finite, x).alias("_odd"), power.alias("_p"))
+    sums = held.groupBy(*by, "_p").agg(F.sum(whole).alias("_n"), F.sum("_odd").alias("_odd"))
+    each = sums.groupBy(*by).agg(F.collect_list(F.struct("_p", "_n")).alias("_s"), F.sum("_odd").alias("_odd"))
+
+    def rounded(s: pa.Array) -> pa.Array:
+        out = []
+        for terms in s.to_pylist():
+            terms = [(t["_p"], int(t["_n"])) for t in terms or [] if t["_n"] is not None]
+            least = min((p for p, _ in terms), default=0)
+            total = sum(n << (p - least) for p, n in terms)
+            try:
+                out.append(float(Fraction(total) * Fraction(2) ** least))
+            except OverflowError:
+                out.append(float("inf") if total > 0 else float("-inf"))
+        return pa.array(out, pa.float64())
+
+    return each.select(*by, F.coalesce("_odd", F.arrow_udf(rounded, "double")("_s")).alias(name))

@@ -6,6 +6,8 @@ pushed through projections. A null input gives null unless stated.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -164,3 +166,14 @@ def redact(text: Column, term: str, mask: str = "█", whole_word: bool = False,
 def fold_digits(line: Column) -> Column:
     """A line as a key: trimmed, white space collapsed, digit runs as ``#``."""
     return F.regexp_replace(F.regexp_replace(F.trim(line), r"\s+", " "), r"\d+", "#")
+
+
+def fill_template(template: str, values: dict[str, Column]) -> Column:
+    """``{token}`` as its value, unknown ones and nulls as nothing; ``{{`` is a brace."""
+    parts = []
+    for m in re.finditer(r"\{\{|\{([^{}]*)\}|[^{]+|\{", template):
+        if m[1] is None:
+            parts.append(F.lit("{" if m[0] == "{{" else m[0]))
+        elif m[1] in values:
+            parts.append(F.coalesce(values[m[1]].cast("string"), F.lit("")))
+    return F.concat(*parts) if parts else F.lit("")

@@ -110,46 +110,73 @@ def exact_sum(values) -> float:
     return math.fsum(v for v in values if v is not None)
 
 
-#: Script calls that are understood (fixed names).
-CALLS = ("AFNumber_Format", "AFNumber_Keystroke", "AFPercent_Format", "AFPercent_Keystroke", "AFDate_Format", "AFDate_FormatEx", "AFDate_Keystroke", "AFDate_KeystrokeEx", "AFTime_Format", "AFTime_FormatEx", "AFTime_Keystroke", "AFTime_KeystrokeEx", "AFSpecial_Format", "AFSpecial_Keystroke", "AFSpecial_KeystrokeEx", "AFRange_Validate", "AFSimple_Calculate")
-_LITERAL = re.compile(r"""\s*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)|(true|false)|(?:new\s+Array\s*\(|(\[)))""")
-
-
-def parse_call(script: str):
-    """(name, arguments) if a script is exactly one known call with literal arguments, else None; nothing is run."""
-    m = re.fullmatch(r"\s*(\w+)\s*\((.*)\)\s*;?\s*", script, re.S)
-    if not m or m[1] not in CALLS:
-        return None
-
-    def items(s: str, at: int, end: str):
-        out = []
-        while True:
-            m = re.compile(r"\s*" + re.escape(end) if end else r"\s*$").match(s, at)
-            if m:
-                return out, m.end()
-            if out:
-                comma = re.compile(r"\s*,").match(s, at)
-                if not comma:
-                    return None
-                at = comma.end()
-            x = _LITERAL.match(s, at)
-            if not x:
+#: Script calls that are understood, with the kinds of their arguments (fixed values): n number, s text,
+#: b true or false, f a list of names or a text; what stands in brackets may be left out.
+CALLS = {
+    "AFNumber_Format": "nnnnsb", "AFNumber_Keystroke": "nnnnsb", "AFPercent_Format": "nn[b]", "AFPercent_Keystroke": "nn",
+    "AFDate_Format": "n", "AFDate_FormatEx": "s", "AFDate_Keystroke": "n", "AFDate_KeystrokeEx": "s",
+    "AFTime_Format": "n", "AFTime_FormatEx": "s", "AFTime_Keystroke": "n", "AFTime_KeystrokeEx": "s",
+    "AFSpecial_Format": "n", "AFSpecial_Keystroke": "n", "AFSpecial_KeystrokeEx": "s", "AFRange_Validate": "bnbn", "AFSimple_Calculate": "sf",
+}
+_TOKEN = re.compile(
+    r"""(?P<gap>[\x20\t\n\r\f\v\xa0\ufeff]+|//[^\n]*(?:\n|\Z)|/\*.*?\*/)
+    |(?P<text>"(?:[^"\\\n\r]|\\["'\\nrt])*"|'(?:[^'\\\n\r]|\\["'\\nrt])*')
+    |(?P<number>[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)
+    |(?P<name>[A-Za-z_$][A-Za-z0-9_$]*)|(?P<mark>[()\[\],;])""",
+    re.S | re.X,
+)
+_TEXTS = r"(?:s(?:,s)*)?"
+_ARGUMENT = rf"(?:[nsb]|\[{_TEXTS}\]|wA\({_TEXTS}\))"
+_SHAPE = re.compile(rf"N\((?:{_ARGUMENT}(?:,{_ARGUMENT})*)?\);?")
+_ESCAPES = {"n": "\n", "r": "\r", "t": "\t"}
+
+
+def parse_call(script: str | None):
+    """(name, arguments) if a script is exactly one known call with literal arguments of its kinds, else None; nothing is run.
+
+    The script is cut into tokens, each becomes a letter, and the letters must have
+    the shape of a call; comments and white space may stand anywhere.
+    """
+    letters, values, at = [], [], 0
+    script = script or ""
+    while at < len(script):
+        m = _TOKEN.match(script, at)
+        if not m:
+            return None
+        at = m.end()
+        kind, t = m.lastgroup, m[0]
+        if kind == "gap":
+            continue
+        if kind == "text":
+            letter, value = "s", re.sub(r"\\(.)", lambda e: _ESCAPES.get(e[1], e[1]), t[1:-1])
+        elif kind == "number":
+            letter, value = "n", float(t)
+            if math.isinf(value):
                 return None
-            if x[1] is not None or x[2] is not None:
-                value, at = re.sub(r"\\(.)", r"\1", x[1] if x[1] is not None else x[2]), x.end()
-            elif x[3]:
-                value, at = float(x[3]), x.end()
-            elif x[4]:
-                value, at = x[4] == "true", x.end()
+        elif kind == "name":
+            letter = "N" if not letters else {"true": "b", "false": "b", "new": "w", "Array": "A"}.get(t, "?")
+            value = t == "true" if letter == "b" else t
+        else:
+            letter, value = t, None
+        letters.append(letter)
+        values.append(value)
+    if not letters or not _SHAPE.fullmatch("".join(letters)) or values[0] not in CALLS:
+        return None
+    out, kinds, held = [], "", None
+    for letter, value in zip(letters[2:], values[2:], strict=True):
+        if letter in "[w":
+            held = []
+        elif held is not None and letter in ")]":
+            out.append(held)
+            kinds, held = kinds + "l", None
+        elif letter in "nsb":
+            if held is not None:
+                held.append(value)
             else:
-                got = items(s, x.end(), "]" if x[5] else ")")
-                if got is None:
-                    return None
-                value, at = got
-            out.append(value)
-
-    got = items(m[2], 0, "")
-    return None if got is None else (m[1], got[0])
+                out.append(value)
+                kinds += letter
+    want = re.escape(CALLS[values[0]]).replace(r"\[b\]", "b?").replace("f", "[sl]")
+    return (values[0], out) if re.fullmatch(want, kinds) else None
 
 
 def recalculate(values: dict[str, str], calculations: list[tuple[str, str]]) -> tuple[dict[str, str], list[str]]:
@@ -184,35 +211,6 @@ def recalculate(values: dict[str, str], calculations: list[tuple[str, str]]) ->
 # --- structure ----------------------------------------------------------------------------------------
 
 
-def resolve_role(name: str, roles: dict[str, str], standard: set[str]) -> str:
-    """Follow the role map to a standard type, an unmapped name, or around a cycle."""
-    seen = set()
-    while name not in standard and name in roles and name not in seen:
-        seen.add(name)
-        name = roles[name]
-    return name
-
-
-def header_gap(grid: list[list[dict]]) -> tuple[int, int] | None:
-    """The first data cell without a header in its row or column that reaches it, or named by its id; null if all have one.
-
-    Cells: {header, scope, id, headers}. A table whose headers all state a scope passes.
-    """
-    heads = [(i, j, c) for i, r in enumerate(grid) for j, c in enumerate(r) if c.get("header")]
-    if not grid or all(c.get("scope") for _, _, c in heads) and heads:
-        return None
-    ids = {c.get("id") for _, _, c in heads}
-    for i, row in enumerate(grid):
-        for j, c in enumerate(row):
-            if c.get("header"):
-                continue
-            named = any(h in ids for h in c.get("headers") or [])
-            reach = any((hi == i and (h.get("scope") or ("Column" if hi == 0 and hj else "Row")) in ("Row", "Both") and hj < j) or (hj == j and (h.get("scope") or ("Row" if hj == 0 and hi else "Column")) in ("Column", "Both") and hi < i) for hi, hj, h in heads)
-            if not named and not reach:
-                return i, j
-    return None
-
-
 def groups_by_place(boxes: list[tuple[float, float, float, float]], tolerance: float) -> list[list[int]]:
     """Boxes in first-come groups: a box joins the first group whose first box has every edge within the tolerance."""
     out: list[list[int]] = []

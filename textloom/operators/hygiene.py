@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import fold_digits, redact, tokenize
+from textloom.scratch import materialize
 
 
 def dedup_exact(docs: DataFrame, key: list[str], id_col: str = "doc_id", size: str = "text") -> DataFrame:
@@ -22,7 +23,8 @@ def dedup_exact(docs: DataFrame, key: list[str], id_col: str = "doc_id", size: s
 def dedup_to_fixpoint(objects: DataFrame, refs: DataFrame, passes: int = 8) -> DataFrame:
     """Objects merged by content, and again as their references become equal: id, keep.
 
-    ``objects``: id, payload. ``refs``: src, pos, dst. At most ``passes`` passes.
+    ``objects``: id, payload. ``refs``: src, pos, dst. At most ``passes`` passes; each
+    is written, and the next begins with what was written.
     """
     place = objects.select("id", F.col("id").alias("keep"))
     for _ in range(passes):
@@ -31,7 +33,7 @@ def dedup_to_fixpoint(objects: DataFrame, refs: DataFrame, passes: int = 8) -> D
         sig = out.groupBy("src").agg(F.to_json(F.array_sort(F.collect_list("r"))).alias("refs"))
         rows = objects.join(sig, objects["id"] == sig["src"], "left").select("id", "payload", F.sha2(F.concat_ws("\x00", "payload", F.coalesce("refs", F.lit(""))), 256).alias("k"))
         least = rows.groupBy("k").agg(F.min(F.struct(F.length("payload").alias("n"), "id")).alias("s"))
-        new = rows.join(least, "k").select("id", F.col("s.id").alias("keep"))
+        new = materialize(rows.join(least, "k").select("id", F.col("s.id").alias("keep")), "merged")
         changed = new.join(place.withColumnRenamed("keep", "was"), "id").filter("keep <> was")
         stop = changed.isEmpty()
         place = new

@@ -4,21 +4,27 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.plans.ranking import global_row_number
+
 
 def merge(docs: list[DataFrame]) -> DataFrame:
     """Pages of several documents one after another, numbered anew: source, page, new_page. Inputs: page (from 1).
 
-    The number before a document is the sum of the sizes before it, so no task
-    sees all pages.
+    Numbers come from ranges of pages, so no task sees all pages of a document.
     """
     rows = reduce(DataFrame.unionByName, [d.select("page").withColumn("source", F.lit(i)) for i, d in enumerate(docs)])
-    n = rows.groupBy("source").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a document
-    rank = F.row_number().over(Window.partitionBy("source").orderBy("page"))
-    return rows.withColumn("new_page", rank).join(F.broadcast(n.select("source", before.alias("b"))), "source").select("source", "page", (F.col("new_page") + F.col("b")).alias("new_page"))
+    return global_row_number(rows, "source", "page", name="new_page").select("source", "page", "new_page")
+
+
+def insert(pages: DataFrame, at: int, new: DataFrame) -> DataFrame:
+    """Pages (page) with ``new`` (page) put in before page ``at``: source (0 old, 1 new), page, new_page."""
+    n = new.agg(F.count("*").alias("n"))  # one row
+    old = pages.select("page").crossJoin(F.broadcast(n)).select(F.lit(0).alias("source"), "page", (F.col("page") + F.when(F.col("page") >= at, F.col("n")).otherwise(0)).alias("new_page"))
+    more = global_row_number(new.select("page"), "page", name="new_page").select(F.lit(1).alias("source"), "page", (F.col("new_page") + at - 1).alias("new_page"))
+    return old.unionByName(more)
 
 
 def extract(pages: DataFrame, wanted: list[int]) -> DataFrame:
@@ -33,7 +39,7 @@ def remove(pages: DataFrame, gone: list[int]) -> DataFrame:
     A page moves up by the number of removed pages before it.
     """
     drop = sorted(set(gone))
-    before = sum((F.when(F.col("page") > p, 1).otherwise(0) for p in drop), F.lit(0))
+    before = F.size(F.filter(F.array(*[F.lit(p) for p in drop]), lambda p: p < F.col("page")))
     return pages.filter(~F.col("page").isin(drop)).withColumn("new_page", (F.col("page") - before).cast("long"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.numbers import numeral
+from textloom.plans.ranking import running_sum
 
 
 def delta(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -27,23 +28,22 @@ def newest_wins(rows: DataFrame, key: str, version: list[str], tombstone: Column
 
 def budget_prefix(rows: DataFrame, group: str, order: str, size: Column, limit: int) -> DataFrame:
     """Rows of each group, in order, as long as their sizes fit into ``limit`` together; with the running sum ``used``."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(size).over(w)).filter(F.col("used") <= limit)
+    return running_sum(rows, [group], [order], size, "used").filter(F.col("used") <= limit)
 
 
-def label_asof(rows: DataFrame, index: Column, ranges: DataFrame) -> DataFrame:
+def label_asof(rows: DataFrame, index: Column, ranges: DataFrame, key: str | None = None) -> DataFrame:
     """``rows`` with the label of the last range that starts at or before the index.
 
-    ``ranges``: start_index, style, prefix, start. They are sorted into one array,
-    a row of a plan, so each row finds its range without a join by inequality.
+    ``ranges``: start_index, style, prefix, start, and the document ``key`` if
+    there is one. A document's ranges (fewer than its pages) meet its rows as one
+    sorted array, so no join is by inequality.
     """
-    table = ranges.agg(F.array_sort(F.collect_list(F.struct("start_index", "style", "prefix", "start"))).alias("r")).first()["r"] or []
-    hit: Column = F.lit(None).cast("struct<start_index: bigint, style: string, prefix: string, start: bigint>")
-    for r in table:  # the ranges of one document
-        hit = F.when(index >= r["start_index"], F.struct(F.lit(r["start_index"]).cast("long").alias("start_index"), F.lit(r["style"]).alias("style"), F.lit(r["prefix"]).alias("prefix"), F.lit(r["start"]).cast("long").alias("start"))).otherwise(hit)
-    out = rows.withColumn("_r", hit)
+    packed = F.array_sort(F.collect_list(F.struct("start_index", "style", "prefix", "start"))).alias("_ranges")
+    held = ranges.groupBy(*[key] if key else []).agg(packed)
+    out = rows.join(held, key, "left") if key else rows.crossJoin(F.broadcast(held))  # one row
+    out = out.withColumn("_r", F.try_element_at(F.filter("_ranges", lambda r: r["start_index"] <= index), F.lit(-1)))
     text = F.concat(F.coalesce("_r.prefix", F.lit("")), numeral(F.col("_r.style"), F.coalesce("_r.start", F.lit(1)) + index - F.col("_r.start_index")))
-    return out.withColumn("label", F.when(F.col("_r").isNull(), (index + 1).cast("string")).otherwise(text)).drop("_r")
+    return out.withColumn("label", F.when(F.col("_r").isNull(), (index + 1).cast("string")).otherwise(text)).drop("_r", "_ranges")
 
 
 def bind_fields(fields: DataFrame, data: DataFrame) -> DataFrame:
@@ -57,11 +57,24 @@ def bind_fields(fields: DataFrame, data: DataFrame) -> DataFrame:
     return out.select("field", value.alias("value"))
 
 
-def import_report(entries: DataFrame, fields: DataFrame) -> DataFrame:
-    """name, status: imported, or the first reason against it. ``entries``: name, value. ``fields``: name, kind, settable."""
+def import_report(entries: DataFrame, fields: DataFrame, has_form: Column | None = None) -> DataFrame:
+    """name, status: imported, or the first reason against it.
+
+    ``entries``: name, value. ``fields``: name, kind, settable, and ``choices``
+    (array) where only listed values may be set. ``has_form``: a condition without
+    columns; false refuses every entry.
+    """
     out = entries.join(fields, "name", "left")
     number = F.col("value").try_cast("double")
-    status = F.when(F.col("kind").isNull(), "no such field").when(~F.col("settable"), "not settable").when((F.col("kind") == "number") & F.col("value").isNotNull() & number.isNull(), "type mismatch").otherwise("imported")
+    listed = F.lit(True) if "choices" not in fields.columns else F.col("choices").isNull() | F.array_contains("choices", F.col("value"))
+    status = (
+        F.when(~(F.lit(True) if has_form is None else has_form), "no form")
+        .when(F.col("kind").isNull(), "no such field")
+        .when(~F.col("settable"), "not settable")
+        .when((F.col("kind") == "number") & F.col("value").isNotNull() & number.isNull(), "type mismatch")
+        .when(~F.coalesce(listed, F.lit(True)), "not a choice")
+        .otherwise("imported")
+    )
     return out.select("name", status.alias("status"))
 
 
@@ -123,8 +136,12 @@ def heading_ranks(rows: DataFrame, size: str, weight: str) -> DataFrame:
 
 
 def upper_median(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """group, median: the element at floor(n / 2) of the sorted values, never between two."""
-    return rows.groupBy(group).agg(F.array_sort(F.collect_list(value)).alias("v")).select(group, F.expr("v[cast(floor(size(v) / 2) AS int)]").alias("median"))
+    """group, median: the element at floor(n / 2) of the sorted values, never between two.
+
+    That is the first value that more than half of the values don't exceed; values
+    are counted map-side.
+    """
+    return rows.groupBy(group).agg(F.expr(f"percentile_disc(0.500000000001D) WITHIN GROUP (ORDER BY `{value}`)").alias("median"))
 
 
 def modal(rows: DataFrame, group: str, value: str) -> DataFrame:

@@ -61,15 +61,29 @@ def column_cuts(fragments: DataFrame, least: float = 6.0) -> DataFrame:
 
 
 def stitch(tables: DataFrame, tolerance: float = 3.0) -> DataFrame:
-    """Tables on consecutive pages with the same columns as one chain: table_id, chain.
+    """Tables on consecutive pages with the same columns as one chain: doc_id, table_id, page, chain, repeats_header.
 
-    ``tables``: table_id, page, edges (array<double>). One table a page: a chain
-    goes on while the page follows and every edge lies within the tolerance.
+    ``tables``: doc_id, table_id, page, edges (array<double>), and ``header`` (the
+    first row's texts) if rows are to be joined. One table a page: a chain goes on
+    while the page follows and every edge lies within the tolerance. A table whose
+    header repeats that of its chain's first table loses that row
+    (``repeats_header``).
     """
-    w = Window.orderBy("page", "table_id") if "doc_id" not in tables.columns else Window.partitionBy("doc_id").orderBy("page", "table_id")
+    w = Window.partitionBy("doc_id").orderBy("page", "table_id")
     same = (F.col("page") == F.lag("page").over(w) + 1) & (F.size("edges") == F.size(F.lag("edges").over(w))) & F.forall(F.zip_with("edges", F.lag("edges").over(w), lambda a, b: F.abs(a - b) <= tolerance), lambda x: x)
-    out = tables.withColumn("new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
-    return out.withColumn("chain", F.sum("new").over(w)).drop("new", "edges")
+    out = tables.withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("chain", F.sum("_new").over(w)).drop("_new", "edges")
+    if "header" not in tables.columns:
+        return out
+    lead = Window.partitionBy("doc_id", "chain").orderBy("page", "table_id")
+    out = out.withColumn("_h", F.transform("header", lambda t: F.trim(t)))
+    return out.withColumn("repeats_header", (F.row_number().over(lead) > 1) & F.col("_h").eqNullSafe(F.first("_h").over(lead))).drop("_h", "header")
+
+
+def stitched_rows(chains: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of chains numbered anew: doc_id, chain, row, table_id, cells. ``rows``: doc_id, table_id, row, cells."""
+    held = rows.join(chains, ["doc_id", "table_id"]).filter(~(F.coalesce("repeats_header", F.lit(False)) & (F.col("row") == 0)))
+    w = Window.partitionBy("doc_id", "chain").orderBy("page", "table_id", "row")
+    return held.select("doc_id", "chain", (F.row_number().over(w) - 1).alias("row"), "table_id", "cells")
 
 
 def grid_issue(rows: list[list[tuple[int, int]]]) -> str | None:

@@ -185,7 +185,7 @@ def author_split(read):
 
 @query(r"SELECT doc_id, regexp_matches(text || CASE WHEN doc_id % 7 = 0 THEN chr(57345) ELSE '' END, '[\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}]') AS private_use FROM documents")
 def private_use(read):
-    t = F.concat("text", F.when(F.col("doc_id") % 7 == 0, "").otherwise(""))
+    t = F.concat("text", F.when(F.col("doc_id") % 7 == 0, "\ue001").otherwise(""))
     return read("documents").select("doc_id", text.contains_private_use(t).alias("private_use"))
 
 
@@ -283,14 +283,16 @@ def budget_prefix(read):
     return relations.budget_prefix(read("documents").select("doc_id", "source", "text"), "source", "doc_id", F.octet_length("text"), 50000).select("doc_id", "source", "used")
 
 
-@query("""WITH r AS (SELECT * FROM (VALUES (1, 'r', 'pre-', 1), (3, 'D', '', 1), (6, 'A', 'X', 27)) AS t(start_index, style, prefix, start)),
-c AS (SELECT conv_id, turn FROM conversations), j AS (SELECT c.*, r.* FROM c ASOF LEFT JOIN r ON c.turn >= r.start_index)
-SELECT conv_id, turn, CASE WHEN style IS NULL THEN CAST(turn + 1 AS VARCHAR) WHEN style = 'r' THEN 'pre-' || ['i', 'ii'][CAST(turn AS INT)] WHEN style = 'D' THEN CAST(turn - 2 AS VARCHAR)
-  ELSE 'X' || repeat(chr(CAST(65 + (turn - 6 + 26) % 26 AS INT)), CAST(floor((turn - 6 + 26) / 26) + 1 AS INT)) END AS label FROM j""")
+@query("""WITH r AS (SELECT conv_id, start_index, CASE conv_id % 3 WHEN 0 THEN 'r' WHEN 1 THEN 'D' ELSE 'A' END AS style, 'p' || start_index || '-' AS prefix, 1 + 26 * (conv_id % 2) AS start
+  FROM (SELECT DISTINCT conv_id, unnest([1, 3 + conv_id % 4]) AS start_index FROM conversations WHERE conv_id % 5 <> 0)),
+j AS (SELECT c.conv_id, c.turn, r.start_index, r.style, r.prefix, r.start + c.turn - r.start_index AS n FROM conversations c ASOF LEFT JOIN r ON c.conv_id = r.conv_id AND c.turn >= r.start_index)
+SELECT conv_id, turn, CASE WHEN style IS NULL THEN CAST(turn + 1 AS VARCHAR) WHEN style = 'D' THEN prefix || n WHEN style = 'A' THEN prefix || repeat(chr(CAST(65 + (n - 1) % 26 AS INT)), CAST(floor((n - 1) / 26) + 1 AS INT))
+  ELSE prefix || repeat('x', CAST(floor(n / 10) AS INT)) || ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][CAST(n % 10 AS INT) + 1] END AS label FROM j""")
 def page_label_asof(read):
-    c = read("conversations").select("conv_id", "turn")
-    ranges = c.sparkSession.createDataFrame([(1, "r", "pre-", 1), (3, "D", "", 1), (6, "A", "X", 27)], "start_index long, style string, prefix string, start long")
-    return relations.label_asof(c, F.col("turn"), ranges)
+    c, k = read("conversations").select("conv_id", "turn"), F.col("conv_id")
+    r = c.select("conv_id").distinct().filter(k % 5 != 0).select("conv_id", F.explode(F.array(F.lit(1).cast("long"), 3 + k % 4)).alias("start_index"))
+    ranges = r.select("conv_id", "start_index", F.when(k % 3 == 0, "r").when(k % 3 == 1, "D").otherwise("A").alias("style"), F.concat(F.lit("p"), F.col("start_index").cast("string"), F.lit("-")).alias("prefix"), (1 + 26 * (k % 2)).alias("start"))
+    return relations.label_asof(c, F.col("turn"), ranges, "conv_id").select("conv_id", "turn", "label")
 
 
 @query("""WITH p AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
@@ -386,11 +388,11 @@ def page_range_expand(read):
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), t AS (SELECT doc_id, list_transform(string_split(line, ' | '), lambda x: trim(x)) AS cells FROM l WHERE line LIKE '% | % | %')
-SELECT doc_id, count(*) AS n_rows, CAST(max(len(cells)) AS INT) AS n_columns, sha256(string_agg(sha256(list_aggregate(cells[1:4], 'string_agg', '|')), '' ORDER BY sha256(list_aggregate(cells[1:4], 'string_agg', '|')))) AS digest FROM t GROUP BY doc_id""")
+SELECT doc_id, count(*) AS n_rows, CAST(max(len(cells)) AS INT) AS n_columns, sha256(string_agg(sha256(list_aggregate(cells, 'string_agg', '|')), '' ORDER BY sha256(list_aggregate(cells, 'string_agg', '|')))) AS digest FROM t GROUP BY doc_id""")
 def table_rows(read):
     lines = read("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter("line LIKE '% | % | %'")
     cells = F.transform(F.split("line", r" \| "), lambda x: F.trim(x))
-    one = F.sha2(F.array_join(F.slice("cells", 1, 4), "|"), 256)
+    one = F.sha2(F.array_join("cells", "|"), 256)
     return lines.select("doc_id", cells.alias("cells")).groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.max(F.size("cells")).alias("n_columns"), F.sha2(F.array_join(F.array_sort(F.collect_list(one)), ""), 256).alias("digest"))
 
 
@@ -409,6 +411,14 @@ def page_remove(read):
     return pagesets.remove(read("pages").select((F.col("page_id") + 1).alias("page")), [40, 3])
 
 
+@query("""WITH n AS (SELECT count(*) AS n FROM pages WHERE page_id % 10 = 0)
+SELECT 0 AS source, page_id + 1 AS page, page_id + 1 + CASE WHEN page_id + 1 >= 5 THEN n.n ELSE 0 END AS new_page FROM pages, n
+UNION ALL SELECT 1, page_id + 1, 4 + row_number() OVER (ORDER BY page_id) FROM pages WHERE page_id % 10 = 0""")
+def page_insert(read):
+    pages = read("pages").select((F.col("page_id") + 1).alias("page"))
+    return pagesets.insert(pages, 5, pages.filter((F.col("page") - 1) % 10 == 0))
+
+
 @query("SELECT page_id + 1 AS page, CAST(floor(page_id / 7) + 1 AS BIGINT) AS part, page_id % 7 + 1 AS new_page FROM pages")
 def page_split(read):
     return pagesets.split(read("pages").select((F.col("page_id") + 1).alias("page")), 7)
@@ -478,7 +488,8 @@ def rule_evaluation(read):
     return pagesets.evaluate_rules(p.select(F.col("p_partkey").alias("field"), F.col("p_size").cast("string").alias("value")), rules, {"least": numbers.range_validate(F.col("value"), 10)})
 
 
-from textloom.plans import sequential  # noqa: E402  registers the queries that no SQL expresses
+from textloom.plans import sequential, structures  # noqa: E402  more queries
 
-QUERIES.update(sequential.QUERIES)
-ORACLES.update(sequential.ORACLES)
+for part in (sequential, structures):
+    QUERIES.update(part.QUERIES)
+    ORACLES.update(part.ORACLES)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from textloom.functions import sequences, values
+from textloom.functions import numbers, sequences, text, values
 from textloom.operators import sequential, tables
 from textloom.shipping import ship
 
@@ -109,51 +109,73 @@ def char_refs(read):
 
 @query
 def template_lines(read):
-    make = lambda i, n: [(values.resolve_template("Part {id} of {n}{none} {{x}", {"id": i, "n": n}),)]
-    return sequential.explode_rows(read("part"), ["p_partkey"], ["p_partkey", "p_size"], make, "line string")
+    return read("part").select("p_partkey", text.fill_template("Part {id} of {n}{none} {{x}", {"id": F.col("p_partkey"), "n": F.col("p_size")}).alias("line"))
 
 
 @query
 def exact_sums(read):
-    """Exactly rounded sums: partial lists per task would not combine, so groups are summed where they meet."""
+    return numbers.exact_sum(read("lineitem"), ["l_suppkey"], "l_extendedprice", "total").withColumn("total", F.round("total", 2))
 
-    def total(table):
-        import pyarrow as pa
 
-        return pa.table({"l_suppkey": table.column("l_suppkey").slice(0, 1), "total": pa.array([values.exact_sum(table.column("l_extendedprice").to_pylist())], pa.float64())})
-
-    rows = read("lineitem").select("l_suppkey", "l_extendedprice")
-    kind = rows.schema["l_suppkey"].dataType.simpleString()
-    return rows.groupBy("l_suppkey").applyInArrow(total, f"l_suppkey {kind}, total double").select("l_suppkey", F.round("total", 2).alias("total"))
+@query
+def exact_sums_of_mixed_sizes(read):
+    """Large terms that cancel, and small ones that a plain sum would lose."""
+    k = F.col("l_orderkey")
+    v = F.when(F.col("l_linenumber") == 1, F.lit(1e17)).when(F.col("l_linenumber") == 2, F.lit(-1e17)).otherwise((k % 1000).cast("double") / 8)
+    rows = read("lineitem").select((F.col("l_suppkey") % 10).alias("g"), v.alias("v"), "l_linenumber")
+    return numbers.exact_sum(rows.filter("l_linenumber > 2").select("g", "v").union(rows.filter("l_linenumber = 1").select("g", F.explode(F.array("v", -F.col("v"))).alias("v"))), ["g"], "v", "total")
 
 
 @query
 def call_recognition(read):
-    script = F.when(F.col("p_size") % 3 == 0, F.format_string("AFRange_Validate(true, 1, true, %d);", F.col("p_size"))).when(F.col("p_size") % 3 == 1, F.lit("AFDate_Format('x')")).otherwise("run()")
-    rows = read("part").select("p_partkey", script.alias("script"))
+    k, n = F.col("p_partkey") % 8, F.col("p_size").cast("string")
+    script = (
+        F.when(k == 0, F.format_string("AFRange_Validate(true, 1, true, %d);", F.col("p_size")))
+        .when(k == 1, "AFDate_Format('x')")
+        .when(k == 2, F.concat(F.lit("/* c */ AFDate_Format("), n, F.lit(") // end")))
+        .when(k == 3, F.concat(F.lit("AFSimple_Calculate('SUM', new Array('a', \"b"), n, F.lit("\"))")))
+        .when(k == 4, F.concat(F.lit("AFPercent_Format("), n, F.lit(", 0, false)")))
+        .when(k == 5, "AFNumber_Format(2, 0, 0, 0, 'a\\qb', true)")
+        .when(k == 6, F.lit(None).cast("string"))
+        .otherwise("run()")
+    )
     make = lambda s: [(c[0], len(c[1])) if (c := values.parse_call(s)) else (None, -1)]
-    return sequential.explode_rows(rows, ["p_partkey"], ["script"], make, "name string, arguments int")
+    return sequential.explode_rows(read("part").select("p_partkey", script.alias("script")), ["p_partkey"], ["script"], make, "name string, arguments int")
 
 
 @query
 def mask_print(read):
-    rows = read("customer").select("c_custkey", F.format_string("%09d", F.col("c_custkey") * 7919).alias("v"))
+    rows = read("customer").select("c_custkey", F.when(F.col("c_custkey") % 50 != 0, F.format_string("%09d", F.col("c_custkey") * 7919)).alias("v"))
     return sequential.explode_rows(rows, ["c_custkey"], ["v"], lambda x: [(sequences.apply_mask("999-99-9999", x),)], "masked string")
 
 
 @query
 def date_pictures(read):
-    rows = read("orders").select("o_orderkey", F.date_format("o_orderdate", "dd.MM.yyyy").alias("v"))
-    make = lambda x: [(sequences.print_date("mmm d, yyyy", *sequences.scan_date("dd.mm.yyyy", x)[:3]),)]
-    return sequential.explode_rows(rows, ["o_orderkey"], ["v"], make, "printed string")
+    v = F.when(F.col("o_orderkey") % 9 == 0, F.lit("n/a")).when(F.col("o_orderkey") % 11 != 0, F.date_format("o_orderdate", "dd.MM.yyyy"))
+    rows = read("orders").select("o_orderkey", v.alias("v"))
+    return sequential.explode_rows(rows, ["o_orderkey"], ["v"], lambda x: [(sequences.format_date("dd.mm.yyyy", "mmm d, yyyy", x),)], "printed string")
+
+
+@query
+def diff_edited_turns(read):
+    """Differences of known size: every fifth word replaced, every seventh dropped, a word put in before every ninth."""
+    w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    edit = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.when(i % 5 == 0, F.array(F.concat(F.lit("\u00a4r"), i.cast("string")))).when(i % 7 == 0, F.array().cast("array<string>")).when(i % 9 == 0, F.array(F.concat(F.lit("\u00a4i"), i.cast("string")), F.get("w", i - 1))).otherwise(F.array(F.get("w", i - 1)))))
+    rows = read("conversations").select("conv_id", "turn", w.alias("w")).filter(F.size("w") > 0).select("conv_id", "turn", F.array_join("w", " ").alias("old"), F.array_join(edit, " ").alias("new"))
+    return sequential.compare(rows, ["conv_id", "turn"], semantic=False).drop("changes", "similarity")
 
 
 ORACLES = {
     "template_lines": "SELECT p_partkey, 'Part ' || p_partkey || ' of ' || p_size || ' {x}' AS line FROM part",
     "exact_sums": "SELECT l_suppkey, round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE), 2) AS total FROM lineitem GROUP BY l_suppkey",
-    "call_recognition": "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'AFRange_Validate' WHEN 1 THEN 'AFDate_Format' END AS name, CASE p_size % 3 WHEN 0 THEN 4 WHEN 1 THEN 1 ELSE -1 END AS arguments FROM part",
-    "mask_print": "SELECT c_custkey, substr(v, 1, 3) || '-' || substr(v, 4, 2) || '-' || substr(v, 6, 4) AS masked FROM (SELECT c_custkey, lpad(CAST(c_custkey * 7919 AS VARCHAR), 9, '0') AS v FROM customer)",
-    "date_pictures": "SELECT o_orderkey, strftime(o_orderdate, '%b %-d, %Y') AS printed FROM orders",
+    "call_recognition": """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'AFRange_Validate' WHEN 2 THEN 'AFDate_Format' WHEN 3 THEN 'AFSimple_Calculate' WHEN 4 THEN 'AFPercent_Format' END AS name,
+  CASE p_partkey % 8 WHEN 0 THEN 4 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3 ELSE -1 END AS arguments FROM part""",
+    "exact_sums_of_mixed_sizes": "SELECT l_suppkey % 10 AS g, CAST(sum(CASE WHEN l_linenumber > 2 THEN CAST(l_orderkey % 1000 AS DECIMAL(18, 3)) / 8 ELSE 0 END) AS DOUBLE) AS total FROM lineitem WHERE l_linenumber <> 2 GROUP BY l_suppkey % 10",
+    "diff_edited_turns": r"""WITH w AS (SELECT conv_id, turn, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS n FROM conversations),
+c AS (SELECT conv_id, turn, n, len(list_filter(range(1, n + 1), lambda i: i % 5 = 0)) AS r, len(list_filter(range(1, n + 1), lambda i: i % 5 <> 0 AND i % 7 = 0)) AS d, len(list_filter(range(1, n + 1), lambda i: i % 5 <> 0 AND i % 7 <> 0 AND i % 9 = 0)) AS p FROM w WHERE n > 0)
+SELECT conv_id, turn, CAST(n - r - d AS INT) AS equal, CAST(r + d AS INT) AS deleted, CAST(r + p AS INT) AS inserted FROM c""",
+    "mask_print": "SELECT c_custkey, CASE WHEN c_custkey % 50 = 0 THEN '' ELSE substr(v, 1, 3) || '-' || substr(v, 4, 2) || '-' || substr(v, 6, 4) END AS masked FROM (SELECT c_custkey, lpad(CAST(c_custkey * 7919 AS VARCHAR), 9, '0') AS v FROM customer)",
+    "date_pictures": "SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 'n/a' WHEN o_orderkey % 11 <> 0 THEN strftime(o_orderdate, '%b %-d, %Y') END AS printed FROM orders",
     "table_markdown": r"""SELECT p_partkey, '| part | a\|b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || replace(regexp_replace(p_name, '([\\`*_\[\]<&~])', '\\\1', 'g'), '|', '\|') || ' | ' || p_size || ' |' AS markdown FROM part""",
     "table_grid_check": """SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'row 1 reaches 2 of 3 columns' WHEN 2 THEN 'row 1 is wider than 3 columns' END AS issue FROM part""",
     "table_stitch": """WITH t AS (SELECT s_nationkey AS doc_id, s_suppkey AS table_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS page, s_acctbal > 0 AS kind FROM supplier),

@@ -252,7 +252,8 @@ def write_xfdf(fields: list[tuple[str, str]]) -> str:
     for name, value in fields:
         at = top
         for part in name.split("."):
-            at = next((c for c in at if c.tag == "field" and c.get("name") == part), None) or ET.SubElement(at, "field", {"name": part})
+            held = next((c for c in at if c.tag == "field" and c.get("name") == part), None)
+            at = ET.SubElement(at, "field", {"name": part}) if held is None else held
         ET.SubElement(at, "value").text = value
     return ET.tostring(root, encoding="unicode")
 
