@@ -167,3 +167,34 @@ def exact_sum(rows: DataFrame, by: list[str], value: str, name: str) -> DataFram
         return pa.array(out, pa.float64())
 
     return each.select(*by, F.coalesce("_odd", F.arrow_udf(rounded, "double")("_s")).alias(name))
+
+
+def exponential(x: Column, c0: float, c1: float, n: float) -> Column:
+    """c0 + x ** n * (c1 - c0), x held between 0 and 1."""
+    return c0 + F.pow(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)), F.lit(n)) * (c1 - c0)
+
+
+def stitched(x: Column, bounds: list[float], parts: list, encode: list[tuple[float, float]], low: float = 0.0, high: float = 1.0) -> Column:
+    """A function in pieces: x between two bounds is carried to the piece's own range and given to it. ``parts``: functions of a column."""
+    x = F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    edges = [low, *bounds, high]
+    out = None
+    for k in reversed(range(len(parts))):
+        a, b = edges[k], edges[k + 1]
+        own = encode[k][0] + (x - a) / (b - a) * (encode[k][1] - encode[k][0]) if b > a else F.lit(encode[k][0])
+        out = parts[k](own) if out is None else F.when(x < b, parts[k](own)).otherwise(out)
+    return out
+
+
+def number_form(n: Column, form: Column) -> Column:
+    """A counter in a list's number form: decimal, decimalZero, lower and upper Roman and Letter, none; null for another form."""
+    plain = n.cast("string")
+    letters = F.when(n > 0, alpha(n)).otherwise(plain)
+    numerals = F.when(n > 0, roman(n)).otherwise(plain)
+    return (
+        F.when(form == "decimal", plain)
+        .when(form == "decimalZero", F.when((n >= 0) & (n < 10), F.concat(F.lit("0"), plain)).otherwise(plain))
+        .when(form == "lowerRoman", numerals).when(form == "upperRoman", F.upper(numerals))
+        .when(form == "lowerLetter", letters).when(form == "upperLetter", F.upper(letters))
+        .when(form == "none", "")
+    )

@@ -11,15 +11,17 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, queries: dict | None = None, oracles: dict | None = None):
+    """Register a query of (read) -> DataFrame, where read(table) gives a table; workers can import this package."""
+
     def wrap(f):
         def run(spark, sf_dir):
             ship(spark)
             return f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
 
-        QUERIES[f.__name__] = run
+        (QUERIES if queries is None else queries)[f.__name__] = run
         if sql:
-            ORACLES[f.__name__] = sql
+            (ORACLES if oracles is None else oracles)[f.__name__] = sql
         return f
 
     return wrap
