@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from textloom.llm import ann, decontaminate, jaccard_join, language_id, line_dedup, packing, quality, secrets, sharding, token_counts
+from textloom.llm import ann, common, decontaminate, jaccard_join, language_id, line_dedup, packing, quality, secrets, sharding, token_counts
 from textloom.llm.queries import tokenizer_path
 from textloom.shipping import ship
 
@@ -107,6 +107,22 @@ def test_lpt_is_greedy():
         assert sorted((got * sizes[:, None]).sum(0).tolist()) == sorted(load)
 
 
+def test_sharding_is_balanced(spark):
+    """Shards' true bytes: the greedy rule over whole groups, largest first."""
+    rng = random.Random(5)
+    t = ["x" * rng.choice([3, 50, 9000, 20_000, 70_001]) + str(i % 40) for i in range(150)] + ["y" * 300_000] + ["copy"] * 60
+    got = sharding.shard_documents(table(spark, t), 4).collect()
+    size, home = {}, {}
+    for r in got:
+        x = t[r["doc_id"]]
+        size[x] = size.get(x, 0) + r["size"]
+        assert home.setdefault(x, r["shard"]) == r["shard"]
+    load = [0] * 4
+    for n in sorted(size.values(), reverse=True):
+        load[load.index(min(load))] += n
+    assert sorted(load) == sorted(sum(n for x, n in size.items() if home[x] == s) for s in range(4))
+
+
 def secret_brute(t):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     s = [(m.start(), 0, m.end(), "assign") for m in assign.finditer(t) if len(m[2]) >= 6]
@@ -130,6 +146,25 @@ def test_secrets(spark):
     assert out[13]["n_markov"] == 0
 
 
+def test_secret_models_on_samples_not_seen(spark):
+    """Precision and recall of the Markov spans: fitted on half of the labelled samples, asked about the other half."""
+    some = secrets.labelled_samples(spark, 20000).withColumn("half", F.pmod(F.xxhash64("value"), F.lit(2)))
+    ratios = secrets.fit_markov(some.filter("half = 0").drop("half"))
+    asked = some.filter("half = 1 AND char_length(value) >= 16").select("random", secrets.random_looking(F.col("value"), ratios).alias("said"))
+    n = {(r["random"], r["said"]): r["count"] for r in asked.groupBy("random", "said").count().collect()}
+    hit, missed, false = n.get((1, True), 0), n.get((1, False), 0), n.get((0, True), 0)
+    assert hit / (hit + missed) > 0.97 and hit / (hit + false) > 0.97
+
+
+def test_secrets_long_text_and_clashing_names(spark):
+    t = ["password=abcdefgh " * 3000 + "é" + "0123456789abcdef" * 2, None, "token: abcdef"]
+    df = table(spark, t).withColumnsRenamed({"shard": "t", "n_lines": "spans"}).withColumn("kind", F.lit("x"))
+    out = {r["doc_id"]: r for r in secrets.scan_secrets(df).collect()}
+    for i, x in enumerate(t):
+        assert out[i]["base_sha256"] == hashlib.sha256(secret_brute(x or "").encode()).hexdigest()
+    assert out[0]["n_assign"] == 3000 and out[0]["n_hex"] == 1
+
+
 def test_token_counts(spark):
     import sentencepiece
 
@@ -144,6 +179,26 @@ def test_token_counts(spark):
     assert all(r["over_limit"] == (r["n_tokens"] > 4096) and r["n_bytes"] == len((t[r["doc_id"]] or "").encode()) for r in got)
 
 
+@pytest.mark.parametrize("bits", [22, 10])
+def test_token_counts_without_boundaries(monkeypatch, bits):
+    """Stretches in which no boundary resets the transducer, and tables that fill inside a slice."""
+    import sentencepiece
+
+    rng = random.Random(6)
+    path = tokenizer_path("piece_bpe_32k.model")
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    t = token_counts.Transducer(path)
+    t.bits = bits
+    t.reset()
+    if bits < 20:
+        monkeypatch.setattr(token_counts, "MAX_STATES", 300)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6000)), "a" * 30_000, "", "the" * 3000, " " * 4000, "=" * 5000 + "ab" * 5000, "x y" * 2000]
+    data = [x.encode() for x in texts]
+    off = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
+    assert t.counts(np.frombuffer(b"".join(data), np.uint8), off).tolist() == [len(m.encode(x)) for x in texts]
+    assert len(t.keys) == 1 << bits
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
@@ -187,12 +242,38 @@ def test_packing_plan(seed):
     assert used == counts
 
 
-def test_packing_plan_has_fills(monkeypatch):
-    made = []
-    one = packing._plan
-    monkeypatch.setattr(packing, "_plan", lambda counts, capacity, most: made.append(most) or one(counts, capacity, most))
-    steps = packing.plan({6: 2, 4: 1, 3: 1, 1: 1}, 10)
-    assert min(made) >= 1 and sorted(p for p, _ in steps) == [(6, 3, 1), (6, 4)]
+def best_fit(counts, capacity):
+    """Sequences that best fit alone makes, largest first."""
+    gaps = []
+    for size in sorted((x for x, k in counts.items() for _ in range(k)), reverse=True):
+        fit = min((g for g in gaps if g >= size), default=None)
+        if fit is not None:
+            gaps.remove(fit)
+        gaps.append((capacity if fit is None else fit) - size)
+    return len(gaps)
+
+
+def test_packing_plan_fills_by_the_index():
+    # lengths that only pairs and triples fill
+    assert sorted(packing.plan({6: 100, 3: 100, 1: 100}, 10)) == [((6, 3, 1), 100)]
+    rng = random.Random(2)
+    counts = {}
+    for _ in range(3000):
+        x = rng.randint(180, 420)
+        counts[x] = counts.get(x, 0) + 1
+    steps = packing.plan(counts, 1024)
+    exact = sum(k for p, k in steps if sum(p) == 1024)
+    made = sum(k for _, k in steps)
+    assert made <= best_fit(counts, 1024) and exact > 0.5 * made
+
+
+def test_packing_long_runs():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    lib, encode = Tokenizer.from_file(path), packing.encoder(path)
+    for t in (" " * 1_100_000, "\n" * 300_000 + "a", "a" * 300_000, "x" + " \n" * 200_000 + "y", "\u3000" * 200_000):
+        assert encode(t) == lib.encode(t, add_special_tokens=False).ids
 
 
 def test_decontaminate(spark):
@@ -213,6 +294,31 @@ def test_decontaminate(spark):
     assert {r["doc_id"]: r["text"] for r in cut.collect()}[len(t) - 2] == " here"
 
 
+def test_decontaminate_names_that_clash(spark):
+    t = ["one two three four five six seven eight nine ten eleven", "nothing here"]
+    df = table(spark, t).withColumnsRenamed({"k1": "_from", "n_lines": "hit", "shard": "src"})
+    b = spark.createDataFrame([(1, t[0])], "item_id long, text string")
+    for kw in ({}, {"block_bytes": 1}):
+        kept = decontaminate.decontaminate(df, b, **kw)
+        assert kept.columns == df.columns and rows(kept, *df.columns) == rows(df.filter("doc_id = 1"), *df.columns)
+        cut = {r["doc_id"]: r for r in decontaminate.decontaminate(df, b, remove="spans", **kw).collect()}
+        assert cut[0]["text"] == "" and cut[1]["text"] == t[1] and cut[0]["_from"] == "x"
+
+
+def test_decontaminate_in_blocks(spark):
+    """Many items, some equal, over several blocks; a passage of several items."""
+    rng = random.Random(11)
+    w = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choice(w) for _ in range(rng.randint(0, 25)))) for i in range(40)]
+    items += [(100 + i, items[i][1]) for i in range(5)] + [(None, items[7][1])]
+    t = [" ".join([rng.choice(w), *(items[rng.randrange(40)][1].split()), "tail", *(items[rng.randrange(40)][1].split())]) for _ in range(30)] * 2
+    b = spark.createDataFrame(items, "item_id long, text string")
+    cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    want = sorted(brute.contamination(list(enumerate(t)), items), key=repr)
+    for size in (1 << 20, 400):
+        assert rows(decontaminate.contamination_report(table(spark, t), b, block_bytes=size), *cols) == want
+
+
 def test_decontaminate_null_item_id(spark, tmp_path):
     import duckdb
 
@@ -281,6 +387,40 @@ def test_one_of_each_awkward_ids(spark):
     assert got == sorted([(4, text), (2, other), (None, "alone under null, six words here"), (None, ""), (9, None)], key=repr)
 
 
+def test_jaccard_repeated_rows_make_one_set(spark, monkeypatch):
+    """Rows of two near-equal texts, many times under null ids: one pair is verified, not all."""
+    seen = []
+    verify = jaccard_join.Join.verify
+    monkeypatch.setattr(jaccard_join.Join, "verify", lambda self, pairs, sets: seen.append((pairs.count(), sets.count())) or verify(self, pairs, sets))
+    one = " ".join(f"w{i}" for i in range(60))
+    df = table(spark, [one] * 60 + [one + " more"] * 60, [None] * 120)
+    got = jaccard_join.jaccard_components(df).collect()
+    assert len(got) == 120 and {r["component_id"] for r in got} == {None}
+    assert all(pairs <= 1 and sets <= 2 for pairs, sets in seen)
+
+
+def test_sparse_products():
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        sets = [np.unique(rng.integers(0, rng.choice([20, 200, 2000]), rng.integers(0, 80))) for _ in range(rng.integers(1, 120))]
+        one, two = np.arange(len(sets) // 2), np.arange(len(sets) // 2, len(sets))
+        want = np.array([[len(np.intersect1d(sets[i], sets[j])) for j in two] for i in one]).reshape(len(one), len(two))
+        assert (jaccard_join.overlaps(sets, one, two) == want).all()
+        a, b = rng.integers(0, len(sets), 30), rng.integers(0, len(sets), 30)
+        a, b = a[a != b], b[a != b]
+        assert (jaccard_join.pair_overlaps(sets, a, b) == [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)]).all()
+
+
+def test_words_in_pieces():
+    rng = np.random.default_rng(4)
+    letters = np.frombuffer(b"abcAB  \n\0x", np.uint8)
+    for _ in range(200):
+        data = letters[rng.integers(0, len(letters), rng.integers(1, 300))]
+        off = np.concatenate([[0], np.sort(rng.integers(0, len(data) + 1, 4)), [len(data)]]).astype(np.int64)
+        whole, parts = common.words(data, off, jaccard_join.WORD_LUT), common.words(data, off, jaccard_join.WORD_LUT, piece=int(rng.integers(1, 20)))
+        assert all((x == y).all() and len(x) == len(y) for x, y in zip(whole, parts, strict=True))
+
+
 def test_block_links():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, rng.integers(10, 60))) for _ in range(40)]
@@ -326,10 +466,13 @@ def test_ann(spark):
 
 
 def ann_brute(data, q, k):
-    """(id, score) of the k best rows under any vector of query id ``q``."""
-    mine = [np.array(v, np.float64) for i, v in data if i == q]
-    best = sorted((-max(float(np.array(v, np.float64) @ m) for m in mine), i) for i, v in data if i != q)[:k]
-    return [(i, -s) for s, i in best]
+    """(id, score) of the k best ids, each by its best row under any vector of query id ``q``."""
+    mine = np.array([v for i, v in data if i == q], np.float64)
+    best = {}
+    for i, v in data:
+        if i != q:
+            best[i] = max(best.get(i, -np.inf), float((mine @ np.array(v, np.float64)).max()))
+    return sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
 
 
 def test_ann_repeated_queries(spark, monkeypatch):
@@ -369,6 +512,53 @@ def test_ann_short_lists(spark, monkeypatch):
     assert {q: sorted(ranks) for q, ranks in got.items()} == {q: list(range(1, 21)) for q in range(0, 600, 20)}
 
 
+@pytest.mark.parametrize("kind", ["plain", "clustered", "repeated"])
+def test_ann_recall(spark, kind):
+    rng = np.random.default_rng(8)
+    if kind == "plain":
+        x, ids = rng.normal(size=(2000, 24)), np.arange(2000)
+    elif kind == "clustered":
+        x, ids = rng.normal(size=(40, 24))[rng.integers(0, 40, 2000)] + rng.normal(0, 0.2, (2000, 24)), np.arange(2000)
+    else:
+        x, ids = np.tile(rng.normal(size=(100, 24)), (2, 1)), np.tile(np.arange(100), 2)
+    ship(spark)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    hit = 0
+    for q, mine in got.items():
+        assert len(mine) == len(set(mine)) == 20 and q not in mine
+        hit += len({i for i, _ in ann_brute(list(zip(ids.tolist(), x, strict=True)), q, 20)} & set(mine))
+    assert hit >= 0.95 * 20 * len(got)
+
+
+def test_quality_long_text_and_clashing_names(spark):
+    """A long text is scored in blocks of chunks as it would be whole; columns of any name pass through."""
+    net = quality.Network(seed=1)
+    rng = np.random.default_rng(2)
+    net.filters = rng.normal(size=net.filters.shape).astype(np.float32)
+    net.out[:] = rng.normal(size=net.out.shape)
+    net.ready()
+    texts = [rng.integers(32, 120, n).astype(np.uint8) for n in (0, 1, 257, quality.CHUNK * quality.BLOCK * 2 + 77, 513)]
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    whole = net.features(*quality.pad(np.concatenate(texts), off))[3]
+    want = 1 / (1 + np.exp(-((whole - net.shift) @ net.out + net.bias[0])))
+    assert np.allclose(net.score(np.concatenate(texts), off), want, atol=1e-4)
+    df = table(spark, ["good words here", "bad ### words", None]).withColumnsRenamed({"k1": "_score", "n_lines": "_scored"})
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    kept = quality.keep_good(df, labels)
+    assert kept.columns == df.columns and rows(kept, *df.columns) == rows(df, *df.columns)
+
+
+def test_quality_learns_from_long_texts(spark):
+    """Labelled texts longer than a segment take part, by their segments."""
+    t = [("fine prose " if i % 2 else "### junk ") * 4000 for i in range(12)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    got = quality.quality_scores(table(spark, t), labels).collect()
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in got)
+
+
 def test_quality(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
@@ -428,6 +618,29 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in none} == {"und"}
 
 
+def test_language_id_long_texts(spark, monkeypatch):
+    """A language all of whose texts are long is learned; pieces of a text give what the whole gives."""
+    t = ["der hund und die katze laufen über die straße " * 2000, "the cat and the dog are running over the street " * 2000] * 3
+    ship(spark)
+    df = spark.createDataFrame([(i, x, ["de", "en"][i % 2]) for i, x in enumerate(t)], "doc_id long, text string, lang string")
+    models = language_id.train(df)
+    assert all(r["lang_pred"] == ["de", "en"][r["doc_id"] % 2] for r in language_id.identify(df, models).collect())
+    data = [x.encode() for x in (t[0][:3000], "é" * 500, "a  b " * 300, "x", "1 2", "")]
+    off = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
+    whole = models.entropy(np.frombuffer(b"".join(data), np.uint8), off)
+    for piece in (7, 64, 1000):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        parts = models.entropy(np.frombuffer(b"".join(data), np.uint8), off)
+        assert all(np.allclose(x, y) for x, y in zip(whole, parts, strict=True))
+
+
+def test_language_id_bound(spark):
+    ship(spark)
+    df = spark.range(language_id.LANGUAGES * 3).selectExpr("id AS doc_id", "'text' AS text", "concat('l', id) AS lang")
+    with pytest.raises(ValueError):
+        language_id.train(df)
+
+
 def test_kneser_ney_sums_to_one():
     m = language_id.Models(["a", "b"])
     texts = [("a", b"the cat sat on the mat that the rat sat at"), ("b", b"der hund und die katze und der hund")]

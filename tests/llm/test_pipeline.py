@@ -57,3 +57,24 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in before.collect()}
     whole = corpus_pipeline.run(spark, d)
     assert sorted(map(tuple, whole.select("doc_id", "piece", "length", "ids_crc32").collect())) == sorted(map(tuple, after.select("doc_id", "piece", "length", "ids_crc32").collect()))
+
+
+def test_awkward_rows(spark, tmp_path):
+    """A very long text, repeated rows, null ids, columns of clashing names; and no documents at all."""
+    d = f"file://{tmp_path}"
+    folder(spark, d)
+    docs = spark.read.parquet(f"{d}/documents.parquet").withColumnsRenamed({"lang": "_score", "source": "hit"})
+    long = " ".join(f"word{i}" for i in range(60_000))
+    more = [(950, long, "xx", "s", None), (950, long, "xx", "s", None), (None, "a text of a few words under null", None, None, None), (None, None, None, None, None)]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    kept = docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        kept = materialize(stage(spark, kept, d), f"awkward{k}")
+        if k < 4:
+            assert kept.columns == docs.columns
+    held = kept.filter("doc_id = 950").collect()
+    assert sum(r["length"] for r in held) > 60_000 and len({r["piece"] for r in held}) == len(held)
+    none = docs.limit(0)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        none = materialize(stage(spark, none, d), f"none{k}")
+    assert none.count() == 0

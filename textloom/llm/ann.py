@@ -66,6 +66,7 @@ class Index:
     def __init__(self, sample: np.ndarray, lists: int, target: float, k: int, seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
         dim = sample.shape[1]
+        sample = np.unique(sample, axis=0)  # a copy of a vector says nothing new, and would be its own nearest neighbour
         self.centroids = kmeans(sample, max(1, min(lists, len(sample) // 8 or 1)), 10, rng)
         own = _nearest(sample, self.centroids)
         rest = sample - self.centroids[own]
@@ -115,11 +116,14 @@ class Index:
         approx[q_ids[:, None] == each[None, :]] = -np.inf
         best = np.argsort(-approx, 1, kind="stable")[:, :short]
         best.sort(1)
-        exact = np.empty(best.shape)
-        for i, (c, v) in enumerate(zip(best, q, strict=True)):
-            begin = np.cumsum(size[c]) - size[c]
-            at = np.arange(size[c].sum()) + np.repeat(first[c] - begin, size[c])
-            exact[i] = np.maximum.reduceat((x[at] * v).sum(1), begin)
+        if len(each) == len(ids):
+            exact = (x[best] * q[:, None, :]).sum(2)
+        else:
+            exact = np.empty(best.shape)
+            for i, (c, v) in enumerate(zip(best, q, strict=True)):
+                begin = np.cumsum(size[c]) - size[c]
+                at = np.arange(size[c].sum()) + np.repeat(first[c] - begin, size[c])
+                exact[i] = np.maximum.reduceat((x[at] * v).sum(1), begin)
         exact[q_ids[:, None] == each[best]] = -np.inf
         top = np.argsort(-exact, 1, kind="stable")[:, :k]
         score = np.take_along_axis(exact, top, 1)

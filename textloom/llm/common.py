@@ -1,67 +1,18 @@
-"""Shared helpers: scratch tables, row identity, byte-level word hashing."""
+"""Shared helpers: row identity, byte-level word hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.scratch import discard, materialize, sweep  # noqa: F401  used by the operators
+
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
-
-    A cluster names it in ``spark.checkpoint.dir``. Only where neither that
-    setting nor a checkpoint folder exists and all tasks run in the driver's own
-    process (tests), a temporary folder is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not root:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return the written table.
-
-    Cuts lineage: a lost executor costs a re-read, not a recomputation, and
-    later passes see the same rows.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/textloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def sweep(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished queries: it does so once the driver has collected its garbage."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialize`` wrote and nothing reads any more; then sweep."""
-    spark = tables[0].sparkSession
-    for df in tables:
-        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/textloom/" in name:
-                path = spark._jvm.org.apache.hadoop.fs.Path(name)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    sweep(spark)
-
-
 def row_key(*cols: Column) -> list[Column]:
     """96 bits that identify a row by its content: columns ``k1`` and ``k2``.
 

@@ -7,8 +7,8 @@ heap. The law is ``bytes``: shard sizes as equal as the rule makes them.
 Groups of one size are interchangeable, so the heap works on a table of
 (size, number of groups), not on groups: the driver holds a row for each distinct
 group size. Sizes are exact, and the table has a bound: ``d`` distinct sizes need
-d (d + 1) / 2 bytes of text at least, so 100 TB have 14 million at most (16 bytes
-each). The plan goes back as a table that is joined, not broadcast. Inside a class,
+d (d + 1) / 2 bytes of text at least, so 100 TB have 14 million at most (a row is 16
+bytes, and 8 for each shard). The plan goes back as a table that is joined, not broadcast. Inside a class,
 shards take consecutive ranges of ranks; ranks are found per class and bucket, so
 a class or a text that holds a third of all rows never lies in one task.
 
