@@ -1,8 +1,11 @@
 """Approximate nearest neighbours: an inverted file with product-quantised residuals.
 
-There are about as many lists as the square root of the number of vectors (16 at
-least, ``LISTS`` at most), so that the work of a query grows with the square root
-where vectors cluster. Coarse centroids and the codebooks of the residuals are
+Of two numbers of lists, the square root of the number of vectors (16 at least,
+``LISTS`` at most) and a quarter of it, that one is taken by which a query costs
+less, as the sample shows: rows to look at, and ``PROBE`` rows for each list it is
+sent to. Where vectors cluster, the work of a query so grows with the square root;
+where they don't, most lists hold neighbours, and more lists would only be more
+copies of the query. Coarse centroids and the codebooks of the residuals are
 fitted on a bounded sample (16 vectors a list, ``SAMPLE`` at least, the least by a
 hash of their id; a longer sample than 268 MB of single-precision numbers is cut to
 that). Every vector is then indexed: its list, and a byte for each slice of its residual. A query goes
@@ -35,6 +38,8 @@ from textloom.llm.common import materialize
 SAMPLE = 8192
 LISTS = 16384
 SAMPLE_BYTES = 1 << 28
+#: What sending a query to one more list costs, in rows compared.
+PROBE = 400
 SLICE = 4
 CODES = 256
 ROWS_A_BLOCK = 4096
@@ -63,29 +68,34 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
 class Index:
     """Centroids, codebooks and the number of lists to probe."""
 
-    def __init__(self, sample: np.ndarray, lists: int, target: float, k: int, seed: int = 11) -> None:
+    def __init__(self, sample: np.ndarray, lists: list[int], target: float, k: int, rows: int, seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
         dim = sample.shape[1]
         sample = np.unique(sample, axis=0)  # a copy of a vector says nothing new, and would be its own nearest neighbour
-        self.centroids = kmeans(sample, max(1, min(lists, len(sample) // 8 or 1)), 10, rng)
-        own = _nearest(sample, self.centroids)
-        rest = sample - self.centroids[own]
+        best = np.inf
+        for n in lists:
+            centroids = kmeans(sample, max(1, min(n, len(sample) // 8 or 1)), 10, rng)
+            own = _nearest(sample, centroids)
+            # fewest lists that hold the share ``target`` of true neighbours in the sample, both of vectors
+            # at random and of vectors from all lists alike, so that a crowded list doesn't speak for the others
+            mix = rng.permutation(len(sample))
+            by_list = mix[np.argsort(own[mix], kind="stable")]
+            turn = np.arange(len(mix)) - np.searchsorted(own[by_list], own[by_list])
+            probe = max(self.lists_for(sample, centroids, own, q, target, k) for q in (mix[:256], by_list[np.argsort(turn, kind="stable")[:512]]))
+            cost = rows * probe / len(centroids) + PROBE * probe
+            if cost < best:
+                best, self.centroids, self.probe, nearest_list = cost, centroids, probe, own
+        rest = sample - self.centroids[nearest_list]
         self.cuts = list(range(0, dim, SLICE)) + [dim]
         self.books = [kmeans(rest[:, a:b], CODES, 8, rng) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
-        # fewest lists that hold the share ``target`` of true neighbours in the sample, both of vectors
-        # at random and of vectors from all lists alike, so that a crowded list doesn't speak for the others
-        mix = rng.permutation(len(sample))
-        by_list = mix[np.argsort(own[mix], kind="stable")]
-        turn = np.arange(len(mix)) - np.searchsorted(own[by_list], own[by_list])
-        self.probe = max(self.lists_for(sample, own, q, target, k) for q in (mix[:256], by_list[np.argsort(turn, kind="stable")[:512]]))
-
-    def lists_for(self, sample: np.ndarray, own: np.ndarray, q: np.ndarray, target: float, k: int) -> int:
+
+    def lists_for(self, sample: np.ndarray, centroids: np.ndarray, own: np.ndarray, q: np.ndarray, target: float, k: int) -> int:
         score = sample[q] @ sample.T
         score[np.arange(len(q)), q] = -np.inf
         near = np.argpartition(-score, min(k, len(sample) - 1) - 1, 1)[:, : min(k, len(sample) - 1)] if len(sample) > 1 else np.zeros((len(q), 0), int)
         if not near.shape[1]:
-            return len(self.centroids)
-        place = np.argsort(np.argsort(-(sample[q] @ self.centroids.T), 1), 1)
+            return len(centroids)
+        place = np.argsort(np.argsort(-(sample[q] @ centroids.T), 1), 1)
         at = np.sort(np.take_along_axis(place, own[near], 1).ravel())
         return int(at[int(np.ceil(target * len(at))) - 1]) + 1
 
@@ -205,10 +215,11 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
         return spark.createDataFrame([], out)
     dim = size["d"]
     rows = rows.filter(F.size("v") == dim)
-    lists = lists or max(16, min(LISTS, int(size["count"] ** 0.5)))
-    most = max(1, min(max(SAMPLE, 16 * lists), SAMPLE_BYTES // (4 * dim)))
+    root = max(16, min(LISTS, int(size["count"] ** 0.5)))
+    options = [lists] if lists else sorted({max(16, root // 4), root})
+    most = max(1, min(max(SAMPLE, 16 * options[-1]), SAMPLE_BYTES // (4 * dim)))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select(F.col("v").cast("array<float>").alias("v")).toArrow()
-    share = spark.sparkContext.broadcast(Index(_matrix(sample.column("v"), dim, np.float32), lists, target, k))
+    share = spark.sparkContext.broadcast(Index(_matrix(sample.column("v"), dim, np.float32), options, target, k, size["count"]))
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
     index = materialize(numbered.mapInArrow(_encode(share, dim), "vec_id long, v array<double>, row long, list int, code binary"), "index")
     sizes = np.zeros(len(share.value.centroids), np.int64)
