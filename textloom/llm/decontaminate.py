@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import arrow_bytes, byte_slices, discard, materialize, row_key, windows, words
+from textloom.llm.common import arrow_bytes, byte_slices, discard, materialize, release, row_key, windows, words
 
 BLOCK_BYTES = 8 << 20
 
@@ -145,6 +145,7 @@ def find(share, text: Column, before: tuple[Column, Column, Column]) -> Column:
             c, r, x = index.hits(data[off[i] : off[j]], off[i : j + 1] - off[i])
             count += c
             out += [(merge([*new, *old]), sorted({*(index.names[t] for t in own), *known}, key=lambda s: (s is None, s or ""))) for new, old, own, known in zip(r, had[i:j], x, said[i:j], strict=True)]
+        release()
         lists = lambda rows, kind: pa.array(rows, pa.list_(kind))
         return pa.StructArray.from_arrays(
             [pa.array(count, pa.int64()), lists([[a for a, _ in r] for r, _ in out], pa.int64()), lists([[b for _, b in r] for r, _ in out], pa.int64()), lists([x for _, x in out], pa.string())],

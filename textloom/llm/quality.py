@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import arrow_bytes, byte_slices
+from textloom.llm.common import arrow_bytes, byte_slices, release
 
 WIDTH = 6
 FILTERS = 16
@@ -202,6 +202,7 @@ def score_column(share, text: Column) -> Column:
     def scores(texts: pa.Array) -> pa.Array:
         data, off = arrow_bytes(texts)
         got = [share.value.score(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in byte_slices(off)]
+        release()
         return pa.array(np.concatenate(got) if got else np.zeros(0), pa.float64())
 
     return F.arrow_udf(scores, "double")(text)
