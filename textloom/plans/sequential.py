@@ -1,4 +1,4 @@
-"""Queries over operators that no SQL expresses (greedy folds, diffs, parsers)."""
+"""Queries over folds, differences and parsers; SQL where a recursion or a made-up input can give the same rows."""
 
 from __future__ import annotations
 
@@ -165,7 +165,16 @@ def diff_edited_turns(read):
     return sequential.compare(rows, ["conv_id", "turn"], semantic=False).drop("changes", "similarity")
 
 
+#: Windows one after the other: where each ends (the last line end of its second half, else the last space there) and the next begins.
+WINDOWS_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
+w AS (SELECT doc_id, text, n, 0 AS k, CAST(0 AS BIGINT) AS a, CASE WHEN n <= 1500 THEN n ELSE 1500 - CASE WHEN instr(reverse(substr(text, 1, 1501)), chr(10)) BETWEEN 1 AND 751 THEN instr(reverse(substr(text, 1, 1501)), chr(10)) - 1 WHEN instr(reverse(substr(text, 1, 1501)), ' ') BETWEEN 1 AND 751 THEN instr(reverse(substr(text, 1, 1501)), ' ') - 1 ELSE 0 END END AS b FROM d
+  UNION ALL SELECT doc_id, text, n, k + 1, s, CASE WHEN n <= s + 1500 THEN n ELSE s + 1500 - CASE WHEN instr(reverse(substr(text, s + 1, 1501)), chr(10)) BETWEEN 1 AND 751 THEN instr(reverse(substr(text, s + 1, 1501)), chr(10)) - 1 WHEN instr(reverse(substr(text, s + 1, 1501)), ' ') BETWEEN 1 AND 751 THEN instr(reverse(substr(text, s + 1, 1501)), ' ') - 1 ELSE 0 END END
+  FROM (SELECT *, CASE WHEN length(g) < b - o THEN o + length(g) + 1 ELSE o END AS s FROM (SELECT *, regexp_extract(substr(text, CAST(o + 1 AS BIGINT), CAST(b - o AS BIGINT)), '^\S*') AS g FROM (SELECT *, greatest(a + 1, b - 200) AS o FROM w WHERE b < n)))),
+t AS (SELECT doc_id, k, regexp_replace(regexp_replace(substr(text, CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT)), '^\s+', ''), '\s+$', '') AS "window" FROM w)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS ordinal, "window" FROM t WHERE "window" <> ''"""
+
 ORACLES = {
+    "chunk_windows": WINDOWS_SQL,
     "template_lines": "SELECT p_partkey, 'Part ' || p_partkey || ' of ' || p_size || ' {x}' AS line FROM part",
     "exact_sums": "SELECT l_suppkey, round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE), 2) AS total FROM lineitem GROUP BY l_suppkey",
     "call_recognition": """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'AFRange_Validate' WHEN 2 THEN 'AFDate_Format' WHEN 3 THEN 'AFSimple_Calculate' WHEN 4 THEN 'AFPercent_Format' END AS name,
