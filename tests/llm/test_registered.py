@@ -69,7 +69,7 @@ def test_op4(spark, docs):
     c = duckdb.connect()
     c.register("got", got)
     assert len(got) == len(docs) and all(r.size == len(docs[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(docs[r.doc_id].encode()) for r in got[["doc_id", "size", "text_crc32"]].itertuples())
-    load, slots = c.sql("SELECT list(b ORDER BY shard), bool_and(lo = 0 AND hi = n - 1 AND d = n) FROM (SELECT shard, sum(size) AS b, min(slot) AS lo, max(slot) AS hi, count(*) AS n, count(DISTINCT slot) AS d FROM got GROUP BY shard)").fetchone()
+    load, slots = c.sql("SELECT list(b ORDER BY shard), bool_and(lo = 0 AND hi = n - 1 AND d = n) FROM (SELECT shard, sum(size) AS b, min(slot) AS lo, max(slot) AS hi, count(*) AS n, count(DISTINCT slot) AS d FROM got GROUP BY shard)").fetchall()[0]
     group: dict[str, int] = {}
     for t in docs.values():
         group[t] = group.get(t, 0) + len(t.encode()) + 1
