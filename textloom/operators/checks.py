@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import find_ranges
+from textloom.functions.text import word_pattern
 from textloom.operators.tables import default_scope
 
 #: Structure types of the older and the newer namespace (fixed values).
@@ -150,7 +150,12 @@ def search_carried_text(annotations: DataFrame, find: str) -> DataFrame:
     """annot, key, start, end: places of a literal in the texts that annotations carry, hidden ones too. ``annotations``: annot, texts (map)."""
     rows = annotations.select("annot", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(i).alias("o")) for i, k in enumerate(TEXT_KEYS)])).alias("k"), "texts")
     rows = rows.select("annot", "k.key", F.try_element_at("texts", "k.key").alias("value")).filter("value <> ''")
-    return rows.select("annot", "key", F.explode(find_ranges(F.col("value"), find)).alias("r")).select("annot", "key", "r.start", "r.end")
+    # the lengths of what stands between the places, and a running sum over them
+    p = word_pattern(find)
+    gaps = rows.filter(F.col("value").contains(find)).select("annot", "key", F.posexplode(F.transform(F.split("value", p), F.char_length)).alias("i", "gap"), F.size(F.split("value", p)).alias("n"))
+    upto = Window.partitionBy("annot", "key").orderBy("i")
+    start = F.sum("gap").over(upto) + F.col("i") * len(find)
+    return gaps.withColumn("start", start).filter("i < n - 1").select("annot", "key", "start", (F.col("start") + len(find)).alias("end"))
 
 
 def distinct_glyphs(glyphs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def query(sql: str | None = None, queries: dict | None = None, oracles: dict | N
 
 # --- layout -------------------------------------------------------------------------------
 
-FRAGS_SQL = """f AS (SELECT l_suppkey * 10 + CAST(l_quantity AS INT) % 10 AS page, l_orderkey * 10 + l_linenumber AS frag, CAST(l_orderkey * 13 % 550 AS DOUBLE) AS x0, CAST(l_partkey * 37 % 800 AS DOUBLE) AS y0,
+FRAGS_SQL = """f AS (SELECT l_suppkey * 10 + CAST(l_quantity AS INT) % 10 AS page, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS frag, CAST(l_orderkey * 13 % 550 AS DOUBLE) AS x0, CAST(l_partkey * 37 % 800 AS DOUBLE) AS y0,
   l_orderkey * 13 % 550 + 4.0 * length('w' || l_partkey % 1000) AS x1, 8 + l_linenumber % 5 AS size, 'w' || l_partkey % 1000 AS text FROM lineitem)"""
 LINES_SQL = f"""WITH RECURSIVE {FRAGS_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y0 DESC, x0, frag) AS k FROM f),
 g AS (SELECT page, k, frag, y0 AS anchor, 0 AS line FROM k WHERE k = 1 UNION ALL
@@ -43,7 +43,7 @@ def _fragments(read):
     text = F.concat(F.lit("w"), (F.col("l_partkey") % 1000).cast("string"))
     x, y = (k * 13 % 550).cast("double"), (F.col("l_partkey") * 37 % 800).cast("double")
     return read("lineitem").select(
-        (F.col("l_suppkey") * 10 + F.col("l_quantity").cast("int") % 10).alias("page"), (k * 10 + F.col("l_linenumber")).alias("frag"),
+        (F.col("l_suppkey") * 10 + F.col("l_quantity").cast("int") % 10).alias("page"), ((k * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("frag"),
         x.alias("x0"), y.alias("y0"), (x + 4.0 * F.length(text)).alias("x1"), (y + 8).alias("y1"),
         (8 + F.col("l_linenumber") % 5).cast("double").alias("size"), text.alias("text"),
     )
