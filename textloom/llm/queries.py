@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import ann, decontaminate, jaccard_join, language_id, line_dedup, packing, quality, secrets, sharding, token_counts
+from textloom.llm import ann, centroids, chat_format, decontaminate, hard_negatives, jaccard_join, language_id, line_dedup, packing, quality, secrets, sharding, token_counts
 from textloom.shipping import ship
 
 
@@ -63,5 +63,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", quality.held_out(F.col("doc_id"), 4, 2))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_quality, op3_line_dedup, op4_sharding, op5_token_counts, op6_secrets, op7_packing, op8_decontaminate, op9_jaccard_join, op10_language_id)}
-ORACLES = {"op3_line_dedup": line_dedup.ORACLE, "op8_decontaminate": decontaminate.ORACLE, "op9_jaccard_join": jaccard_join.ORACLE}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_read(spark, sf_dir, "embeddings"), k=16, rounds=3, dim=64, scale=64)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(_read(spark, sf_dir, "embeddings"), F.col("i") % 100 == 0, positives=5, negatives=5, low=80, scale=256, label=hard_negatives.shifted_label())
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame(chat_format.PLANTED, "conv_id long, turn long, role string, text string")
+    return chat_format.digests(chat_format.format_conversations(said.unionByName(planted)))
+
+
+QUERIES = {f.__name__: f for f in (op1_ann, op2_quality, op3_line_dedup, op4_sharding, op5_token_counts, op6_secrets, op7_packing, op8_decontaminate, op9_jaccard_join, op10_language_id, op11_centroids, op12_hard_negatives, op13_chat_format)}
+ORACLES = {"op11_centroids": centroids.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE, "op13_chat_format": chat_format.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op8_decontaminate": decontaminate.ORACLE, "op9_jaccard_join": jaccard_join.ORACLE}
