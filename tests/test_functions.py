@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import io
 import random
+import time
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.functions import dates, numbers, sequences, text
-from textloom.operators import hygiene, relations, retrieval, tables
+from textloom.functions import dates, numbers, sequences, text, values
+from textloom.operators import checks, hygiene, relations, retrieval, tables
 from textloom.plans.ranking import global_row_number
 from textloom.shipping import ship
 from textloom.sources import parsers, readers
@@ -68,6 +69,29 @@ def words(s):
     (lambda: dates.iso_instant(F.lit("1970-01-02T00:00:00.25+01:00")), 82800250),
     (lambda: dates.same_instant(F.lit("2024-01-01T00:00:00.9Z"), F.lit("2024-01-01T01:00:00+01:00")), True),
     (lambda: dates.is_metadata_date(F.lit("2024-13-40")), True),
+    (lambda: dates.is_metadata_date(F.lit("2024-01-01T12Z")), True),
+    (lambda: dates.is_metadata_date(F.lit("2024-01-01T12:30+")), False),
+    (lambda: dates.is_metadata_date(F.lit("2024\n")), False),
+    (lambda: dates.pdf_date_to_iso(F.lit(" 20240603 ")), "2024-06-03"),
+    (lambda: dates.pdf_date_to_iso(F.lit("D:20240231")), None),
+    (lambda: dates.pdf_date_to_iso(F.lit("D:20240229")), "2024-02-29"),
+    (lambda: dates.pdf_date_to_iso(F.lit("D:19000229")), None),
+    (lambda: dates.pdf_date_to_iso(F.lit("D:2024010112+99'99'")), None),
+    (lambda: dates.pdf_date_to_iso(F.lit("D:2024010112+0130")), "2024-01-01T12:00+01:30"),
+    (lambda: dates.pdf_date_to_iso(F.lit("D:2024010112-01'")), "2024-01-01T12:00-01:00"),
+    (lambda: dates.pdf_date_to_iso(F.lit("D:20240101Z")), None),
+    (lambda: dates.pdf_date_to_iso(F.lit("D:202401011")), None),
+    (lambda: dates.pdf_date_to_iso(F.lit("D:2024010112+01'3")), None),
+    (lambda: dates.pdf_date_to_iso(F.lit("")), None),
+    (lambda: dates.pdf_date_to_iso(F.lit(None).cast("string")), None),
+    (lambda: dates.iso_to_pdf_date(F.lit("2024-02-31")), None),
+    (lambda: dates.iso_to_pdf_date(F.lit("2024-02-29T10:20")), "D:202402291020"),
+    (lambda: dates.iso_to_pdf_date(F.lit("2024-02T10:20")), None),
+    (lambda: dates.iso_to_pdf_date(F.lit("2024-02-29T10")), None),
+    (lambda: dates.iso_to_pdf_date(F.lit("2024-02-29T10:20:30.")), None),
+    (lambda: dates.iso_instant(F.lit("2024-02-31")), None),
+    (lambda: dates.iso_instant(F.lit("0001-01-01")), -62135596800000),
+    (lambda: numbers.bates(F.lit(7)), "000007"),
     (lambda: tables.page_range("3-", F.lit(5)), [3, 4, 5]),
     (lambda: tables.page_range("3,1-2,1", F.lit(5)), [1, 2, 3]),
     (lambda: tables.delimiter_row(F.lit("| :-- | --: | :-: | - |")), ["left", "right", "center", "none"]),
@@ -268,3 +292,73 @@ def test_streams(spark, tmp_path):
     changes.apply_snapshots(spark.readStream.schema(schema).parquet(f"{d}/in"), f"{d}/out", "k", f"{d}/ck").awaitTermination(60)
     got = sorted((r["batch"], r["k"], r["change"]) for r in spark.read.parquet(f"{d}/out").collect())
     assert got == [(0, 1, "added"), (0, 2, "added"), (1, 1, "freed"), (1, 2, "replaced"), (1, 3, "added")]
+
+
+def test_long_differences():
+    rng = random.Random(7)
+
+    def edited(n, edits):
+        a = [f"t{rng.randrange(5000)}" for _ in range(n)]
+        b = list(a)
+        for _ in range(edits):
+            b[rng.randrange(n)] = "EDIT"
+        return a, b
+
+    for n, edits in ((50_000, 200), (50_000, 2), (25_000, 10)):
+        a, b = edited(n, edits)
+        began = time.process_time()
+        runs, minimal = sequences.compared(a, b)
+        assert minimal and time.process_time() - began < 2
+        s = sequences.diff_stats(runs)
+        assert s["deleted"] == s["inserted"] == sum(x != y for x, y in zip(a, b, strict=True))
+    body = [f"w{i}" for i in range(20_000)]
+    runs, minimal = sequences.compared([*body, "old", *body], [*body, "new", *body], most=10)
+    assert minimal and [r["op"] for r in runs] == ["equal", "delete", "insert", "equal"]
+    a, b = "a b c d e f g h".split(), "h g f e d c b a".split()
+    runs, minimal = sequences.compared(a, b, most=1)
+    assert not minimal and [x for r in runs for x in r["old"]] == a and [x for r in runs for x in r["new"]] == b
+
+
+def test_differences_by_every_way(monkeypatch):
+    """Tables, middles and halves find equally many matches."""
+    rng = random.Random(3)
+    pairs = [([rng.choice("abcd") for _ in range(rng.randrange(60))], [rng.choice("abcd") for _ in range(rng.randrange(60))]) for _ in range(60)]
+    want = [len(sequences.matches(a, b)[0]) for a, b in pairs]
+    monkeypatch.setattr(sequences, "TABLE_BITS", 0)
+    for (a, b), n in zip(pairs, want, strict=True):
+        got, whole = sequences.matches(a, b)
+        assert whole and len(got) == n and all(a[i] == b[j] for i, j in got)
+    monkeypatch.undo()
+    a, b = ([rng.randrange(300) for _ in range(3000)] for _ in range(2))
+    n = len(sequences.matches(a, b)[0])
+    monkeypatch.setattr(sequences, "STEP", 0)  # the search from both ends never ends early
+    assert len(sequences.matches(a, b)[0]) == n
+
+
+def test_split_oversized_places():
+    assert sequences.split_oversized("aa\n\nbb\ncc", 8) == ["aa", "bb\ncc"]
+    assert sequences.split_oversized("abcdefghij", 4) == ["abcd", "efgh", "ij"]
+    assert sequences.split_oversized("  \n ", 5) == [] and sequences.split_oversized("a b c", 100) == ["a b c"]
+    for most in (1, 3, 7):
+        text_ = "one two\n\nthree\nfour  five sixseveneight"
+        got = sequences.split_oversized(text_, most)
+        assert all(0 < len(x) <= most for x in got) and "".join("".join(got).split()) == "".join(text_.split())
+
+
+def test_canonical_maps_differ(spark):
+    maps = [{"a": "1 b=2"}, {"a": "1", "b": "2"}, {"a": None}, {"a": ""}, {}, {"a=": "1"}, {"a": "=1"}, {"a\\": "1"}, {"b": "2", "a": "1"}]
+    df = spark.createDataFrame([(m,) for m in maps], "m map<string,string>")
+    got = [r[0] for r in df.select(checks.canonical(F.col("m"))).collect()]
+    assert got[1] == got[8] and len(set(got)) == len(maps) - 1
+
+
+def test_simple_calculate_of_huge_values(spark):
+    df = spark.createDataFrame([("9" * 17,)] * 3 + [("1e29",)] * 20 + [("5",)], "t string")
+    got = df.agg(numbers.simple_calculate("SUM", F.col("t")).alias("s")).first()["s"]
+    assert got == 0 or got >= 3 * (10**17 - 1)
+    big = spark.createDataFrame([("9" * 17 + "." + "9",)] * 30, "t string").agg(numbers.simple_calculate("SUM", F.col("t")).alias("s")).first()["s"]
+    assert abs(big - 30e17) < 1e4
+
+
+def test_specificity_of_negations():
+    assert values.specificity("a:not(.b)") == 101 and values.specificity("p:not(#x):hover") == 10101

@@ -99,11 +99,11 @@ def simple_calculate(kind: str, text: Column) -> Column:
     """SUM, AVG, PRD, MIN or MAX over text values in a group; unparsable counts as 0, no rows as 0; another kind is null.
 
     Twelve decimals of values below 1e18 are summed exactly; what lies beyond either
-    end is summed in double precision.
+    end is summed in double precision, and so is all where the exact sum has no room.
     """
     v = F.coalesce(make_number(text), F.lit(0.0))
     fixed = v.try_cast("decimal(30,12)")
-    total = F.coalesce(F.try_sum(fixed).cast("double"), F.lit(0.0)) + F.sum(v - F.coalesce(fixed.cast("double"), F.lit(0.0)))
+    total = F.coalesce(F.try_sum(fixed).cast("double") + F.sum(v - F.coalesce(fixed.cast("double"), F.lit(0.0))), F.sum(v))
     agg = {"SUM": total, "AVG": total / F.count(F.lit(1)), "PRD": F.product(v), "MIN": F.min(v), "MAX": F.max(v)}
     return half_up_6(F.coalesce(agg[kind], F.lit(0.0))) if kind in agg else F.lit(None).cast("double")
 

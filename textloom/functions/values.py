@@ -58,22 +58,13 @@ def unknown_tokens(template: str, known: set[str]) -> list[str]:
 
 def split_row(line: str) -> list[str]:
     """Trimmed cells of a table row; outer pipes are optional, an escaped pipe is part of its cell."""
-    t = line.strip()
-    t = t[1:] if t.startswith("|") else t
-    cells, cell, i = [], [], 0
-    while i < len(t):
-        if t[i] == "\\" and i + 1 < len(t):
-            cell.append("|" if t[i + 1] == "|" else t[i : i + 2])
-            i += 2
-        elif t[i] == "|":
-            cells.append("".join(cell).strip())
-            cell = []
-            i += 1
-        else:
-            cell.append(t[i])
-            i += 1
-    rest = "".join(cell).strip()
-    return [*cells, rest] if rest or not cells else cells
+    parts = re.findall(r"((?:\\.|[^|\\]|\\$)*)(\||$)", line.strip(), re.DOTALL)
+    cells = [re.sub(r"\\\|", "|", text).strip() for text, _ in parts]
+    cells = cells[1:] if len(cells) > 1 and not parts[0][0] and parts[0][1] else cells
+    while len(cells) > 1 and not cells[-1] and not parts[-1][1]:  # nothing after the last pipe
+        cells.pop()
+        parts.pop()
+    return cells
 
 
 def autolinks(text: str) -> list[str]:
@@ -222,7 +213,7 @@ def groups_by_place(boxes: list[tuple[float, float, float, float]], tolerance: f
 
 def specificity(selector: str) -> int:
     """10000 for each id, 100 for each class, attribute and pseudo-class, 1 for each element."""
-    s = re.sub(r"\[[^\]]*\]", ".a", selector)
+    s = re.sub(r":not\(", " ", re.sub(r"\[[^\]]*\]", ".a", selector))  # a negation counts as what it negates
     ids, classes = len(re.findall(r"#[\w-]+", s)), len(re.findall(r"\.[\w-]+|(?<!:):(?!:)[\w-]+", s))
     return 10000 * ids + 100 * classes + len(re.findall(r"(?:^|[\s>+~])[A-Za-z][\w-]*|::[\w-]+", s))
 

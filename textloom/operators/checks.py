@@ -194,8 +194,15 @@ def prune_keys(entries: Column, drop: list[str]) -> Column:
 
 
 def canonical(entries: Column) -> Column:
-    """A map as text that doesn't depend on the order of its keys."""
-    return F.array_join(F.transform(F.array_sort(F.map_entries(entries)), lambda e: F.concat_ws("=", e["key"], e["value"])), " ")
+    """A map as text that doesn't depend on the order of its keys, and that no other map has.
+
+    Blanks, equal signs and backslashes of keys and values are escaped; a null value
+    has no equal sign, an empty one nothing after it.
+    """
+    plain = lambda c: F.regexp_replace(c, r"([\\ =])", r"\\$1")
+    keys = F.array_sort(F.map_keys(entries))
+    value = lambda k: plain(F.try_element_at(entries, k))
+    return F.array_join(F.transform(keys, lambda k: F.concat(plain(k), F.coalesce(F.concat(F.lit("="), value(k)), F.lit("")))), " ")
 
 
 def content_key(payload: Column, context: Column | None = None) -> Column:

@@ -55,13 +55,14 @@ def conversation_chunks(turns: DataFrame, most: int) -> DataFrame:
 
 
 def compare(pairs: DataFrame, keep: list[str], semantic: bool = True) -> DataFrame:
-    """Statistics of the differences between columns ``old`` and ``new``, word by word."""
+    """Statistics of the differences between columns ``old`` and ``new``, word by word; ``minimal``: no shorter script exists."""
 
     def make(a, b):
-        s = sequences.diff_stats(sequences.diff(sequences.word_keys(a or ""), sequences.word_keys(b or ""), semantic))
-        return [(s["equal"], s["deleted"], s["inserted"], s["changes"], s["similarity"])]
+        runs, minimal = sequences.compared(sequences.word_keys(a or ""), sequences.word_keys(b or ""), semantic)
+        s = sequences.diff_stats(runs)
+        return [(s["equal"], s["deleted"], s["inserted"], s["changes"], s["similarity"], minimal)]
 
-    return explode_rows(pairs, keep, ["old", "new"], make, "equal int, deleted int, inserted int, changes int, similarity double")
+    return explode_rows(pairs, keep, ["old", "new"], make, "equal int, deleted int, inserted int, changes int, similarity double, minimal boolean")
 
 
 def compare_report(pairs: DataFrame, keep: list[str], form: str, context: int | None = None) -> DataFrame:

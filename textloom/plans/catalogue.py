@@ -253,10 +253,15 @@ def simple_calculate(read):
     return out.withColumn("mean", F.round("mean", 2))
 
 
-@query("""WITH t AS (SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d%H%M%S') AS s, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS i, epoch_ms(o_orderdate) AS ms FROM orders)
-SELECT o_orderkey, i || '+02:00' AS iso, 'D:' || s || '+02''00''' AS pdf, CAST(ms - 7200000 AS BIGINT) AS instant FROM t""")
+@query("""WITH t AS (SELECT o_orderkey, o_orderkey % 7 AS k, strftime(o_orderdate, '%Y%m%d%H%M%S') AS s, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS i, epoch_ms(o_orderdate) AS ms, epoch_ms(date_trunc('day', o_orderdate)) AS day, epoch_ms(date_trunc('month', o_orderdate)) AS month FROM orders)
+SELECT o_orderkey, CASE k WHEN 0 THEN i || '+02:00' WHEN 1 THEN i[1:10] WHEN 2 THEN i || 'Z' WHEN 3 THEN i[1:7] END AS iso,
+  CASE k WHEN 0 THEN 'D:' || s || '+02''00''' WHEN 1 THEN 'D:' || s[1:8] WHEN 2 THEN 'D:' || s || 'Z' WHEN 3 THEN 'D:' || s[1:6] END AS pdf,
+  CAST(CASE k WHEN 0 THEN ms - 7200000 WHEN 1 THEN day WHEN 2 THEN ms WHEN 3 THEN month END AS BIGINT) AS instant FROM t""")
 def date_round_trip(read):
-    d = F.concat(F.lit("D:"), F.date_format("o_orderdate", "yyyyMMddHHmmss"), F.lit("+02'00'"))
+    """Whole dates, days without a prefix, zones in words, months; days that no month has, zones that don't exist and zones without a clock are no dates."""
+    k, s = F.col("o_orderkey") % 7, F.date_format("o_orderdate", "yyyyMMddHHmmss")
+    d = F.when(k == 0, F.concat(F.lit("D:"), s, F.lit("+02'00'"))).when(k == 1, F.substring(s, 1, 8)).when(k == 2, F.concat(F.lit(" D:"), s, F.lit("Z00'00' "))).when(k == 3, F.concat(F.lit("D:"), F.substring(s, 1, 6)))
+    d = d.when(k == 4, F.concat(F.lit("D:"), F.substring(s, 1, 4), F.lit("0231"))).when(k == 5, F.concat(F.lit("D:"), F.substring(s, 1, 10), F.lit("+99'99'"))).otherwise(F.concat(F.lit("D:"), F.substring(s, 1, 8), F.lit("Z")))
     iso = dates.pdf_date_to_iso(d)
     return read("orders").select("o_orderkey", iso.alias("iso"), dates.iso_to_pdf_date(iso).alias("pdf"), dates.iso_instant(iso).cast("long").alias("instant"))
 

@@ -81,12 +81,13 @@ def recalculated_fields(read):
     return _rows(read, [F.col("p_size")], make, "changed string, unknown string")
 
 
-@query("""SELECT o_orderkey, o_orderkey % 3 = 0 AS same, o_orderkey % 4 <> 0 AS shape FROM orders""")
+@query("""SELECT o_orderkey, o_orderkey % 3 = 0 AS same, o_orderkey % 12 NOT IN (0, 9, 10, 11) AS shape FROM orders""")
 def date_comparisons(read):
     iso = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
     k = F.col("o_orderkey")
     other = F.when(k % 3 == 0, F.concat(iso, F.lit(".25Z"))).when(k % 3 == 1, F.concat(iso, F.lit("+01:00"))).otherwise("n/a")
-    shape = F.when(k % 4 == 0, "2024/01/01").when(k % 4 == 1, "2024-13-40").when(k % 4 == 2, "").otherwise(F.concat(iso, F.lit("Z")))
+    shapes = ("2024/01/01", "2024-13-40", "", "2024-1-1", "-2024", "2024-01-01T12Z", "2024-01-01T12:30+05", "2024-01-01T1:2:3.4-5:6", None, "2024-", "2024-01-01T", "2024-01-01T12:30+")
+    shape = F.coalesce(F.element_at(F.array(*[F.lit(x) for x in shapes]), (k % 12 + 1).cast("int")), F.concat(iso, F.lit("Z")))
     return read("orders").select("o_orderkey", dates.same_instant(F.concat(iso, F.lit("Z")), other).alias("same"), dates.is_metadata_date(shape).alias("shape"))
 
 

@@ -92,14 +92,14 @@ def table_stitch(read):
 
 @query
 def table_column_cuts(read):
-    f = read("part").select((F.col("p_partkey") % 50).alias("table_id"), (F.col("p_size") * 20.0).alias("x0"), (F.col("p_size") * 20.0 + 9).alias("x1"))
+    f = read("part").select(F.floor(F.col("p_partkey") / 40).alias("table_id"), (F.col("p_size") * 20.0).alias("x0"), (F.col("p_size") * 20.0 + 9).alias("x1"))
     return tables.column_cuts(f)
 
 
 
 @query
 def autolinks(read):
-    return sequential.explode_rows(read("pages"), ["page_id"], ["html"], lambda h: [(x,) for x in values.autolinks(h or "")], "link string")
+    return sequential.explode_rows(read("documents"), ["doc_id"], ["text"], lambda t: [(x,) for x in values.autolinks(t or "")], "link string")
 
 
 @query
@@ -121,9 +121,9 @@ def exact_sums(read):
 def exact_sums_of_mixed_sizes(read):
     """Large terms that cancel, and small ones that a plain sum would lose."""
     k = F.col("l_orderkey")
-    v = F.when(F.col("l_linenumber") == 1, F.lit(1e17)).when(F.col("l_linenumber") == 2, F.lit(-1e17)).otherwise((k % 1000).cast("double") / 8)
-    rows = read("lineitem").select((F.col("l_suppkey") % 10).alias("g"), v.alias("v"), "l_linenumber")
-    return numbers.exact_sum(rows.filter("l_linenumber > 2").select("g", "v").union(rows.filter("l_linenumber = 1").select("g", F.explode(F.array("v", -F.col("v"))).alias("v"))), ["g"], "v", "total")
+    v = (k % 1000).cast("double") / 8
+    terms = F.when(F.col("l_linenumber") == 1, F.array(v, F.lit(1e17), F.lit(-1e17))).otherwise(F.array(v))
+    return numbers.exact_sum(read("lineitem").select(F.col("l_suppkey").alias("g"), F.explode(terms).alias("v")), ["g"], "v", "total")
 
 
 @query
@@ -165,6 +165,17 @@ def diff_edited_turns(read):
     return sequential.compare(rows, ["conv_id", "turn"], semantic=False).drop("changes", "similarity")
 
 
+@query
+def diff_long_texts(read):
+    """All texts of a source, one after the other, against the same with every 997th word replaced: long texts with few edits."""
+    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    told = read("conversations").select((F.floor(F.col("conv_id") / 50)).alias("part"), "conv_id", "turn", words.alias("w"))
+    whole = told.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "w"))).alias("t")).select("part", F.flatten(F.transform("t", lambda r: r["w"])).alias("w"))
+    edited = F.transform("w", lambda x, i: F.when(i % 997 == 996, F.concat(F.lit("\u00a4"), i.cast("string"))).otherwise(x))
+    rows = whole.select("part", F.array_join("w", " ").alias("old"), F.array_join(edited, " ").alias("new"))
+    return sequential.compare(rows, ["part"], semantic=False)
+
+
 #: Windows one after the other: where each ends (the last line end of its second half, else the last space there) and the next begins.
 WINDOWS_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
 w AS (SELECT doc_id, text, n, 0 AS k, CAST(0 AS BIGINT) AS a, CASE WHEN n <= 1500 THEN n ELSE 1500 - CASE WHEN instr(reverse(substr(text, 1, 1501)), chr(10)) BETWEEN 1 AND 751 THEN instr(reverse(substr(text, 1, 1501)), chr(10)) - 1 WHEN instr(reverse(substr(text, 1, 1501)), ' ') BETWEEN 1 AND 751 THEN instr(reverse(substr(text, 1, 1501)), ' ') - 1 ELSE 0 END END AS b FROM d
@@ -179,10 +190,12 @@ ORACLES = {
     "exact_sums": "SELECT l_suppkey, round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE), 2) AS total FROM lineitem GROUP BY l_suppkey",
     "call_recognition": """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'AFRange_Validate' WHEN 2 THEN 'AFDate_Format' WHEN 3 THEN 'AFSimple_Calculate' WHEN 4 THEN 'AFPercent_Format' END AS name,
   CASE p_partkey % 8 WHEN 0 THEN 4 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3 ELSE -1 END AS arguments FROM part""",
-    "exact_sums_of_mixed_sizes": "SELECT l_suppkey % 10 AS g, CAST(sum(CASE WHEN l_linenumber > 2 THEN CAST(l_orderkey % 1000 AS DECIMAL(18, 3)) / 8 ELSE 0 END) AS DOUBLE) AS total FROM lineitem WHERE l_linenumber <> 2 GROUP BY l_suppkey % 10",
+    "exact_sums_of_mixed_sizes": "SELECT l_suppkey AS g, CAST(sum(CAST(l_orderkey % 1000 AS DECIMAL(18, 3)) / 8) AS DOUBLE) AS total FROM lineitem GROUP BY l_suppkey",
     "diff_edited_turns": r"""WITH w AS (SELECT conv_id, turn, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS n FROM conversations),
 c AS (SELECT conv_id, turn, n, len(list_filter(range(1, n + 1), lambda i: i % 5 = 0)) AS r, len(list_filter(range(1, n + 1), lambda i: i % 5 <> 0 AND i % 7 = 0)) AS d, len(list_filter(range(1, n + 1), lambda i: i % 5 <> 0 AND i % 7 <> 0 AND i % 9 = 0)) AS p FROM w WHERE n > 0)
-SELECT conv_id, turn, CAST(n - r - d AS INT) AS equal, CAST(r + d AS INT) AS deleted, CAST(r + p AS INT) AS inserted FROM c""",
+SELECT conv_id, turn, CAST(n - r - d AS INT) AS equal, CAST(r + d AS INT) AS deleted, CAST(r + p AS INT) AS inserted, true AS minimal FROM c""",
+    "diff_long_texts": r"""WITH n AS (SELECT CAST(floor(conv_id / 50) AS BIGINT) AS part, CAST(sum(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))) AS BIGINT) AS n FROM conversations GROUP BY 1)
+SELECT part, CAST(n - n // 997 AS INT) AS equal, CAST(n // 997 AS INT) AS deleted, CAST(n // 997 AS INT) AS inserted, CAST(n // 997 AS INT) AS changes, (n - n // 997) / n AS similarity, true AS minimal FROM n""",
     "mask_print": "SELECT c_custkey, CASE WHEN c_custkey % 50 = 0 THEN '' ELSE substr(v, 1, 3) || '-' || substr(v, 4, 2) || '-' || substr(v, 6, 4) END AS masked FROM (SELECT c_custkey, lpad(CAST(c_custkey * 7919 AS VARCHAR), 9, '0') AS v FROM customer)",
     "date_pictures": "SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 'n/a' WHEN o_orderkey % 11 <> 0 THEN strftime(o_orderdate, '%b %-d, %Y') END AS printed FROM orders",
     "table_markdown": r"""SELECT p_partkey, '| part | a\|b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || replace(regexp_replace(p_name, '([\\`*_\[\]<&~])', '\\\1', 'g'), '|', '\|') || ' | ' || p_size || ' |' AS markdown FROM part""",
@@ -190,7 +203,7 @@ SELECT conv_id, turn, CAST(n - r - d AS INT) AS equal, CAST(r + d AS INT) AS del
     "table_stitch": """WITH t AS (SELECT s_nationkey AS doc_id, s_suppkey AS table_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS page, s_acctbal > 0 AS kind FROM supplier),
 n AS (SELECT *, CASE WHEN lag(kind) OVER (PARTITION BY doc_id ORDER BY page) = kind THEN 0 ELSE 1 END AS fresh FROM t)
 SELECT doc_id, table_id, CAST(page AS INT) AS page, CAST(sum(fresh) OVER (PARTITION BY doc_id ORDER BY page) AS BIGINT) AS chain FROM n""",
-    "table_column_cuts": """WITH f AS (SELECT p_partkey % 50 AS table_id, p_size * 20.0 AS x0, p_size * 20.0 + 9 AS x1 FROM part),
+    "table_column_cuts": """WITH f AS (SELECT p_partkey // 40 AS table_id, p_size * 20.0 AS x0, p_size * 20.0 + 9 AS x1 FROM part),
 r AS (SELECT table_id, x0, max(x1) OVER (PARTITION BY table_id ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f)
 SELECT table_id, CAST(reach AS DOUBLE) AS cut_from, CAST(x0 AS DOUBLE) AS cut_to FROM r WHERE x0 - reach >= 6""",
 }

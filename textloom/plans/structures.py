@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textloom.plans.ranking import global_row_number
 from textloom.operators import checks, layout, sequential, trees
 from textloom.shipping import ship
 
@@ -67,7 +68,7 @@ def structured_lines(read):
     return layout.structured(lines).join(lines.groupBy("page", "line").agg(F.count("*").alias("n")), ["page", "line"]).select("page", "line", "x0", "x1", "n", "size")
 
 
-@query("""WITH RECURSIVE r AS (SELECT p_partkey % 40 AS page, CASE p_partkey % 2 WHEN 0 THEN 'h' ELSE 'v' END AS axis, CAST(p_size * 3 % 120 AS DOUBLE) AS pos, CAST(p_partkey * 7 % 300 AS DOUBLE) AS lo, p_partkey * 7 % 300 + 20.0 + p_size AS hi, p_partkey AS id FROM part),
+@query("""WITH RECURSIVE r AS (SELECT p_partkey // 50 AS page, CASE p_partkey % 2 WHEN 0 THEN 'h' ELSE 'v' END AS axis, CAST(p_size * 3 % 120 AS DOUBLE) AS pos, CAST(p_partkey * 7 % 300 AS DOUBLE) AS lo, p_partkey * 7 % 300 + 20.0 + p_size AS hi, p_partkey AS id FROM part),
 k AS (SELECT *, row_number() OVER (PARTITION BY page, axis ORDER BY pos, lo, hi) AS k FROM r),
 g AS (SELECT page, axis, k, 1 AS c, pos, lo, hi FROM k WHERE k = 1 UNION ALL
   SELECT k.page, k.axis, k.k, CASE WHEN k.pos - g.pos <= 2 AND k.lo <= g.hi + 2 THEN g.c ELSE g.c + 1 END, CASE WHEN k.pos - g.pos <= 2 AND k.lo <= g.hi + 2 THEN (g.pos + k.pos) / 2 ELSE k.pos END,
@@ -76,17 +77,17 @@ g AS (SELECT page, axis, k, 1 AS c, pos, lo, hi FROM k WHERE k = 1 UNION ALL
 SELECT page, axis, round(max_by(pos, k), 6) AS pos, max_by(lo, k) AS lo, max_by(hi, k) AS hi FROM g GROUP BY page, axis, c""")
 def clustered_rules(read):
     k = F.col("p_partkey")
-    rules = read("part").select((k % 40).alias("page"), F.when(k % 2 == 0, "h").otherwise("v").alias("axis"), (F.col("p_size") * 3 % 120).cast("double").alias("pos"), (k * 7 % 300).cast("double").alias("lo"), (k * 7 % 300 + 20.0 + F.col("p_size")).alias("hi"))
+    rules = read("part").select(F.floor(k / 50).alias("page"), F.when(k % 2 == 0, "h").otherwise("v").alias("axis"), (F.col("p_size") * 3 % 120).cast("double").alias("pos"), (k * 7 % 300).cast("double").alias("lo"), (k * 7 % 300 + 20.0 + F.col("p_size")).alias("hi"))
     return layout.cluster_rules(rules).withColumn("pos", F.round("pos", 6))
 
 
-@query("""WITH s AS (SELECT p_partkey % 20 AS page, p_partkey AS side_id, p_partkey % 50 * 4.0 AS pos, p_partkey % 30 * 10.0 AS lo, p_partkey % 30 * 10.0 + 8 AS hi FROM part),
-e AS (SELECT s_suppkey % 20 AS page, s_suppkey AS edge, -s_suppkey AS ordinal, s_suppkey % 50 * 4.0 + 0.5 AS pos, s_suppkey % 3 * 90.0 AS lo, s_suppkey % 3 * 90.0 + 110 AS hi FROM supplier)
+@query("""WITH s AS (SELECT p_partkey // 100 AS page, p_partkey AS side_id, p_partkey % 50 * 4.0 AS pos, p_partkey % 30 * 10.0 AS lo, p_partkey % 30 * 10.0 + 8 AS hi FROM part),
+e AS (SELECT s_suppkey // 5 AS page, s_suppkey AS edge, -s_suppkey AS ordinal, s_suppkey % 50 * 4.0 + 0.5 AS pos, s_suppkey % 3 * 90.0 AS lo, s_suppkey % 3 * 90.0 + 110 AS hi FROM supplier)
 SELECT s.page, s.side_id, min_by(e.edge, e.ordinal) AS edge FROM s LEFT JOIN e ON s.page = e.page AND abs(e.pos - s.pos) <= 1 AND e.lo <= s.lo + 1 AND e.hi >= s.hi - 1 GROUP BY s.page, s.side_id""")
 def spanning_edges(read):
     k, s = F.col("p_partkey"), F.col("s_suppkey")
-    sides = read("part").select((k % 20).alias("page"), k.alias("side_id"), (k % 50 * 4.0).alias("pos"), (k % 30 * 10.0).alias("lo"), (k % 30 * 10.0 + 8).alias("hi"))
-    edges = read("supplier").select((s % 20).alias("page"), s.alias("edge"), (-s).alias("ordinal"), (s % 50 * 4.0 + 0.5).alias("pos"), (s % 3 * 90.0).alias("lo"), (s % 3 * 90.0 + 110).alias("hi"))
+    sides = read("part").select(F.floor(k / 100).alias("page"), k.alias("side_id"), (k % 50 * 4.0).alias("pos"), (k % 30 * 10.0).alias("lo"), (k % 30 * 10.0 + 8).alias("hi"))
+    edges = read("supplier").select(F.floor(s / 5).alias("page"), s.alias("edge"), (-s).alias("ordinal"), (s % 50 * 4.0 + 0.5).alias("pos"), (s % 3 * 90.0).alias("lo"), (s % 3 * 90.0 + 110).alias("hi"))
     return layout.edge_at(sides, edges)
 
 
@@ -160,8 +161,8 @@ def outline_order(read):
     n = t.agg(F.count("*").alias("n"))  # one row
     k = F.col("node")
     rows = t.crossJoin(F.broadcast(n)).select("node", F.when(3 * k + 1 < F.col("n"), 3 * k + 1).alias("first"), F.when((k > 0) & (k % 3 != 0) & (k + 1 < F.col("n")), k + 1).alias("next"))
-    ways = trees.outline(rows).withColumn("tree", F.lit(0))
-    return trees.reading_order(ways, "tree").select("node", "depth", F.col("ordinal").cast("long").alias("ordinal"))
+    ways = global_row_number(trees.outline(rows), "path", name="ordinal")
+    return ways.select("node", "depth", (F.col("ordinal") - 1).alias("ordinal"))
 
 
 @query(f"""WITH RECURSIVE {TREE_SQL}, v AS (SELECT node, parent, CASE WHEN node % 7 = 0 THEN 'lang' || node % 5 END AS lang FROM t), w AS (SELECT node, lang FROM v WHERE parent IS NULL UNION ALL SELECT v.node, coalesce(v.lang, w.lang) FROM w JOIN v ON v.parent = w.node)
@@ -391,10 +392,10 @@ def page_feature_scan(read):
     return checks.page_features(rows, {"images": F.col("l_returnflag") == "R", "large": F.col("l_quantity") > 40, "plain": F.col("l_discount") == 0})
 
 
-@query("SELECT coalesce(a.page_id, b.page_id) AS page, a.url AS old, b.url AS new FROM (SELECT * FROM pages WHERE page_id % 3 <> 0) a FULL JOIN (SELECT * FROM pages WHERE page_id % 4 <> 0) b ON a.page_id = b.page_id UNION ALL SELECT page_id, url, NULL FROM pages WHERE false")
+@query("SELECT coalesce(a.page_id, b.page_id) AS page, a.url AS old, b.url AS new FROM (SELECT * FROM pages WHERE page_id % 3 <> 0 OR page_id % 4 = 0) a FULL JOIN (SELECT * FROM pages WHERE page_id % 4 <> 0) b ON a.page_id = b.page_id")
 def paired_pages(read):
     p = read("pages").select(F.col("page_id").alias("page"), F.col("url").alias("content"))
-    return checks.pair_pages(p.filter("page % 3 <> 0"), p.filter("page % 4 <> 0"))
+    return checks.pair_pages(p.filter("page % 3 <> 0 OR page % 4 = 0"), p.filter("page % 4 <> 0"))
 
 
 @query("""WITH t AS (SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS d, CASE WHEN p_partkey % 5 = 0 THEN true WHEN p_partkey % 5 = 1 THEN false END AS c, CASE WHEN p_partkey % 7 < 3 THEN true END AS p, CASE WHEN p_partkey % 2 = 0 THEN true END AS f FROM part)
@@ -407,7 +408,7 @@ def run_styles(read):
     return read("part").select(k.alias("k"), bold.alias("bold"), size.alias("size"))
 
 
-@query("SELECT o_orderkey, 'clerk=' || (o_orderkey % 10) || ' priority=' || o_orderpriority AS canonical, 'clerk' AS kept, sha256('ctx' || chr(0) || o_orderpriority) AS key_with, sha256(o_orderpriority) AS key_plain FROM orders")
+@query("SELECT o_orderkey, 'clerk=' || (o_orderkey % 10) || ' priority=' || replace(replace(o_orderpriority, ' ', '\\ '), '=', '\\=') AS canonical, 'clerk' AS kept, sha256('ctx' || chr(0) || o_orderpriority) AS key_with, sha256(o_orderpriority) AS key_plain FROM orders")
 def canonical_keys(read):
     k = (F.col("o_orderkey") % 10).cast("string")
     m = F.when(F.col("o_orderkey") % 2 == 0, F.create_map(F.lit("priority"), F.col("o_orderpriority"), F.lit("clerk"), k)).otherwise(F.create_map(F.lit("clerk"), k, F.lit("priority"), F.col("o_orderpriority")))
