@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import sequences
+from textloom.functions.inlines import inlines
+from textloom.operators import selectors
 from textloom.sources import parsers
 
 
@@ -92,3 +94,18 @@ def markdown_blocks(docs: DataFrame) -> DataFrame:
     """doc_id, ordinal, kind, level, text."""
     make = lambda t: [(b["ordinal"], b["kind"], b["level"], b["text"]) for b in parsers.markdown_blocks(t)]
     return explode_rows(docs, ["doc_id"], ["text"], make, "ordinal int, kind string, level int, text string")
+
+
+def markdown_inlines(leaves: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, ordinal, depth, kind, text, target: the inline nodes of each ``text``."""
+    return explode_rows(leaves, keep, ["text"], inlines, "ordinal int, depth int, kind string, text string, target string")
+
+
+def html_elements(pages: DataFrame) -> DataFrame:
+    """page_id, node, parent, last, name, attrs: elements in document order, with the last node below each."""
+
+    def make(h):
+        rows = parsers.html_nodes(h)
+        return [(r["node_id"], r["parent_id"], z, r["name"], r["attrs"]) for r, z in zip(rows, selectors.with_last(rows), strict=True) if r["kind"] == "element"]
+
+    return explode_rows(pages, ["page_id"], ["html"], make, "node int, parent int, last int, name string, attrs map<string,string>")
