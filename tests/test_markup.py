@@ -6,9 +6,10 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.functions.inlines import inlines, label
-from textloom.operators import graphs, selectors, sequential
+from textloom.operators import graphs, hyphens, selectors, sequential
 
 
 def shape(text, refs=None):
@@ -182,3 +183,14 @@ def test_packed_rows(spark):
     for bad in ([8], [0, 0], [-1]):
         with pytest.raises(ValueError):
             graphs.packed_rows(df.d, bad)
+
+
+def test_break_places(spark):
+    words = spark.createDataFrame([("Hyphenation",), ("hyphenation",), (None,), ("",), ("ab",), ("present",), ("a" * 3000,)], "word string")
+    # a known example of the method: hy-phen-ation by these eight patterns
+    patterns = spark.createDataFrame([(p,) for p in ("hy3ph", "he2n", "hena4", "hen5at", "1na", "n2at", "1tio", "2io", "o2n", None, " ", "hy3ph")], "pattern string")
+    exceptions = spark.createDataFrame([("pre-sent",), ("p-resent",), (None,)], "word string")
+    got = hyphens.break_places(words, patterns, exceptions)
+    said = {r[0]: r[1] for r in got.select("word", hyphens.hyphenated(F.col("word"), F.col("breaks"))).collect()}
+    assert said == {"hyphenation": "hy-phen-ation", "": "", "ab": "ab", "present": "p-resent", "a" * 3000: "a" * 3000}
+    assert {r[0] for r in hyphens.break_places(words, patterns.limit(0)).collect()} == {"hyphenation", "", "ab", "present", "a" * 3000}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from textloom.operators import graphs, selectors, sequential
+from textloom.operators import graphs, hyphens, selectors, sequential
 from textloom.plans.structures import query as _query
 
 QUERIES: dict = {}
@@ -169,3 +169,41 @@ def packed_entries(read):
     parts = [h for i in range(3) for h in (hexed(size + i, 2), hexed(k * 7 + i, 6), hexed(size * (i + 1), 4))]
     rows = read("part").select("p_partkey", F.posexplode(graphs.packed_rows(F.unhex(F.concat(*parts, F.lit("0102"))), [1, 3, 0, 2])).alias("row", "f"))
     return rows.select("p_partkey", "row", F.col("f")[0].alias("kind"), F.col("f")[1].alias("field"), F.col("f")[3].alias("last"))
+
+
+# --- hyphenation ---------------------------------------------------------------------------------
+
+#: Patterns of our own for the syllables of the texts, and an exception.
+PATTERNS = [".an3", "th1e", "1ti", "n1d", "e2r", "er3h", "2tz.", "on1", "1he", "s2h", "a1n", "i1ng", "o4u", "ing5s", "c2h", "4e.", "2n1t", ".re3i"]
+EXCEPTION = "th-i-s"
+
+
+def _patterns_sql() -> str:
+    rows = []
+    for p in PATTERNS:
+        letters, levels = "", [0]
+        for c in p:
+            if c.isdigit():
+                levels[-1] = int(c)
+            else:
+                letters += c
+                levels.append(0)
+        rows.append(f"('{letters}', {levels})")
+    return ", ".join(rows)
+
+
+@query(f"""WITH q(letters, levels) AS (VALUES {_patterns_sql()}),
+d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents),
+s AS (SELECT word, unnest(range(1, length(word) + 3)) AS s FROM d),
+g AS (SELECT word, s - 2 + i AS place, max(levels[i + 1]) AS level FROM s JOIN q ON substr('.' || word || '.', s, length(letters)) = letters JOIN range(0, 9) AS r(i) ON i <= length(letters) GROUP BY ALL),
+b AS (SELECT word, list(place ORDER BY place) AS cuts FROM g WHERE level % 2 = 1 AND place >= 2 AND place <= length(word) - 3 GROUP BY word)
+SELECT word, array_to_string(list_transform(range(1, length(word) + 1), lambda i: substr(word, i, 1) || CASE WHEN list_contains(cuts, i) THEN '-' ELSE '' END), '') AS hyphenated FROM d LEFT JOIN b USING (word) WHERE word <> 'this'
+UNION ALL SELECT word, '{EXCEPTION}' FROM d WHERE word = 'this'""")
+def hyphenated_words(read):
+    """Where the distinct words of whole documents may break."""
+    docs = read("documents")
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0))).alias("word"))
+    spark = docs.sparkSession
+    table = spark.createDataFrame([(p,) for p in PATTERNS], "pattern string")
+    out = hyphens.break_places(words, table, spark.createDataFrame([(EXCEPTION,)], "word string"))
+    return out.select("word", hyphens.hyphenated(F.col("word"), F.col("breaks")).alias("hyphenated"))
