@@ -493,8 +493,8 @@ def rule_evaluation(read):
     return pagesets.evaluate_rules(p.select(F.col("p_partkey").alias("field"), F.col("p_size").cast("string").alias("value")), rules, {"least": numbers.range_validate(F.col("value"), 10)})
 
 
-from textloom.plans import markup, scalars, sequential, structures  # noqa: E402  more queries
+from textloom.plans import markup, scalars, sequential, structures, typeset  # noqa: E402  more queries
 
-for part in (sequential, structures, scalars, markup):
+for part in (sequential, structures, scalars, markup, typeset):
     QUERIES.update(part.QUERIES)
     ORACLES.update(part.ORACLES)
