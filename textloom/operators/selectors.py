@@ -225,6 +225,31 @@ def select(nodes: DataFrame, selector: str, page: str = "page") -> DataFrame:
     return flags.df.filter(hit).select(*[F.col(f"`{c}`") for c in nodes.columns])
 
 
+def in_order(page: str = "page"):
+    """A page's elements in document order, the whole page."""
+    return Window.partitionBy(page).orderBy("node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def matched(nodes: DataFrame, parsed: list[list], column: str, page: str = "page") -> DataFrame:
+    """``nodes`` with an array of the places in ``parsed`` (see ``parse``) of the selector lists that match a row."""
+    flags = _Flags(nodes, page)
+    hits = []
+    for alternatives in parsed:
+        hit = F.lit(False)
+        for steps in alternatives:
+            tests = steps[0][1]
+            if len(steps) == 1 and all(kind in ("name", "id", "cls", "attr") for kind, _ in tests):  # a row shows it by itself
+                one = F.lit(True)
+                for kind, what in tests:
+                    one = one & F.coalesce(flags.test(kind, what), F.lit(False))
+            else:
+                one = F.col(flags.forward(steps))
+            hit = hit | one
+        hits.append(hit)
+    places = F.array_compact(F.array(*[F.when(h, F.lit(i)) for i, h in enumerate(hits)])) if hits else F.array().cast("array<int>")
+    return flags.df.select(*[F.col(f"`{c}`") for c in nodes.columns], places.alias(column))
+
+
 def with_last(rows: list[dict]) -> list[int]:
     """The greatest number below each of a page's nodes (numbers in document order)."""
     place = {r["node_id"]: i for i, r in enumerate(rows)}
