@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from textloom.operators import charmaps
+from textloom.operators import charmaps, styles
 
 
 def spelled(rng, n):
@@ -74,3 +74,135 @@ def test_map_edges(spark):
         6: ("X" + lost, 2, 1), 7: ("", 0, 0), 8: ("", 0, 0), 9: ("", 0, 0), 10: ("", 0, 0),
     }
     assert charmaps.decode_strings(spark.createDataFrame(data[:0], "id long, map string, data binary"), ["id"], maps).count() == 0
+
+
+# --- computed styles -----------------------------------------------------------------------------
+
+
+def table(spark, rows):
+    return spark.createDataFrame(rows, "page long, node int, parent int, last int, name string, attrs map<string,string>")
+
+
+def test_sheet_rules():
+    rules = styles.sheet("a, .b c, #d:not(.e, f) { color: red } @media x { a { color: blue } } @import 'q'; g[{ x: y } h { margin: 1px 2px !important; : z; w: }")
+    assert [(r.specificity, len(r.alternatives)) for r in rules] == [((0, 0, 1), 1), ((0, 1, 1), 1), ((1, 1, 0), 1), ((0, 0, 1), 1)]
+    assert rules[-1].declarations == [("margin-top", "1px", True), ("margin-right", "2px", True), ("margin-bottom", "1px", True), ("margin-left", "2px", True)]
+    assert styles.declarations("a: 'x;y'; b:/* c */2 ! IMPORTANT;;c") == [("a", "'x;y'", False), ("b", "2", True)]
+    assert [d[1] for d in styles.declarations("padding: 1px 2px 3px")] == ["1px", "2px", "3px", "2px"]
+    assert styles.declarations(None) == styles.declarations("") == [] and styles.sheet("") == []
+
+
+PROGRAM = {"p": {"text-align": "center", "width": "50%", "font-size": "2em", "margin-left": "3px"}, "q": {"font-weight": "bold"}}
+INITIAL = {"color": "#000000", "text-align": "start", "width": "auto", "margin-left": "0px", "border-top-color": None}
+
+
+def by_recursion(rows):
+    """The same rules, walked from the root down."""
+    out, kids = {}, {}
+    for r in rows:
+        kids.setdefault(r[2], []).append(r)
+
+    def px(v, em, rem):
+        for unit, k in (("rem", rem), ("em", em), ("pt", 96 / 72), ("px", 1.0)):
+            if v.endswith(unit):
+                return float(v[: -len(unit)]) * k
+        return None
+
+    def walk(row, above, rem):
+        _, node, _, _, name, attrs = row
+        own = dict(x.split(":") for x in attrs["style"].split(";") if x)
+        ua = PROGRAM.get(name, {})
+
+        def raw(prop):
+            v = own.get(prop, ua.get(prop))
+            return ua.get(prop) if v == "revert" else None if v == "unset" else v
+
+        got, v = {}, raw("font-size")
+        size = above["font-size"] if above else 16.0
+        if v == "initial":
+            size = 16.0
+        elif v == "larger":
+            size *= 1.2
+        elif v and v.endswith("%"):
+            size *= float(v[:-1]) / 100
+        elif v and v != "inherit":
+            size = px(v, size, rem or 16.0)
+        got["font-size"], rem = size, rem or size
+        w, v = above["font-weight"] if above else 400, raw("font-weight")
+        if v == "bolder":
+            w = 400 if w < 350 else 700 if w < 550 else max(w, 900)
+        elif v == "lighter":
+            w = w if w < 100 else 100 if w < 550 else 400 if w < 750 else 700
+        elif v and v != "inherit":
+            w = {"bold": 700, "initial": 400}.get(v) or int(v)
+        got["font-weight"] = w
+        for prop, start in INITIAL.items():
+            v, start = raw(prop), start or got["color"]
+            before = above[prop] if above else start
+            if v == "inherit" or v is None and prop in ("color", "text-align"):
+                got[prop] = before
+            elif v in (None, "initial"):
+                got[prop] = start
+            elif prop == "color":
+                got[prop] = {"red": "#ff0000", "#Abc": "#aabbcc", "rgb(1, 2, 300)": "#0102ff", "currentcolor": before}.get(v, before)
+            elif prop == "border-top-color":
+                got[prop] = {"red": "#ff0000", "CurrentColor": got["color"]}.get(v, start)
+            elif prop == "text-align":
+                got[prop] = v
+            elif v.endswith("%"):
+                got[prop] = f"{float(v[:-1])}%"
+            else:
+                n = px(v, size, rem)
+                got[prop] = "auto" if v == "auto" else start if n is None or prop == "width" and n < 0 else f"{round(n, 6)}px"
+        out[node] = got
+        for k in kids.get(node, ()):
+            walk(k, got, rem)
+
+    walk(kids[None][0], None, None)
+    return out
+
+
+SAID = {
+    "font-size": ["2em", "50%", "10px", "1.5rem", "larger", "initial", "inherit", "unset", "revert", "9pt"], "font-weight": ["bolder", "lighter", "50", "350", "bold", "inherit", "initial", "revert", "1000"],
+    "color": ["red", "#Abc", "rgb(1, 2, 300)", "currentcolor", "inherit", "initial", "puce"], "border-top-color": ["red", "CurrentColor", "inherit", "unset", "1px"], "text-align": ["left", "inherit", "initial", "revert", "unset"],
+    "width": ["auto", "30%", "2em", "-1px", "inherit", "revert"], "margin-left": ["-1em", "2rem", "auto", "inherit", "revert", "initial", "x"],
+}
+
+
+def test_styles_as_by_recursion(spark):
+    rng, rows, want = random.Random(3), [], {}
+    for page in range(6):
+        mine = []
+        for node in range(60):
+            up = None if node == 0 else node - 1 if page == 0 else rng.randrange(max(0, node - 8), node)
+            style = ";".join(f"{p}:{rng.choice(v)}" for p, v in SAID.items() if rng.random() < 0.5)
+            mine.append((page, node, up, node, rng.choice(["p", "q", "div"]), {"style": style}))
+        rows += mine
+        want |= {(page, n): g for n, g in by_recursion(mine).items()}
+    sheet = styles.sheet(" ".join(f"{n} {{ {'; '.join(f'{p}: {v}' for p, v in d.items())} }}" for n, d in PROGRAM.items()), program=True)
+    got = styles.computed(table(spark, rows), sheet).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        w = want[r["page"], r["node"]]
+        assert abs(r["font_size"] - w["font-size"]) <= 1e-9 * w["font-size"] and r["font_weight"] == w["font-weight"], (r, w)
+        for p in INITIAL:
+            a, b = r["style"][p], w[p]
+            if a.endswith("px") and b.endswith("px"):
+                assert abs(float(a[:-2]) - float(b[:-2])) <= 1e-5 + 1e-9 * abs(float(b[:-2])), (p, r, w)
+            else:
+                assert a == b, (p, r, w)
+
+
+def test_tiers_and_edges(spark):
+    program = styles.sheet("a { color: navy !important; width: 1px } b { color: lime }", program=True)
+    rules = program + styles.sheet("a { color: red !important } b { color: red } b { width: 2px !important } b { width: 3px } #i { float: left } b { float: right; clear: up }", first=len(program))
+    rows = [(1, 0, None, 3, "a", {"style": "color: blue !important"}), (1, 1, 0, 1, "b", {"style": "color: white; width: 4px", "id": "i"}), (1, 2, 0, 2, None, None), (1, 3, 9, 3, "B", {"style": ""}), (1, 3, 9, 3, "B", {"style": ""}), (2, 0, None, 0, "b", {"style": "width:5px!important"})]
+    got = {(r["page"], r["node"]): r["style"] for r in styles.computed(table(spark, rows), rules).collect()}
+    assert len(got) == 5
+    pick = {k: (s["color"], s["width"], s["float"], s["clear"]) for k, s in got.items()}
+    assert pick == {
+        (1, 0): ("#000080", "1.0px", "none", "none"), (1, 1): ("#ffffff", "2.0px", "left", "none"), (1, 2): ("#000080", "auto", "none", "none"),
+        (1, 3): ("#ff0000", "2.0px", "right", "none"), (2, 0): ("#ff0000", "5.0px", "right", "none"),
+    }
+    assert styles.computed(table(spark, rows[:0]), rules).count() == 0
+    assert {r["style"]["color"] for r in styles.computed(table(spark, rows[2:3]), []).collect()} == {"#000000"}

@@ -83,7 +83,7 @@ ELEMENTS_SQL = """e AS (SELECT page, node, o, CASE WHEN node = 0 THEN NULL WHEN
   FROM (SELECT *, max(node) OVER (PARTITION BY page) AS top, (node + 12) % 13 AS o FROM (SELECT p_partkey // 40 AS page, p_partkey % 40 AS node, p_size, p_type, p_brand FROM part)))"""
 
 
-def _elements(read):
+def part_elements(read):
     k = F.col("p_partkey")
     n = read("part").select(F.floor(k / 40).alias("page"), (k % 40).alias("node"), "p_size", "p_type", "p_brand")
     n = n.withColumns({"top": F.max("node").over(Window.partitionBy("page")), "o": (F.col("node") + 12) % 13})
@@ -117,7 +117,7 @@ def _selectors_sql() -> str:
 @query(_selectors_sql())
 def selector_matches(read):
     """Selectors over pages made of the parts, against the same by pairs of elements."""
-    e, out = _elements(read), None
+    e, out = part_elements(read), None
     for s in SELECTORS:
         hit = selectors.select(e, s).select(F.lit(s).alias("selector"), "page", "node")
         out = hit if out is None else out.unionByName(hit)

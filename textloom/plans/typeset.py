@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.operators import charmaps
+from textloom.operators import charmaps, sequential, styles
+from textloom.plans.markup import ELEMENTS_SQL, part_elements
 from textloom.plans.structures import query as _query
 
 QUERIES: dict = {}
@@ -58,3 +59,33 @@ def mixed_codes(read):
     raw = F.concat(F.encode("p_name", "UTF-8"), code, F.unhex(F.lit("80")), F.encode("p_type", "UTF-8"), F.unhex(F.lit("81")))
     maps = part.select(F.col("p_brand").alias("map")).distinct().withColumn("body", F.lit(MIXED_MAP))
     return charmaps.decode_strings(part.select("p_partkey", F.col("p_brand").alias("map"), raw.alias("data")), ["p_partkey"], maps)
+
+
+# --- computed styles --------------------------------------------------------------------------------
+
+PART_SHEET = """/* of our own */ section { font-size: 1.5em; color: navy; line-height: 150% } ul > li { font-size: 80%; font-weight: bolder }
+.PROMO { color: red; margin: 1em 2px } p { line-height: 1.2; color: inherit } @media print { p { color: lime } } li.LARGE { font-size: 20px; color: initial !important } li { color: nonsense }"""
+PART_STYLE = "color: #0A0; font-weight: 300"
+
+
+@query(f"""WITH RECURSIVE {ELEMENTS_SQL}, w AS (SELECT e.*, coalesce(u.name = 'ul' AND e.name = 'li', FALSE) AS listed, e.name = 'li' AND e.cls = 'LARGE' AS large, e.brand LIKE '%3' AS own FROM e LEFT JOIN e u ON u.page = e.page AND u.node = e.parent),
+r AS (SELECT w.page, w.node, 16.0::DOUBLE AS size, CASE WHEN own THEN 300 ELSE 400 END AS weight, CASE WHEN own THEN '#00aa00' WHEN cls = 'PROMO' THEN '#ff0000' ELSE '#000000' END AS tint, 'normal' AS line, w.cls FROM w WHERE node = 0
+UNION ALL SELECT w.page, w.node, CASE WHEN large THEN 20 WHEN listed THEN r.size * 0.8 WHEN w.name = 'section' THEN r.size * 1.5 ELSE r.size END,
+  CASE WHEN own THEN 300 WHEN listed THEN CASE WHEN r.weight < 350 THEN 400 WHEN r.weight < 550 THEN 700 ELSE 900 END ELSE r.weight END,
+  CASE WHEN large THEN '#000000' WHEN own THEN '#00aa00' WHEN w.cls = 'PROMO' THEN '#ff0000' WHEN w.name = 'section' THEN '#000080' ELSE r.tint END,
+  CASE WHEN w.name = 'section' THEN round(1.5 * 1.5 * r.size, 6) || 'px' WHEN w.name = 'p' THEN '1.2' ELSE r.line END, w.cls FROM r JOIN w ON w.page = r.page AND w.parent = r.node)
+SELECT page, node, round(size, 6) AS font_size, CAST(weight AS INT) AS font_weight, tint AS color, line AS line_height, CASE WHEN cls = 'PROMO' THEN round(size, 6) || 'px' ELSE '0px' END AS margin_top FROM r""")
+def computed_styles(read):
+    """A sheet and styles of single elements over pages made of the parts: sizes, weights, colours, margins."""
+    e = part_elements(read)
+    own = F.when(F.col("attrs")["data-brand"].endswith("3"), F.map_concat("attrs", F.create_map(F.lit("style"), F.lit(PART_STYLE)))).otherwise(F.col("attrs"))
+    out = styles.computed(e.withColumn("attrs", own), styles.sheet(PART_SHEET))
+    value = lambda name: F.col("style")[name].alias(name.replace("-", "_"))
+    return out.select("page", "node", F.round("font_size", 6).alias("font_size"), "font_weight", value("color"), value("line-height"), value("margin-top"))
+
+
+@query()
+def page_styles(read):
+    """What a program without sheets shows of the elements of whole pages."""
+    out = styles.computed(sequential.html_elements(read("pages")), styles.sheet(styles.PROGRAM_SHEET, program=True), "page_id")
+    return out.select("page_id", "node", "font_size", "font_weight", F.col("style")["display"].alias("display"), F.col("style")["margin-top"].alias("margin_top"))
