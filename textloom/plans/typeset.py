@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.operators import charmaps, sequential, styles
+from textloom.operators import charmaps, lattices, sequential, styles
 from textloom.plans.markup import ELEMENTS_SQL, part_elements
 from textloom.plans.structures import query as _query
 
@@ -89,3 +89,39 @@ def page_styles(read):
     """What a program without sheets shows of the elements of whole pages."""
     out = styles.computed(sequential.html_elements(read("pages")), styles.sheet(styles.PROGRAM_SHEET, program=True), "page_id")
     return out.select("page_id", "node", "font_size", "font_weight", F.col("style")["display"].alias("display"), F.col("style")["margin-top"].alias("margin_top"))
+
+
+# --- tables from strokes ------------------------------------------------------------------------
+
+#: A part draws a table: four on a page, rows and columns by its size, some with a wide first cell, some with a table in the last cell.
+TABLES_SQL = """p AS (SELECT p_partkey // 4 AS page, p_partkey % 4 AS slot, 2 + p_size % 3 AS nr, 2 + p_size % 2 AS nc, p_size % 5 = 0 AS spans, p_size % 7 = 0 AS nests, p_brand, p_type, CAST(row_number() OVER (PARTITION BY p_partkey // 4 ORDER BY p_partkey % 4 // 2 DESC, p_partkey % 2) - 1 AS VARCHAR) AS t FROM part)"""
+
+
+@query(f"""WITH {TABLES_SQL}, g AS (SELECT *, unnest(range(nr)) AS r FROM p), c AS (SELECT *, unnest(range(nc)) AS c FROM g)
+SELECT page, t AS "table", CAST(0 AS INT) AS depth, CAST(r AS INT) AS row, CAST(c AS INT) AS col, CAST(1 AS INT) AS tall, CAST(CASE WHEN spans AND r = 0 AND c = 0 THEN 2 ELSE 1 END AS INT) AS wide,
+  CASE WHEN nests AND r = nr - 1 AND c = nc - 1 THEN '' WHEN spans AND r = 0 AND c = 0 THEN p_brand || ' 0 0 ' || p_brand || ' 0 1' ELSE p_brand || ' ' || r || ' ' || c END AS text FROM c WHERE NOT (spans AND r = 0 AND c = 1)
+UNION ALL SELECT page, t || '/' || (nr - 1) || ',' || (nc - 1), 1, CAST(i // 2 AS INT), CAST(i % 2 AS INT), 1, 1, CASE WHEN i = 2 THEN p_type ELSE '' END FROM p, range(4) AS k(i) WHERE nests""")
+def ruled_tables(read):
+    """Several tables a page from strokes: split lines, wide cells, tables in cells, and the text of each cell."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    p = read("part").select(
+        F.floor(k / 4).alias("page"), k, "p_brand", "p_type", (k % 2 * 300).cast("double").alias("x"), (F.floor(k % 4 / 2) * 400 + 300).cast("double").alias("y"),
+        (2 + size % 3).alias("nr"), (2 + size % 2).alias("nc"), (size % 5 == 0).alias("spans"), (size % 7 == 0).alias("nests"),
+    )
+    x, y, w, h = F.col("x"), F.col("y"), F.col("nc") * 40, F.col("nr") * 20
+    line = lambda x0, y0, x1, y1: F.struct(*[e.cast("double").alias(n) for e, n in ((x0, "x0"), (y0, "y0"), (x1, "x1"), (y1, "y1"))])
+    flat = F.transform(F.sequence(F.lit(0), "nr"), lambda i: F.array(line(x, y - i * 20, x + 50, y - i * 20), line(x + w, y - i * 20, x + 50, y - i * 20)))
+    upright = F.transform(F.sequence(F.lit(0), "nc"), lambda i: line(x + i * 40, y - h, x + i * 40, F.when(F.col("spans") & (i == 1), y - 20).otherwise(y)))
+    cx, cy = x + w - 40, y - h
+    small = F.array(*[line(cx + 5, cy + 4 + 6 * i, cx + 35, cy + 4 + 6 * i) for i in range(3)], *[line(cx + 5 + 15 * i, cy + 4, cx + 5 + 15 * i, cy + 16) for i in range(3)])
+    lines = F.concat(F.flatten(flat), upright, F.when(F.col("nests"), small).otherwise(F.slice(small, 1, 0)), F.array(line(x, y, x + 1, y + 1)))
+    strokes = p.select("page", F.explode(lines).alias("s")).select("page", "s.*")
+
+    at = lambda text, px, py: F.struct(text.alias("text"), (px - 3).alias("x0"), (py - 2).alias("y0"), (px + 3).alias("x1"), (py + 2).alias("y1"))
+    word = lambda r, c: at(F.concat_ws(" ", "p_brand", r.cast("string"), c.cast("string")), x + c * 40 + 20.0, y - r * 20 - 10.0)
+    last = lambda r, c: (r == F.col("nr") - 1) & (c == F.col("nc") - 1)
+    words = F.flatten(F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda r: F.filter(F.transform(F.sequence(F.lit(0), F.col("nc") - 1), lambda c: F.when(~(F.col("nests") & last(r, c)), word(r, c))), lambda f: f.isNotNull())))
+    held = F.when(F.col("nests"), F.array(at(F.col("p_type"), cx + 12.0, cy + 7.0)))
+    texts = F.concat(words, F.coalesce(held, F.slice(words, 1, 0)))
+    frags = p.select("page", "p_partkey", F.posexplode(texts).alias("n", "f")).select("page", (F.col("p_partkey") * 100 + F.col("n")).alias("frag"), "f.*")
+    return lattices.ruled_tables(strokes, frags)
