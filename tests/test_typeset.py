@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from textloom.operators import charmaps, styles
+from textloom.operators import blocks, charmaps, lattices, styles
 
 
 def spelled(rng, n):
@@ -206,3 +207,102 @@ def test_tiers_and_edges(spark):
     }
     assert styles.computed(table(spark, rows[:0]), rules).count() == 0
     assert {r["style"]["color"] for r in styles.computed(table(spark, rows[2:3]), []).collect()} == {"#000000"}
+
+
+# --- tables from strokes -------------------------------------------------------------------------
+
+
+def test_components_as_by_pairs():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        make = lambda n: np.column_stack([rng.uniform(0, 300, n), *np.sort(rng.uniform(0, 300, (2, n)), axis=0)])  # noqa: B023, E731
+        h, v = make(40), make(30)
+        group = np.arange(70)
+        for _ in range(70):
+            for i, (y, a, b) in enumerate(h):
+                for j, (x, c, d) in enumerate(v):
+                    if a - 2 <= x <= b + 2 and c - 2 <= y <= d + 2:
+                        group[i] = group[40 + j] = min(group[i], group[40 + j])
+        got = lattices.components(h, v)
+        assert len(set(zip(got.tolist(), group.tolist(), strict=True))) == len(set(got.tolist())) == len(set(group.tolist()))
+
+
+def box(x0, y0, x1, y1):
+    return [(x0, y0, x1, y0), (x0, y1, x1, y1), (x0, y0, x0, y1), (x1, y0, x1, y1)]
+
+
+def cells(spark, pages):
+    df = spark.createDataFrame([(p, *(None if x is None else float(x) for x in s)) for p, strokes in pages.items() for s in strokes], "page long, x0 double, y0 double, x1 double, y1 double")
+    out = {}
+    for r in lattices.table_cells(df).collect():
+        out.setdefault((r["page"], r["table"]), []).append((r["row"], r["col"], r["tall"], r["wide"]))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_tables_of_strokes(spark):
+    halves = [(0, 50, 100, 50), (50, 0, 50, 100)]
+    shared = [(0, 25, 50, 25), (25, 0, 25, 50)]  # divides the lower left cell from edge to edge
+    inset = [s for s in box(60, 60, 90, 90)] + [(60, 75, 90, 75), (75, 60, 75, 90)]
+    deep = box(64, 64, 71, 71) + [(64, 67.5, 71, 67.5), (67.5, 64, 67.5, 71)]
+    pages = {
+        1: box(0, 0, 100, 100), 2: box(0, 0, 100, 100) + halves, 3: box(0, 0, 100, 100) + halves + shared, 4: box(0, 0, 100, 100) + halves + inset + deep,
+        5: box(0, 0, 100, 100) + halves[:1] + box(200, 0, 300, 120) + [(250, 0, 250, 120)], 6: [(0, 0, 100, 0), (0, 10, 100, 10)], 7: [(0, 0, 50, 50), (0, 0, 1, 0), (None, 0, 9, 0), (0, float("nan"), 9, 0), (0, 0, float("inf"), 0)],
+        8: (box(0, 0, 100, 100) + halves) * 3, 9: box(0, 0, 100, 100) + [(20, 50, 80, 50)],
+    }
+    four = [(0, 0, 1, 1), (0, 1, 1, 1), (1, 0, 1, 1), (1, 1, 1, 1)]
+    got = cells(spark, pages)
+    assert got == {
+        (2, "0"): four, (3, "0"): four, (3, "0/1,0"): four, (4, "0"): four, (4, "0/0,1"): four, (4, "0/0,1/1,0"): four,
+        (5, "0"): [(0, 0, 1, 1), (0, 1, 1, 1)], (5, "1"): [(0, 0, 1, 1), (1, 0, 1, 1)], (8, "0"): four, (9, "0"): [(0, 0, 2, 1)],
+    }
+
+
+def test_texts_of_tables(spark):
+    strokes = spark.createDataFrame([(1, *map(float, s)) for s in box(0, 0, 100, 100) + [(50, 0, 50, 100)]], "page long, x0 double, y0 double, x1 double, y1 double")
+    frags = [(1, 1, 10.0, 80.0, 20.0, 90.0, "b"), (1, 2, 10.0, 90.0, 20.0, 99.0, "a"), (1, 3, 45.0, 10.0, 55.0, 20.0, "edge"), (1, 4, 200.0, 0.0, 210.0, 9.0, "out"), (1, 5, 60.0, 10.0, 70.0, 20.0, None), (2, 6, 1.0, 1.0, 2.0, 2.0, "x"), (None, 7, 1.0, 1.0, 2.0, 2.0, "x")]
+    df = spark.createDataFrame(frags, "page long, frag long, x0 double, y0 double, x1 double, y1 double, text string")
+    assert sorted((r["row"], r["col"], r["text"]) for r in lattices.ruled_tables(strokes, df).collect()) == [(0, 0, "a b edge"), (0, 1, "")]
+    assert lattices.ruled_tables(strokes.limit(0), df).count() == 0
+    assert [r["text"] for r in lattices.ruled_tables(strokes, df.limit(0)).collect()] == ["", ""]
+
+
+# --- blocks of lines -----------------------------------------------------------------------------
+
+
+def placed(spark, rows):
+    """Lines of (x0, x1, y0, size, text[, bold, mono])."""
+    full = [(1, 1, i, *map(float, r[:3]), float(r[3]), r[4], *(r[5:] or (False, False))) for i, r in enumerate(rows)]
+    return spark.createDataFrame(full, "doc long, page long, line long, x0 double, x1 double, y0 double, size double, text string, bold boolean, mono boolean")
+
+
+def kinds(spark, rows):
+    return [(r["kind"], r["level"]) for r in blocks.classify(placed(spark, rows)).orderBy("line").collect()]
+
+
+def test_lines_by_their_neighbours(spark):
+    body = "body text that goes on for a whole line of the page,"
+    rows = [
+        (72, 300, 700, 24, "Title"), (72, 500, 660, 10, body), (72, 500, 648, 10, body), (72, 200, 610, 10, "A short one"), (72, 500, 598, 10, body),
+        (72, 200, 560, 10, "1990. It was a good year"), (72, 500, 548, 10, body),
+        (72, 172, 510, 10, "• one item"), (92, 300, 498, 10, "over two lines"), (92, 300, 486, 10, "or three"), (72, 172, 474, 10, "• next item"), (104, 204, 462, 10, "- below it"), (72, 300, 450, 10, "no longer an item"), (92, 300, 438, 10, "nor this"),
+        (72, 300, 400, 10, "x = 1", False, True), (72, 300, 388, 10, "• y", False, True), (72, 200, 350, 16, "Second"),
+    ]
+    assert kinds(spark, rows) == [
+        ("heading", 1), ("text", 0), ("text", 0), ("heading", 3), ("text", 0), ("heading", 3), ("text", 0),
+        ("item", 0), ("continuation", 0), ("continuation", 0), ("item", 0), ("item", 1), ("text", 0), ("text", 0), ("code", 0), ("code", 0), ("heading", 2),
+    ]
+    got = [(r["kind"], r["level"], r["text"]) for r in blocks.document_blocks(placed(spark, rows)).orderBy("ordinal").collect()]
+    assert got[4:] == [
+        ("heading", 3, "1990. It was a good year"), ("paragraph", 0, body), ("item", 0, "one item over two lines or three"), ("item", 0, "next item"), ("item", 2, "below it"),
+        ("paragraph", 0, "no longer an item nor this"), ("code", 0, "x = 1\n• y"), ("heading", 2, "Second"),
+    ]
+
+
+def test_line_edges(spark):
+    nothing = placed(spark, [(0, 1, 2, 3, "x")]).limit(0)
+    assert blocks.document_blocks(nothing).count() == 0
+    rows = [(1, 1, 0, 1.0, 9.0, 5.0, 10.0, None, None, None), (1, 1, 1, None, 9.0, 4.0, 10.0, "lost", None, None), (1, 1, 1, 1.0, 9.0, 4.0, 10.0, "", None, None), (2, 1, 0, 1.0, 9.0, 5.0, 10.0, "a", True, True)]
+    df = spark.createDataFrame(rows, "doc long, page long, line long, x0 double, x1 double, y0 double, size double, text string, bold boolean, mono boolean")
+    clash = df.withColumn("kind", F.lit("k")).withColumn("block", F.lit(1)).withColumn("body", F.lit("b"))
+    got = [(r["doc"], r["kind"], r["text"]) for r in blocks.document_blocks(clash).orderBy("doc").collect()]
+    assert got == [(1, "paragraph", " "), (2, "code", "a")]

@@ -130,7 +130,7 @@ def marker(text: Column) -> Column:
     Kinds: task, bullet, ordinal. ``length`` counts the marker and the space after it.
     """
     task = F.regexp_extract(text, r"^([☐☑](?:\s+|$))", 1)
-    bullet = F.regexp_extract(text, r"^([•‣◦▪▫●○■□–—*·-](?:\s+|$))", 1)
+    bullet = F.regexp_extract(text, r"^([•◦▪‣·–—*+-](?:\s+|$))", 1)
     number = r"^(\(?(\d{1,9}|[ivxlcdm]{1,7}|[IVXLCDM]{1,7}|[a-zA-Z])[.)](?:\s+|$))"
     whole, value = F.regexp_extract(text, number, 1), F.regexp_extract(text, number, 2)
     kind = F.when(task != "", F.lit("task")).when(bullet != "", F.lit("bullet")).when(whole != "", F.lit("ordinal"))

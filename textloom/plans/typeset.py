@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.operators import charmaps, lattices, sequential, styles
+from textloom.operators import blocks, charmaps, exports, lattices, sequential, styles
 from textloom.plans.markup import ELEMENTS_SQL, part_elements
 from textloom.plans.structures import query as _query
 
@@ -125,3 +125,50 @@ def ruled_tables(read):
     texts = F.concat(words, F.coalesce(held, F.slice(words, 1, 0)))
     frags = p.select("page", "p_partkey", F.posexplode(texts).alias("n", "f")).select("page", (F.col("p_partkey") * 100 + F.col("n")).alias("frag"), "f.*")
     return lattices.ruled_tables(strokes, frags)
+
+
+# --- blocks from placed lines ----------------------------------------------------------------------
+
+PLACED_SQL = """d AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS s, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents),
+l AS (SELECT doc, n // 50 AS page, n AS line, length(s) AS len, 72.0 + 18 * (length(s) % 3) AS x0, -14.0 * n AS y0, 5.0 * length(s) AS w, CASE WHEN length(s) % 11 = 0 THEN 18.0 ELSE 12.0 END AS size,
+  length(s) % 13 = 0 AS mono, length(s) % 7 = 0 AS bold, length(s) % 5 < 2 AND length(s) % 13 <> 0 AS marked, CASE WHEN length(s) % 5 < 2 THEN '- #' ELSE '§' END || s AS text FROM d WHERE s <> ''),
+z AS (SELECT doc, size, sum(length(text)) AS n FROM l GROUP BY ALL), zb AS (SELECT doc, arg_max(size, n * 100 + size) AS body, max(size) AS top FROM z GROUP BY doc),
+b0 AS (SELECT l.*, zb.body, top > body + 0.5 AS has_larger, greatest(3, 0.5 * body) AS tol, x0 + w * 2 / (len + 3) AS bx,
+  coalesce(lag(y0) OVER p - y0 > 1.5 * greatest(size, lag(size) OVER p) OR lag(size) OVER p <> size, FALSE)::INT AS begins FROM l JOIN zb USING (doc) WINDOW p AS (PARTITION BY doc, page ORDER BY line)),
+b1 AS (SELECT *, sum(begins) OVER (PARTITION BY doc, page ORDER BY line) AS block FROM b0),
+b2 AS (SELECT *, marked AND (coalesce(lag(marked) OVER o, FALSE) OR coalesce(lead(marked) OVER o, FALSE) OR coalesce(NOT lead(mono) OVER o AND abs(lead(x0) OVER o - bx) <= tol, FALSE)) AS item, lag(y0) OVER o - y0 AS gap,
+  max(w) OVER g AS wide, lag(y0) OVER g2 AS above, lead(x0) OVER g2 AS next_x, lead(size) OVER g2 AS next_size FROM b1 WINDOW o AS (PARTITION BY doc, page, block ORDER BY line), g AS (PARTITION BY doc, page), g2 AS (PARTITION BY doc, page ORDER BY line)),
+m AS (SELECT doc, page, list_sort(list(gap))[count(*) // 2 + 1] AS step FROM b2 WHERE gap > 0 GROUP BY ALL),
+b3 AS (SELECT *, sum((item OR mono)::INT) OVER (PARTITION BY doc, page, block ORDER BY line) AS part, (SELECT count(DISTINCT c.x0) FROM b2 c WHERE c.doc = b2.doc AND c.page = b2.page AND c.block = b2.block AND c.item AND c.x0 < b2.x0) AS depth FROM b2),
+b4 AS (SELECT *, first_value(item) OVER q AS opened, first_value(bx) OVER q AS open_x FROM b3 WINDOW q AS (PARTITION BY doc, page, block, part ORDER BY line)),
+b5 AS (SELECT b4.*, coalesce(m.step, 1.2 * body) AS step, NOT (item OR mono) AND opened AND min((item OR mono OR abs(x0 - open_x) <= tol)::INT) OVER (PARTITION BY b4.doc, b4.page, block, part ORDER BY line) = 1 AS goes_on FROM b4 LEFT JOIN m ON m.doc = b4.doc AND m.page = b4.page),
+b6 AS (SELECT *, CASE WHEN mono THEN 'code' WHEN item THEN 'item' WHEN goes_on THEN 'continuation' WHEN size > body + 0.5 THEN 'heading' WHEN w < 0.6 * wide AND coalesce(above - y0 >= 1.2 * step, TRUE) AND coalesce(abs(next_x - x0) <= tol AND next_size <= body + 0.5, FALSE)
+  AND (bold OR (length(regexp_replace(text, '[^\\p{L}]', '', 'g')) >= 2 AND trim(text) = upper(trim(text))) OR NOT regexp_matches(trim(text, ' '), '[.,]$')) THEN 'heading' ELSE 'text' END AS kind FROM b5),
+b7 AS (SELECT *, CASE kind WHEN 'item' THEN depth WHEN 'heading' THEN CASE WHEN size > body + 0.5 OR NOT has_larger THEN 1 ELSE 2 END ELSE 0 END AS level FROM b6),
+b8 AS (SELECT *, (NOT (kind = 'continuation' OR coalesce(kind <> 'item' AND lag(kind) OVER v = kind AND lag(level) OVER v = level AND lag(block) OVER v = block AND lag(page) OVER v = page, FALSE)))::INT AS starts FROM b7 WINDOW v AS (PARTITION BY doc ORDER BY line)),
+b9 AS (SELECT *, sum(starts) OVER (PARTITION BY doc ORDER BY line) - 1 AS ordinal, CASE WHEN kind = 'code' THEN text WHEN kind = 'item' THEN trim(substr(text, 3), ' ') ELSE trim(text, ' ') END AS said FROM b8),
+k AS (SELECT doc, CAST(ordinal AS INT) AS ordinal, CASE arg_min(kind, line) WHEN 'text' THEN 'paragraph' ELSE arg_min(kind, line) END AS kind, CAST(arg_min(level * CASE kind WHEN 'item' THEN 2 ELSE 1 END, line) AS INT) AS level, count(*) AS n_lines,
+  sha256(CASE arg_min(kind, line) WHEN 'code' THEN string_agg(said, chr(10) ORDER BY line) ELSE string_agg(said, ' ' ORDER BY line) END) AS text_sha256 FROM b9 GROUP BY doc, b9.ordinal)"""
+
+
+def _placed_lines(read):
+    """The lines of whole texts, placed by their length."""
+    rows = read("documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("n", "s")).filter("s <> ''")
+    n, size = F.col("n"), F.length("s")
+    x = 72.0 + 18 * (size % 3)
+    return rows.select(
+        "doc", F.floor(n / 50).alias("page"), n.alias("line"), x.alias("x0"), (x + 5.0 * size).alias("x1"), (-14.0 * n).alias("y0"), F.when(size % 11 == 0, 18.0).otherwise(12.0).alias("size"),
+        F.concat(F.when(size % 5 < 2, "- #").otherwise("§"), "s").alias("text"), (size % 7 == 0).alias("bold"), (size % 13 == 0).alias("mono"),
+    )
+
+
+@query(f"WITH {PLACED_SQL} SELECT * FROM k")
+def inferred_blocks(read):
+    """Headings, paragraphs, items and code of the lines of whole texts."""
+    return blocks.document_blocks(_placed_lines(read)).select("doc", "ordinal", "kind", "level", "n_lines", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query()
+def placed_markdown(read):
+    """Placed lines of whole texts as one Markdown document each."""
+    return exports.to_markdown(blocks.document_blocks(_placed_lines(read)), "doc").select("doc", F.sha2("document", 256).alias("document_sha256"), F.length("document").alias("n_chars"))
