@@ -1,7 +1,7 @@
 """Tables from strokes alone: rules that cross make a lattice, a lattice is a table, tables lie in cells of others.
 
-Strokes become rules and collinear rules one by columns and ``layout.cluster_rules``;
-a page's rules are then one Arrow group, in numpy. Which rules cross is asked of rules
+Strokes become rules by columns; a page's rules are then one Arrow group, where
+collinear ones become one (``layout.collinear``), in numpy. Which rules cross is asked of rules
 sorted by place, so each rule looks only at those within its span.
 """
 
@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.layout import SNAP, cluster_rules, grid_cells
+from textloom.operators.layout import SNAP, collinear, grid_cells
+from textloom.scratch import materialize
 
 # Fixed values, in points: how far a stroke may lean, how short a rule may be, and
 # the part of a table that a rule spans if it is of the table and not of one cell.
@@ -22,7 +23,7 @@ WHOLE = 0.9
 
 
 def rules(strokes: DataFrame) -> DataFrame:
-    """page, axis (h, v), pos, lo, hi: strokes along an axis, collinear ones as one.
+    """page, axis (h, v), pos, lo, hi: strokes along an axis.
 
     ``strokes``: page, x0, y0, x1, y1. Leaning and shorter strokes, and strokes with a
     null or non-finite end, are none.
@@ -37,7 +38,7 @@ def rules(strokes: DataFrame) -> DataFrame:
     flat = F.col("axis") == "h"
     drawn = strokes.filter(fine).select("page", axis.alias("axis"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")).filter("axis IS NOT NULL")
     middle, lo, hi = (F.when(flat, a).otherwise(b) for a, b in (((F.col("y0") + F.col("y1")) / 2, (F.col("x0") + F.col("x1")) / 2), (F.least("x0", "x1"), F.least("y0", "y1")), (F.greatest("x0", "x1"), F.greatest("y0", "y1"))))
-    return cluster_rules(drawn.select("page", "axis", middle.alias("pos"), lo.alias("lo"), hi.alias("hi")))
+    return drawn.select("page", "axis", middle.alias("pos"), lo.alias("lo"), hi.alias("hi"))
 
 
 def components(h: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -180,9 +181,9 @@ def table_cells(strokes: DataFrame) -> DataFrame:
     """
 
     def run(table: pa.Table) -> pa.Table:
-        lines = np.column_stack([table.column(c).to_numpy() for c in ("pos", "lo", "hi")])
-        flat = np.array(table.column("axis").to_pylist()) == "h"
-        rows = [(name, name.count("/"), *cell) for name, grid in page_tables(lines[flat], lines[~flat]) for cell in grid.cells]
+        lines, axes = list(zip(*(table.column(c).to_pylist() for c in ("pos", "lo", "hi")), strict=True)), table.column("axis").to_pylist()
+        h, v = (np.array(collinear([r for r, a in zip(lines, axes, strict=True) if a == axis]), float).reshape(-1, 3) for axis in "hv")
+        rows = [(name, name.count("/"), *cell) for name, grid in page_tables(h, v) for cell in grid.cells]
         out = table.select(["page"]).take(pa.array(np.zeros(len(rows), np.int64)))
         for i, (c, kind) in enumerate(_CELL.items()):
             out = out.append_column(c, pa.array([r[i] for r in rows], kind))
@@ -205,7 +206,7 @@ def ruled_tables(strokes: DataFrame, frags: DataFrame) -> DataFrame:
     read from the top, then from the left, with spaces between. An empty cell has an
     empty text, a null text is empty.
     """
-    cells = table_cells(strokes)
+    cells = materialize(table_cells(strokes), "cells")  # read twice
     middle = frags.select("page", "frag", "text", "x0", "y0", ((F.col("x0") + F.col("x1")) / 2).alias("mx"), ((F.col("y0") + F.col("y1")) / 2).alias("my"))
     place = F.struct("table", "row", "col")
     boxes = cells.select("page", "depth", place.alias("place"), *[F.col(c).alias(f"c{c}") for c in ("x0", "y0", "x1", "y1")])

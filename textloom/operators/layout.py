@@ -63,6 +63,18 @@ def page_text(lines: DataFrame) -> DataFrame:
     return rows.groupBy("page").agg(ordered("t", "line").alias("s")).select("page", F.array_join(F.transform("s", lambda x: x["t"]), "\n").alias("text"))
 
 
+def collinear(rules: list[tuple[float, float, float]], snap: float = SNAP) -> list[list[float]]:
+    """Rules (pos, lo, hi) of one axis with those that touch as one (see ``cluster_rules``)."""
+    got: list[list[float]] = []
+    for pos, lo, hi in sorted(rules):
+        if got and pos - got[-1][0] <= snap and lo <= got[-1][2] + snap:
+            before = got[-1]
+            got[-1] = [(before[0] + pos) / 2, min(before[1], lo), max(before[2], hi)]
+        else:
+            got.append([pos, lo, hi])
+    return got
+
+
 def cluster_rules(rules: DataFrame, snap: float = SNAP) -> DataFrame:
     """Collinear rules that touch as one: page, axis, pos, lo, hi. ``rules``: page, axis, pos, lo, hi.
 
@@ -71,13 +83,7 @@ def cluster_rules(rules: DataFrame, snap: float = SNAP) -> DataFrame:
     """
 
     def run(table: pa.Table) -> pa.Table:
-        got: list[list[float]] = []
-        for pos, lo, hi in sorted(zip(*(table.column(c).to_pylist() for c in ("pos", "lo", "hi")), strict=True)):
-            if got and pos - got[-1][0] <= snap and lo <= got[-1][2] + snap:
-                before = got[-1]
-                got[-1] = [(before[0] + pos) / 2, min(before[1], lo), max(before[2], hi)]
-            else:
-                got.append([pos, lo, hi])
+        got = collinear(list(zip(*(table.column(c).to_pylist() for c in ("pos", "lo", "hi")), strict=True)), snap)
         keep = table.select(["page", "axis"]).take(pa.array(np.zeros(len(got), np.int64)))
         for i, c in enumerate(("pos", "lo", "hi")):
             keep = keep.append_column(c, pa.array([g[i] for g in got], pa.float64()))
