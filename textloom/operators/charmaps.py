@@ -144,9 +144,22 @@ def codes(strings: DataFrame, key: list[str], spaces: DataFrame) -> DataFrame:
     shorter rest at the end as one code. Null or empty data, and data without a map,
     are one row without a code.
     """
-    cut = F.regexp_extract_all(F.decode("data", "ISO-8859-1"), "pattern", F.lit(0))
-    rows = strings.select(*key, "map", "data").join(_splitter(spaces), "map", "left").select(*key, "map", F.posexplode_outer(cut).alias("ordinal", "c"))
-    return rows.select(*key, "map", "ordinal", F.length("c").alias("width"), F.when(F.col("c").isNotNull(), _number(F.hex(F.encode("c", "ISO-8859-1")))).alias("code"))
+    rows = _cut(strings.select(*key, "map", "data"), spaces).select(*key, "map", F.posexplode_outer("cut").alias("ordinal", "c"))
+    return rows.select(*key, "map", "ordinal", F.length("c").alias("width"), _code().alias("code"))
+
+
+def _cut(strings: DataFrame, spaces: DataFrame) -> DataFrame:
+    return strings.join(_splitter(spaces), "map", "left").withColumn("cut", F.regexp_extract_all(F.decode("data", "ISO-8859-1"), "pattern", F.lit(0)))
+
+
+def _code() -> Column:
+    return F.when(F.col("c").isNotNull(), _number(F.hex(F.encode("c", "ISO-8859-1"))))
+
+
+def used_codes(strings: DataFrame, spaces: DataFrame) -> DataFrame:
+    """map, width, code: the different codes of strings, told apart in each row before they become rows."""
+    rows = _cut(strings.select("map", "data"), spaces).select("map", F.explode(F.array_distinct("cut")).alias("c")).distinct()
+    return rows.select("map", F.length("c").alias("width"), _code().alias("code"))
 
 
 def decode_strings(strings: DataFrame, key: list[str], maps: DataFrame) -> DataFrame:
@@ -158,8 +171,9 @@ def decode_strings(strings: DataFrame, key: list[str], maps: DataFrame) -> DataF
     it has no more than ``KNOWN_BYTES``, else joined. A string stays in its task,
     so its codes are put together before anything is shuffled.
     """
-    rows = codes(strings, key, code_spaces(maps))
-    known = materialize(look_up(rows.filter("code IS NOT NULL"), ranges(maps)), "charmap")
+    spaces = code_spaces(maps)
+    rows = codes(strings, key, spaces)
+    known = materialize(look_up(used_codes(strings, spaces), ranges(maps)), "charmap")
     size = known.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     found = rows.join(F.broadcast(known) if size <= KNOWN_BYTES else known, ["map", "width", "code"], "left")
     said = F.when(F.col("code").isNotNull(), F.struct("ordinal", F.coalesce("text", F.lit("\ufffd")).alias("text")))
