@@ -533,6 +533,33 @@ def test_ann_recall(spark, kind):
     assert hit >= 0.95 * 20 * len(got)
 
 
+@pytest.mark.parametrize("kind", ["some long", "scales", "queries apart", "tiny"])
+def test_ann_odd_lengths(spark, kind, monkeypatch):
+    """Few long vectors, clusters of unlike width, queries unlike the rows, squares below single precision."""
+    monkeypatch.setattr(ann, "SAMPLE", 400)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 32))
+    if kind == "some long":
+        x[rng.integers(4000, size=100)] *= 50
+    elif kind == "scales":
+        of = rng.integers(4, size=4000)
+        x = rng.normal(size=(4, 32))[of] + x * np.array([1, 1e-2, 1e-4, 1e-6])[of, None]
+    elif kind == "queries apart":
+        x[::20] = 3 * np.abs(x[::20])
+    else:
+        x *= 1e-24
+    ship(spark)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    score = x[::20] @ x.T
+    score[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
+    near = np.argsort(-score, 1, kind="stable")[:, :20]
+    hit = sum(len(got[20 * i] & set(ids.tolist())) for i, ids in enumerate(near))
+    assert hit >= 0.97 * 20 * 200, hit / 4000
+
+
 def test_quality_long_text_and_clashing_names(spark):
     """A long text is scored in blocks of chunks as it would be whole; columns of any name pass through."""
     net = quality.Network(seed=1)
