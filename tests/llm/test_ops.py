@@ -560,6 +560,39 @@ def test_ann_odd_lengths(spark, kind, monkeypatch):
     assert hit >= 0.97 * 20 * 200, hit / 4000
 
 
+def test_join_sample_memory():
+    """A task counts shingles some at a time: its memory has a bound, however many rows it has."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [" ".join(map(str, range(1000 * i, 1000 * i + 1000))) for i in range(3000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]
+    del texts
+    tracemalloc.start()
+    try:
+        got = list(jaccard_join._frequent(5)(iter(batches)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(b.num_rows for b in got) == 0
+    assert peak < 115e6, peak
+
+
+def test_packing_library_only_where_needed(monkeypatch):
+    import tokenizers
+
+    def never(path):
+        raise AssertionError("loaded")
+
+    monkeypatch.setattr(packing, "_KEPT", {})
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("T", (), {"from_file": staticmethod(never)}))
+    encode = packing.encoder(tokenizer_path("byte_bpe_50k.json"))
+    assert len(encode("a few words")) > 0
+    with pytest.raises(AssertionError, match="loaded"):
+        encode(" " * (packing.LONG_RUN + 1))
+
+
 def test_quality_long_text_and_clashing_names(spark):
     """A long text is scored in blocks of chunks as it would be whole; columns of any name pass through."""
     net = quality.Network(seed=1)

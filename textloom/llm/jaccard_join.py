@@ -53,6 +53,8 @@ WORD_LUT[0x00] = 0x41  # NUL is part of words; no byte counts as a capital other
 SAMPLE_ONE_IN = 8
 #: Frequent shingles known to the order: the most frequent ones of the sample (12 bytes each).
 FREQUENT = 200_000
+#: Shingles that a task holds before it counts them (some 60 bytes each while it does).
+HELD = 1_000_000
 SMALL = 48
 BLOCK = 1024
 BLOOM_BITS = 27
@@ -112,7 +114,7 @@ def _frequent(size: int):
                         seen.add(node)
                         held.append(s)
                         weight += len(s)
-                if weight > 4_000_000:
+                if weight > HELD:
                     fold()
         fold()
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(n))], names=["h", "n"])

@@ -32,6 +32,7 @@ import json
 import re
 import zlib
 from bisect import bisect_left
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -60,7 +61,6 @@ def encoder(path: str):
     """
     if path not in _KEPT:
         import tiktoken
-        import tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -71,11 +71,17 @@ def encoder(path: str):
         ranks = {bytes(stand[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         coder = tiktoken.Encoding("file", pat_str=UNITS, mergeable_ranks=ranks, special_tokens=special)
         names = frozenset(special)
-        library = tokenizers.Tokenizer.from_file(path)
+
+        @cache
+        def library():
+            """The library's tokenizer; made only where a text needs it, as every worker would keep it."""
+            import tokenizers
+
+            return tokenizers.Tokenizer.from_file(path)
 
         def encode(text: str) -> list[int]:
             if len(text) > LONG_RUN and _SPACES.search(text):
-                return library.encode(text, add_special_tokens=False).ids
+                return library().encode(text, add_special_tokens=False).ids
             if any(x in text for x in names):
                 return coder.encode(text, allowed_special=names, disallowed_special=())
             return coder._core_bpe.encode_ordinary(text)
