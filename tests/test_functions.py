@@ -205,6 +205,17 @@ def test_diff():
     assert sequences.report(runs, "html") == "a <del>b</del> <ins>x</ins> c"
 
 
+def test_changes_that_can_meet_are_one():
+    for seed in range(6):
+        rng = random.Random(seed)
+        a = [rng.choice("ab") for _ in range(6000)]
+        b = [f"\u00a4{i}" if i % 97 == 96 else x for i, x in enumerate(a)]
+        runs, minimal = sequences.compared(a, b)
+        s = sequences.diff_stats(runs)
+        assert (s["deleted"], s["inserted"], s["changes"], minimal) == (61, 61, 61, True)
+        assert [x for r in runs for x in r["old"]] == a and [x for r in runs for x in r["new"]] == b
+
+
 def test_diff_searched_from_both_ends(monkeypatch):
     monkeypatch.setattr(sequences, "TABLE_BITS", 0)
     test_diff_lengths()
