@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import numbers
 from textloom.operators import checks, layout, trees
+from textloom.plans import catalogue
 from textloom.plans.ranking import global_row_number, running_sum
 
 
@@ -27,6 +29,16 @@ def test_outline_with_a_ring(spark):
     assert got == {1: (1, [0]), 5: (1, [1]), 2: (2, [0, 0]), 3: (2, [0, 1])}
 
 
+def test_outline_order_with_gaps_in_the_keys(spark, tmp_path):
+    keys = [k for k in range(1, 60) if k not in (3, 5, 14)] + list(range(1000, 1010))
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = sorted(c.execute(catalogue.ORACLES["outline_order"]).fetchall())
+    assert len(want) < len(keys)
+    assert sorted(map(tuple, catalogue.QUERIES["outline_order"](spark, str(tmp_path)).collect())) == want
+
+
 def test_page_tree(spark):
     rows = [(1, None, "Pages", 2), (2, 1, "Page", None), (3, 1, "Page", None), (4, 1, "Odd", None), (5, 4, "Page", None), (6, 7, "Pages", 0), (7, 6, "Pages", 0)]
     got = sorted(map(tuple, trees.page_tree_issues(spark.createDataFrame(rows, "node long, parent long, kind string, count long")).collect()))

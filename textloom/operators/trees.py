@@ -51,11 +51,11 @@ def sibling_places(nodes: DataFrame) -> DataFrame:
 
 
 def outline(nodes: DataFrame) -> DataFrame:
-    """Outline entries in reading order: node, depth (from 1), path (places from the top). ``nodes``: node, first, next; null keys of roots' parents."""
+    """Outline entries in reading order: node, root, depth (from 1), path (places from the top). ``nodes``: node, first, next; null keys of roots' parents."""
     placed = sibling_places(nodes)
     key = F.array("place")
     ways = climb(placed, "node", "parent", {"path": key}, {"path": lambda low, high: F.concat(high, low)}, grows=True)
-    return ways.select("node", F.size("path").alias("depth"), "path")
+    return ways.select("node", "root", F.size("path").alias("depth"), "path")
 
 
 def nearest_above(nodes: DataFrame, value: str) -> DataFrame:

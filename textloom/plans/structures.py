@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from textloom.plans.ranking import global_row_number
 from textloom.operators import checks, layout, sequential, trees
@@ -157,11 +158,14 @@ def _tree(read):
   SELECT t.node, w.depth + 1, w.path || lpad(CAST((t.node - 1) % 3 AS VARCHAR), 2, '0') FROM w JOIN t ON t.parent = w.node)
 SELECT node, CAST(depth AS INT) AS depth, row_number() OVER (ORDER BY path) - 1 AS ordinal FROM w""")
 def outline_order(read):
-    t = _tree(read)
-    n = t.agg(F.count("*").alias("n"))  # one row
-    k = F.col("node")
-    rows = t.crossJoin(F.broadcast(n)).select("node", F.when(3 * k + 1 < F.col("n"), 3 * k + 1).alias("first"), F.when((k > 0) & (k % 3 != 0) & (k + 1 < F.col("n")), k + 1).alias("next"))
-    ways = global_row_number(trees.outline(rows), "path", name="ordinal")
+    t = _tree(read).distinct()
+    held = t.filter("parent IS NOT NULL")
+    first = held.groupBy(F.col("parent").alias("node")).agg(F.min("node").alias("first"))
+    later = held.select("node", F.lead("node").over(Window.partitionBy("parent").orderBy("node")).alias("next"))
+    rows = t.select("node").join(first, "node", "left").join(later, "node", "left")
+    # keys may have gaps: what hangs on a node that isn't there is in no outline
+    ways = trees.outline(rows).join(t.filter("parent IS NULL").select(F.col("node").alias("root")), "root", "left_semi")
+    ways = global_row_number(ways, "path", name="ordinal")
     return ways.select("node", "depth", (F.col("ordinal") - 1).alias("ordinal"))
 
 
