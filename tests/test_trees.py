@@ -85,6 +85,12 @@ def test_header_gaps_of_spans_and_irregular_tables(spark):
     assert got == {2: (1, 0, []), 3: (1, 0, ["b"])}
 
 
+def test_header_gaps_broadcasts_nothing(spark, capsys):
+    cells = spark.range(9).selectExpr("id % 3 AS table", "0 AS row", "CAST(id / 3 AS INT) AS col", "1 AS row_span", "1 AS col_span", "id = 0 AS is_header", "CAST(NULL AS STRING) AS scope", "'h' AS id", "CAST(NULL AS ARRAY<STRING>) AS headers")
+    checks.header_gaps(cells).explain()
+    assert "Broadcast" not in capsys.readouterr().out
+
+
 def test_grid_cells():
     assert layout.grid_cells([[False, True]], [[], [], []]) == [(0, 0, 1, 2), (0, 2, 1, 1)]
     assert layout.grid_cells([[True], [True]], [[False], [True]]) == [(0, 0, 2, 1), (0, 1, 1, 1), (1, 1, 1, 1)]

@@ -46,8 +46,9 @@ def header_gaps(cells: DataFrame) -> DataFrame:
     slots = cells.withColumn("r", F.explode(F.expr("sequence(row, row + row_span - 1)"))).withColumn("c", F.explode(F.expr("sequence(col, col + col_span - 1)")))
     size = slots.groupBy("table").agg((F.max("r") + 1).alias("rows"), (F.max("c") + 1).alias("cols"), F.count("*").alias("n"), F.count_distinct("r", "c").alias("places"))
     heads = cells.filter("is_header").groupBy("table").agg(F.bool_and(F.col("scope").isNotNull()).alias("scoped"), F.collect_set(F.when(F.col("id") != "", F.col("id"))).alias("ids"))
-    gate = size.filter("n = places AND n = rows * cols").join(heads, "table", "left").filter(~F.coalesce("scoped", F.lit(True))).select("table", "ids")
-    slots = slots.join(gate, "table").withColumn("s", F.coalesce("scope", default_scope(F.col("r"), F.col("c"))))
+    # Spark's estimates know nothing of exploded rows, so they would be broadcast
+    gate = size.filter("n = places AND n = rows * cols").join(heads.hint("merge"), "table", "left").filter(~F.coalesce("scoped", F.lit(True))).select("table", "ids")
+    slots = slots.join(gate.hint("merge"), "table").withColumn("s", F.coalesce("scope", default_scope(F.col("r"), F.col("c"))))
 
     def near(by: list[str], along: str, want: str) -> tuple[Column, Column]:
         """The number of the run of headers last begun before or at a slot; whether the slot is a header of the wanted scope."""
