@@ -50,6 +50,21 @@ def test_overlapping_ranges_as_written_out(spark):
         assert (r["text"], r["n_codes"], r["n_unmapped"]) == (r["want"], 500, r["lost"])
 
 
+def test_mixed_codes_read_in_place_and_joined(spark, monkeypatch, capsys):
+    rng = random.Random(3)
+    spaces = "begincodespacerange <00> <7F> <8140> <9FFC> <A0000000> <A0FFFFFF> endcodespacerange"
+    maps = spark.createDataFrame([("m", f"{spaces} beginbfrange <20> <7E> <0020> <8140> <817E> <0391> <A0000000> <A000FFFF> <4E00> endbfrange"), ("w", "begincodespacerange <000000> <FFFFFF> endcodespacerange beginbfrange <000000> <00FFFF> <0041> endbfrange")], "map string, body string")
+    strings = [(k, "mw"[k % 2], bytes(rng.choice([0x20, 0x41, 0x81, 0x45, 0x00, 0xA0, 0xFE]) for _ in range(rng.randrange(40)))) for k in range(60)]
+    df = spark.createDataFrame(strings, "id long, map string, data binary")
+    out = charmaps.decode_strings(df, ["id"], maps)
+    got = sorted(map(tuple, out.collect()))
+    out.explain()
+    assert "MapInArrow" in capsys.readouterr().out  # no row for each code
+    monkeypatch.setattr(charmaps, "KNOWN_BYTES", -1)
+    assert got == sorted(map(tuple, charmaps.decode_strings(df, ["id"], maps).collect()))
+    assert sum(r[3] for r in got) > 0 and sum(r[2] for r in got) > sum(r[3] for r in got)
+
+
 def test_blocks_cover_a_range_once(spark):
     rng = random.Random(1)
     spans = [(0, 0), (0, 2**32 - 1), (1, 2**32 - 2), (5, 6), (7, 8)] + [tuple(sorted((rng.randrange(2**20), rng.randrange(2**20)))) for _ in range(50)]

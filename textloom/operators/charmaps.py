@@ -9,6 +9,11 @@ one written last holds.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +24,7 @@ LEVELS = 32
 #: Code length of a map without code spaces (fixed value).
 WIDTH = 2
 LAST_CHARACTER = 0x10FFFF
-#: Looked-up codes of no more bytes than this are broadcast.
+#: Looked-up codes of no more bytes than this are sent to every task.
 KNOWN_BYTES = 64 << 20
 
 _HEX = r"<([^<>]*)>"
@@ -127,55 +132,138 @@ def look_up(codes: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def _splitter(spaces: DataFrame) -> DataFrame:
-    """map, pattern: what a code is, over characters that stand for bytes; shorter codes first, else so many bytes as the shortest code has."""
+    """map, pattern, even: what a code is, over characters that stand for bytes; shorter codes first, else so many bytes as the shortest code has.
+
+    ``even``: the length of all codes of the map, null if they differ in length.
+    """
     at = lambda digits, i: F.concat(F.lit(r"\x"), F.substring(digits, 2 * i + 1, F.lit(2)))
     one = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.concat(F.lit("["), at(F.col("lo"), i), F.lit("-"), at(F.col("hi"), i), F.lit("]")))
     backwards = F.exists(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.substring("lo", 2 * i + 1, F.lit(2)) > F.substring("hi", 2 * i + 1, F.lit(2)))
     said = spaces.select("map", "width", F.when(~backwards, F.array_join(one, "")).alias("p"))
-    per = said.groupBy("map").agg(F.array_sort(F.collect_set(F.when(F.col("p").isNotNull(), F.struct("width", "p")))).alias("ps"), F.min("width").alias("least"))
+    per = said.groupBy("map").agg(F.array_sort(F.collect_set(F.when(F.col("p").isNotNull(), F.struct("width", "p")))).alias("ps"), F.min("width").alias("least"), F.max("width").alias("most"))
     rest = F.concat(F.lit(".{1,"), F.col("least").cast("string"), F.lit("}"))
-    return per.select("map", F.concat(F.lit("(?s)"), F.array_join(F.concat(F.transform("ps", lambda s: s["p"]), F.array(rest)), "|")).alias("pattern"))
+    return per.select("map", F.concat(F.lit("(?s)"), F.array_join(F.concat(F.transform("ps", lambda s: s["p"]), F.array(rest)), "|")).alias("pattern"), F.when(F.col("least") == F.col("most"), F.col("least")).alias("even"))
 
 
-def codes(strings: DataFrame, key: list[str], spaces: DataFrame) -> DataFrame:
-    """``key``, map, ordinal, width, code: binary ``data`` cut at its map's code spaces.
+def splitters(maps: DataFrame) -> DataFrame:
+    """``_splitter`` of the maps' code spaces, written; small ones are broadcast to the strings, which stay in their tasks."""
+    out = materialize(_splitter(code_spaces(maps)), "splitters")
+    return F.broadcast(out) if _size(out, "pattern") <= KNOWN_BYTES else out
 
-    Bytes that no space holds are taken as one code of the shortest length, a
-    shorter rest at the end as one code. Null or empty data, and data without a map,
-    are one row without a code.
-    """
-    rows = _cut(strings.select(*key, "map", "data"), spaces).select(*key, "map", F.posexplode_outer("cut").alias("ordinal", "c"))
-    return rows.select(*key, "map", "ordinal", F.length("c").alias("width"), _code().alias("code"))
 
+def _size(df: DataFrame, text: str) -> int:
+    return df.agg(F.sum(F.octet_length(text) + 64)).first()[0] or 0
 
-def _cut(strings: DataFrame, spaces: DataFrame) -> DataFrame:
-    return strings.join(_splitter(spaces), "map", "left").withColumn("cut", F.regexp_extract_all(F.decode("data", "ISO-8859-1"), "pattern", F.lit(0)))
 
+def codes(strings: DataFrame, key: list[str], cutters: DataFrame) -> DataFrame:
+    """``key``, map, ordinal, width, code: binary ``data`` cut at its map's code spaces. ``cutters``: see ``splitters``.
 
-def _code() -> Column:
-    return F.when(F.col("c").isNotNull(), _number(F.hex(F.encode("c", "ISO-8859-1"))))
-
-
-def used_codes(strings: DataFrame, spaces: DataFrame) -> DataFrame:
-    """map, width, code: the different codes of strings, told apart in each row before they become rows."""
-    rows = _cut(strings.select("map", "data"), spaces).select("map", F.explode(F.array_distinct("cut")).alias("c")).distinct()
-    return rows.select("map", F.length("c").alias("width"), _code().alias("code"))
+    Bytes that no space holds are taken as one code of the shortest length, a
+    shorter rest at the end as one code. Null or empty data, and data without a map,
+    are one row without a code.
+    """
+    cut = F.regexp_extract_all(F.decode("data", "ISO-8859-1"), "pattern", F.lit(0))
+    rows = strings.select(*key, "map", "data").join(cutters, "map", "left").select(*key, "map", F.posexplode_outer(cut).alias("ordinal", "c"))
+    code = F.when(F.col("c").isNotNull(), _number(F.hex(F.encode("c", "ISO-8859-1"))))
+    return rows.select(*key, "map", "ordinal", F.length("c").alias("width"), code.alias("code"))
+
+
+def _cut(data: bytes, pattern: str, even: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and numbers of the codes in ``data``."""
+    if not even:
+        pieces = re.findall(pattern.encode("latin-1"), data)
+        return np.array([len(p) for p in pieces], np.int64), np.array([int.from_bytes(p, "big") for p in pieces], np.int64)
+    n, rest = divmod(len(data), even)
+    if even == 3:
+        numbers = np.frombuffer(data, np.uint8, n * 3).reshape(n, 3).astype(np.int64) @ np.array([65536, 256, 1])
+    else:
+        numbers = np.frombuffer(data, f">u{even}", n).astype(np.int64)
+    widths = np.full(n + (rest > 0), even)
+    if rest:
+        widths[-1], numbers = rest, np.append(numbers, int.from_bytes(data[-rest:], "big"))
+    return widths, numbers
+
+
+def _keys(widths: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    return widths.astype(np.int64) << 32 | numbers
+
+
+def used_codes(strings: DataFrame, cutters: DataFrame) -> DataFrame:
+    """map, width, code: the different codes of strings, told apart in each batch before they become rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {}
+            for i, (m, data, pattern, even) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if data and pattern:
+                    found.setdefault(m, (i, []))[1].append(np.unique(_keys(*_cut(data, pattern, even))))
+            for i, parts in found.values():
+                keys = np.unique(np.concatenate(parts))
+                names = batch.column(0).take(pa.array(np.full(len(keys), i)))
+                yield pa.RecordBatch.from_arrays([names, pa.array(keys >> 32, pa.int32()), pa.array(keys & 0xFFFFFFFF, pa.int64())], ["map", "width", "code"])
+
+    rows = strings.select("map", "data").join(cutters, "map", "left").select("map", "data", "pattern", "even")
+    return rows.mapInArrow(run, f"map {rows.schema['map'].dataType.simpleString()}, width int, code long").distinct()
+
+
+def _map_tables(known: pa.Table) -> dict:
+    """The codes of each map (lengths and numbers as one, sorted), and their texts, U+FFFD after the last."""
+    out, names = {}, known.column("map").to_pylist()
+    starts = [i for i, m in enumerate(names) if not i or m != names[i - 1]]
+    for a, b in zip(starts, [*starts[1:], len(names)][: len(starts)], strict=True):
+        part = known.slice(a, b - a)
+        texts = part.column("text").cast(pa.large_string()).combine_chunks()
+        out[names[a]] = _keys(part.column("width").to_numpy(), part.column("code").to_numpy()), pa.concat_arrays([texts, _LOST])
+    return out
+
+
+_LOST = pa.array(["\ufffd"], pa.large_string())
+
+
+def _read_string(data: bytes | None, pattern: str | None, even: int | None, table: tuple[np.ndarray, pa.Array] | None) -> tuple[bytes, int, int]:
+    """Text in UTF-8, number of codes, number of those without a text."""
+    if not data or not pattern:
+        return b"", 0, 0
+    known, texts = table or (np.zeros(0, np.int64), _LOST)
+    asked = _keys(*_cut(data, pattern, even))
+    at = np.searchsorted(known, asked)
+    if len(known):
+        at[known[np.minimum(at, len(known) - 1)] != asked] = len(known)
+    _, ends, text = texts.take(pa.array(at)).buffers()
+    end = int(np.frombuffer(ends, np.int64, len(at) + 1)[-1])
+    return text[:end].to_pybytes() if end else b"", len(at), int((at == len(known)).sum())
+
+
+def _decode_in_place(strings: DataFrame, key: list[str], cutters: DataFrame, known: pa.Table) -> DataFrame:
+    """``decode_strings`` with what was looked up in every task: a string is read where it lies."""
+    sent = strings.sparkSession.sparkContext.broadcast(known.sort_by([("map", "ascending"), ("width", "ascending"), ("code", "ascending")]))
+    n = len(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _map_tables(sent.value)
+        for batch in batches:
+            rows = [_read_string(data, pattern, even, tables.get(m)) for m, data, pattern, even in zip(*(c.to_pylist() for c in batch.columns[n:]), strict=True)]
+            made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], [*key, "text", "n_codes", "n_unmapped"])
+
+    rows = strings.select(*key, "map", "data").join(cutters, "map", "left").select(*key, "map", "data", "pattern", "even")
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*key).schema)
+    return rows.mapInArrow(run, f"{kept}text string, n_codes long, n_unmapped long")
 
 
 def decode_strings(strings: DataFrame, key: list[str], maps: DataFrame) -> DataFrame:
     """``key``, text, n_codes, n_unmapped: strings read through their maps; a code without text is U+FFFD.
 
     ``strings``: key, map, data (binary). ``maps``: map, body; a map is given once.
-    Rows of one key are one string only if the key tells them apart. Codes are
-    looked up once a map, not once for each place; what was found is broadcast if
-    it has no more than ``KNOWN_BYTES``, else joined. A string stays in its task,
-    so its codes are put together before anything is shuffled.
+    Each string has a key of its own. Codes are looked up once a map, not once for
+    each place; if what was found has no more than ``KNOWN_BYTES``, every task gets it
+    and reads strings where they lie, else it is joined with a row for each code.
     """
-    spaces = code_spaces(maps)
-    rows = codes(strings, key, spaces)
-    known = materialize(look_up(used_codes(strings, spaces), ranges(maps)), "charmap")
-    size = known.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    found = rows.join(F.broadcast(known) if size <= KNOWN_BYTES else known, ["map", "width", "code"], "left")
+    cutters = splitters(maps)
+    known = materialize(look_up(used_codes(strings, cutters), ranges(maps)), "charmap")
+    if _size(known, "text") <= KNOWN_BYTES:
+        return _decode_in_place(strings, key, cutters, known.filter("map IS NOT NULL AND text IS NOT NULL").toArrow())
+    found = codes(strings, key, cutters).join(known, ["map", "width", "code"], "left")
     said = F.when(F.col("code").isNotNull(), F.struct("ordinal", F.coalesce("text", F.lit("\ufffd")).alias("text")))
     put = found.groupBy(*key).agg(F.array_sort(F.collect_list(said)).alias("s"), F.count("code").alias("n_codes"), F.count_if(F.col("code").isNotNull() & F.col("text").isNull()).alias("n_unmapped"))
     return put.select(*key, F.array_join(F.transform("s", lambda x: x["text"]), "").alias("text"), "n_codes", "n_unmapped")
