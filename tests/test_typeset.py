@@ -272,6 +272,13 @@ def test_tables_of_strokes(spark):
     }
 
 
+def test_texts_of_tables_broadcasts_nothing(spark, capsys):
+    strokes = spark.createDataFrame([(1, *map(float, s)) for s in box(0, 0, 100, 100)], "page long, x0 double, y0 double, x1 double, y1 double")
+    df = spark.createDataFrame([(1, 1, 10.0, 80.0, 20.0, 90.0, "b")], "page long, frag long, x0 double, y0 double, x1 double, y1 double, text string")
+    lattices.ruled_tables(strokes, df).explain()
+    assert "Broadcast" not in capsys.readouterr().out
+
+
 def test_texts_of_tables(spark):
     strokes = spark.createDataFrame([(1, *map(float, s)) for s in box(0, 0, 100, 100) + [(50, 0, 50, 100)]], "page long, x0 double, y0 double, x1 double, y1 double")
     frags = [(1, 1, 10.0, 80.0, 20.0, 90.0, "b"), (1, 2, 10.0, 90.0, 20.0, 99.0, "a"), (1, 3, 45.0, 10.0, 55.0, 20.0, "edge"), (1, 4, 200.0, 0.0, 210.0, 9.0, "out"), (1, 5, 60.0, 10.0, 70.0, 20.0, None), (2, 6, 1.0, 1.0, 2.0, 2.0, "x"), (None, 7, 1.0, 1.0, 2.0, 2.0, "x")]

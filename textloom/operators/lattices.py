@@ -211,9 +211,10 @@ def ruled_tables(strokes: DataFrame, frags: DataFrame) -> DataFrame:
     place = F.struct("table", "row", "col")
     boxes = cells.select("page", "depth", place.alias("place"), *[F.col(c).alias(f"c{c}") for c in ("x0", "y0", "x1", "y1")])
     inside = (F.col("mx") >= F.col("cx0")) & (F.col("mx") <= F.col("cx1")) & (F.col("my") >= F.col("cy0")) & (F.col("my") <= F.col("cy1"))
-    one = middle.join(boxes, "page").filter(inside).groupBy("page", "frag").agg(F.min(F.struct((-F.col("depth")).alias("d"), "place", "y0", "x0", "text")).alias("s"))
+    # merged: Spark's estimates know nothing of exploded rows, so it would broadcast them
+    one = middle.join(boxes.hint("merge"), "page").filter(inside).groupBy("page", "frag").agg(F.min(F.struct((-F.col("depth")).alias("d"), "place", "y0", "x0", "text")).alias("s"))
     texts = one.groupBy("page", F.col("s.place.table").alias("table"), F.col("s.place.row").alias("row"), F.col("s.place.col").alias("col")).agg(
         F.array_sort(F.collect_list(F.struct((-F.col("s.y0")).alias("y"), F.col("s.x0").alias("x"), "frag", F.coalesce("s.text", F.lit("")).alias("text")))).alias("f")
     )
-    out = cells.join(texts, ["page", "table", "row", "col"], "left")
+    out = cells.join(texts.hint("merge"), ["page", "table", "row", "col"], "left")
     return out.select("page", "table", "depth", "row", "col", "tall", "wide", F.coalesce(F.array_join(F.transform("f", lambda x: x["text"]), " "), F.lit("")).alias("text"))
