@@ -108,6 +108,11 @@ def test_sheet_rules():
     assert styles.declarations(None) == styles.declarations("") == [] and styles.sheet("") == []
 
 
+def test_styles_broadcast_nothing(spark, capsys):
+    styles.computed(table(spark, [(1, 0, None, 1, "p", None), (1, 1, 0, 1, "b", None)]), styles.sheet("p { color: red }")).explain()
+    assert "Broadcast" not in capsys.readouterr().out
+
+
 PROGRAM = {"p": {"text-align": "center", "width": "50%", "font-size": "2em", "margin-left": "3px"}, "q": {"font-weight": "bold"}}
 INITIAL = {"color": "#000000", "text-align": "start", "width": "auto", "margin-left": "0px", "border-top-color": None}
 

@@ -321,11 +321,11 @@ def computed(nodes: DataFrame, rules: list[Rule], page: str = "page") -> DataFra
         return F.when(F.col("_top") | (p["own"] & (word != "inherit")), F.coalesce(got, start_value)).otherwise(got)
 
     values = F.zip_with("_raws", known, given_value)
-    both = held.dropDuplicates(["_key"]).join(above, "_key")
+    both = held.dropDuplicates(["_key"]).join(above.hint("merge"), "_key")
     given = materialize(both.select("_key", "_up", "font_size", "font_weight", values.alias("_given")), "styles")
     filled = climb(given, "_key", "_up", {"given": F.col("_given")}, {"given": lambda low, high: F.zip_with(low, high, nearest)})
     style = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), "given")
-    return given.select(F.col("_key").alias("node"), "font_size", "font_weight").join(filled, "node").select(F.col(f"node.{page}").alias(page), "node.node", "font_size", "font_weight", style.alias("style"))
+    return given.select(F.col("_key").alias("node"), "font_size", "font_weight").join(filled.hint("merge"), "node").select(F.col(f"node.{page}").alias(page), "node.node", "font_size", "font_weight", style.alias("style"))
 
 
 #: What a program shows without any sheet (fixed values, in part).

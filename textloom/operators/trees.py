@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,18 +24,25 @@ def climb(nodes: DataFrame, node: str, up: str, gather: dict[str, Column], merge
     own = nodes.select(F.col(node).alias("node"), F.struct(F.col(up).alias("up"), *[c.alias(n) for n, c in gather.items()]).alias("s"))
     # a key given twice is one node: the one whose link and parts come first
     own = materialize(own.groupBy("node").agg(F.min("s").alias("s")).select("node", "s.*"), "nodes")
+    # merged: written keys are small on disk and large in memory, so Spark might broadcast them
     if grows:
-        own = materialize(own.join(climb(own, "node", "up", {}, {}).select("node"), "node", "left_semi"), "nodes")
+        own = materialize(own.join(climb(own, "node", "up", {}, {}).select("node").hint("merge"), "node", "left_semi"), "nodes")
     there = own.select(F.col("node").alias("up"), F.lit(True).alias("there"))
-    now = own.join(there, "up", "left").select("node", F.when(F.col("there"), F.col("up")).alias("up"), F.col("node").alias("root"), *names)
-    now = materialize(now, "climb")
-    left = now.count().bit_length() + 1
-    while left and not now.filter("up IS NOT NULL").isEmpty():
-        above = now.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("root").alias("high"), *[F.col(n).alias(f"_{n}") for n in names])
-        parts = [F.when(F.col("high").isNull(), F.col(n)).otherwise(merge[n](F.col(n), F.col(f"_{n}"))).alias(n) for n in names]
-        now = materialize(now.join(above, "up", "left").select("node", F.col("next").alias("up"), F.coalesce("high", "root").alias("root"), *parts), "climb")
+    start = own.select("node", F.col("node").alias("root"), *names, "up")
+    ended = "node", "root", *names
+    # nodes at their end are set aside, so no task gets all of them for their common null
+    done = [materialize(start.filter("up IS NULL").unionByName(start.filter("up IS NOT NULL").join(there.hint("merge"), "up", "left_anti")).select(*ended), "climb")]
+    now = materialize(start.join(there.hint("merge"), "up", "left_semi").select(*ended, "up"), "climb")
+    left = own.count().bit_length() + 1
+    while left and not now.isEmpty():
+        above = reduce(DataFrame.unionByName, done).withColumn("up", F.lit(None).cast(now.schema["up"].dataType)).unionByName(now)
+        above = above.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("root").alias("high"), *[F.col(n).alias(f"_{n}") for n in names])
+        parts = [merge[n](F.col(n), F.col(f"_{n}")).alias(n) for n in names]
+        went = materialize(now.join(above.hint("merge"), "up").select("node", F.col("high").alias("root"), *parts, F.col("next").alias("up")), "climb")
+        done.append(went.filter("up IS NULL").drop("up"))
+        now = went.filter("up IS NOT NULL")
         left -= 1
-    return now.filter("up IS NULL").drop("up")
+    return reduce(DataFrame.unionByName, done)
 
 
 def sibling_places(nodes: DataFrame) -> DataFrame:
